@@ -38,10 +38,12 @@ def blank_to_null(c) -> Column:
     return F.when(s == "", F.lit(None)).otherwise(s)
 
 
-def sanitize(c, max_length: int = SANITIZE_MAX_LEN) -> Column:
-    """strip -> cap length -> drop `;<>` (in that order)."""
-    capped = F.substring(strip(c), 1, max_length)
-    return F.regexp_replace(capped, SANITIZE_REMOVE, "")
+def sanitize(c, max_length: int | None = SANITIZE_MAX_LEN) -> Column:
+    """strip -> cap length (``None``: keep the whole text) -> drop `;<>`."""
+    s = strip(c)
+    if max_length is not None:
+        s = F.substring(s, 1, max_length)
+    return F.regexp_replace(s, SANITIZE_REMOVE, "")
 
 
 def first_truthy(*cols) -> Column:
