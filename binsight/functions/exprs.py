@@ -107,15 +107,15 @@ def parse_date_flexible(c) -> Column:
     """ISO first, then day-first forms; unparsable -> NULL."""
     s = strip(c)
     return F.coalesce(
-        F.try_to_date(s, F.lit("yyyy-M-d")),
-        F.try_to_date(s, F.lit("d/M/yyyy")),
-        F.try_to_date(s, F.lit("d-M-yyyy")),
+        F.try_to_date(s, "yyyy-M-d"),
+        F.try_to_date(s, "d/M/yyyy"),
+        F.try_to_date(s, "d-M-yyyy"),
     )
 
 
 def parse_date_strict(c) -> Column:
     """strptime('%Y-%m-%d') equivalent: accepts non-padded month/day."""
-    return F.try_to_date(strip(c), F.lit("yyyy-M-d"))
+    return F.try_to_date(strip(c), "yyyy-M-d")
 
 
 # ---------------------------------------------------------------- numbers
