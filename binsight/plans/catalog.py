@@ -40,4 +40,4 @@ DELETE_TYPE = "5-LOW"            # predicate of the delete operator
 SNAPSHOT_CUTOFF = "2024-01-15 00:00:00"
 
 # import side-effect modules that register their queries
-from binsight.plans import q_core, q_compare, q_rows, q_ingest  # noqa: E402,F401
+from binsight.plans import q_core, q_compare, q_rows, q_ingest, q_models  # noqa: E402,F401
