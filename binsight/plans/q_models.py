@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from binsight.models import baseline, score, train
+from binsight.models.adaboost import fit_adaboost_r2
 from binsight.plans import oracle_views as V
 from binsight.plans.catalog import register
 from binsight.sources import tables as T
@@ -20,7 +21,10 @@ _FITTED: dict = {}
 def _family(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _FITTED:
-        _FITTED[key] = train.train_eval(T.observations(spark, d), "net_weight_kg", "ticket_date")
+        _FITTED[key] = train.train_eval(
+            T.observations(spark, d), "net_weight_kg", "ticket_date",
+            model_ids=train.SPARK_ML_MODELS + ("adaboost",),
+            extra_estimators={"adaboost": lambda tr: fit_adaboost_r2(tr, train.preprocessing_stages())})
     return _FITTED[key]
 
 
