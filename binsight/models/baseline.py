@@ -11,17 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binsight.operators.summary import historical_averages
 
 BASELINES = ("area_mean", "type_mean", "overall_mean")
 
 
 def baseline_predictions(history: DataFrame, observed: DataFrame, value: str = "net_weight_kg") -> DataFrame:
     """Long table (model_id, label, prediction) for every observed row."""
-    avgs = historical_averages(history, value)
-    a = avgs.filter(F.col("level") == "area").select(F.col("key").alias("_a"), F.col("avg_weight").alias("_am"))
-    t = avgs.filter(F.col("level") == "waste_type").select(F.col("key").alias("_t"), F.col("avg_weight").alias("_tm"))
-    o = avgs.filter(F.col("level") == "overall").select(F.col("avg_weight").alias("_om"))
+    from binsight.operators.joins import bounded_broadcast, history_cells
+    cells, n = history_cells(history, value)
+    mean = lambda g: (F.sum("_s").cast("double") / F.sum("_n"))
+    a = bounded_broadcast(cells.groupBy(F.col("area").alias("_a")).agg(mean(0).alias("_am")), n)
+    t = bounded_broadcast(cells.groupBy(F.col("waste_type").alias("_t")).agg(mean(0).alias("_tm")), n)
+    o = cells.agg(mean(0).alias("_om"))
     j = (observed.join(a, observed["area"] == a["_a"], "left")
          .join(t, observed["waste_type"] == t["_t"], "left")
          .crossJoin(F.broadcast(o)))  # one row

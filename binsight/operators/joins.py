@@ -1,10 +1,12 @@
 """Joins.
 
-Join strategy is left to AQE: the aggregated / dimension side is broadcast only
-when its materialised size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``
-(a runtime size check); otherwise a sort-merge join runs and AQE's skew-join
-handling splits a hot key.  Explicit ``broadcast`` hints are used only for
-sides with a proven size bound (one-row aggregates, small fixed tables).
+Fact rows meet small aggregated sides (means per area / type, domain lists).
+Those sides are computed once, checkpointed and counted; they are broadcast
+only when the measured row count is within ``MAX_BROADCAST_ROWS``, otherwise
+the join is left to the planner (sort-merge, AQE skew-join splits hot keys).
+Unconditional ``broadcast`` hints are used only for sides whose size is fixed
+by construction (one-row global aggregates, the 7-row model table, period
+tables).
 """
 
 from __future__ import annotations
@@ -13,7 +15,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binsight.functions import exprs as X
-from binsight.operators.summary import historical_averages
+from binsight.session import ensure_checkpoint_dir
+
+# Largest aggregated side (rows) that is broadcast to every task.  Aggregates
+# are checkpointed and counted first; beyond this size the join shuffles
+# (sort-merge, with AQE's skew-join splitting hot keys).
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def materialize_small(df: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpoint an aggregated table (computed once, re-read by every branch
+    that uses it) and return it with its row count."""
+    ensure_checkpoint_dir(df.sparkSession)
+    cp = df.checkpoint(eager=True)
+    return cp, cp.count()
+
+
+def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only for a side whose measured row count is within the bound."""
+    return F.broadcast(df) if rows <= max_rows else df
+
+
+def history_cells(history: DataFrame, value: str = "net_weight_kg") -> tuple[DataFrame, int]:
+    """One pass over the history: exact decimal sum and count per
+    (area, waste_type) cell, checkpointed.  Area, type and overall means are
+    re-aggregations of this small table, so the history is read once."""
+    cells = history.groupBy("area", "waste_type").agg(
+        F.sum(F.col(value).cast("decimal(18,2)")).alias("_s"), F.count(F.col(value)).alias("_n"))
+    return materialize_small(cells)
+
+
+def _means(cells: DataFrame, key: str | None, out: str) -> DataFrame:
+    g = cells.groupBy(key) if key else cells.groupBy()
+    agg = g.agg((F.sum("_s").cast("double") / F.sum("_n")).alias(out))
+    return agg.withColumnRenamed(key, f"_{key}") if key else agg
 
 
 def benchmark_against_history(requests: DataFrame, history: DataFrame, prediction: str = "prediction",
@@ -21,21 +56,21 @@ def benchmark_against_history(requests: DataFrame, history: DataFrame, predictio
     """C3 + D20 + B16: attach the historical area, type and overall mean to each
     prediction; a missing or zero mean falls back to the prediction itself.
 
-    The three means come from one grouping-sets aggregate over ``history``
-    (the three branches reuse one shuffle).
+    The history is aggregated once into (area, type) cells; the per-area and
+    per-type means (at most as many rows as cells) are broadcast when the
+    measured cell count is within ``MAX_BROADCAST_ROWS``, so the fact side is
+    never shuffled for them; the overall mean is a single row.
     """
-    avgs = historical_averages(history, value)
-    area_avg = avgs.filter(F.col("level") == "area").select(F.col("key").alias("_area"),
-                                                            F.col("avg_weight").alias("_area_avg"))
-    type_avg = avgs.filter(F.col("level") == "waste_type").select(F.col("key").alias("_type"),
-                                                                  F.col("avg_weight").alias("_type_avg"))
-    overall = avgs.filter(F.col("level") == "overall").select(F.col("avg_weight").alias("_all_avg"))
+    cells, n_cells = history_cells(history, value)
+    area_avg = bounded_broadcast(_means(cells, "area", "_area_avg"), n_cells)
+    type_avg = bounded_broadcast(_means(cells, "waste_type", "_type_avg"), n_cells)
+    overall = F.broadcast(_means(cells, None, "_all_avg"))  # global aggregate: exactly one row
     p = F.col(prediction)
     fb = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0.0)), p)
     return (requests
             .join(area_avg, requests["area"] == area_avg["_area"], "left")
-            .join(type_avg, requests["waste_type"] == type_avg["_type"], "left")
-            .crossJoin(F.broadcast(overall))  # global aggregate: exactly one row
+            .join(type_avg, requests["waste_type"] == type_avg["_waste_type"], "left")
+            .crossJoin(overall)
             .select(*requests.columns, fb("_area_avg").alias("area_avg"),
                     fb("_type_avg").alias("type_avg"), fb("_all_avg").alias("overall_avg")))
 
@@ -82,8 +117,11 @@ def invalid_domain_rows(requests: DataFrame, domain_source: DataFrame) -> DataFr
     The domains are distinct values (small), joined with left outer joins; the
     flags tell which field failed.
     """
-    areas = domain_source.select(F.col("area").alias("_a")).distinct().withColumn("_area_ok", F.lit(True))
-    types = domain_source.select(F.col("waste_type").alias("_t")).distinct().withColumn("_type_ok", F.lit(True))
+    areas, na = materialize_small(domain_source.select(F.col("area").alias("_a")).distinct()
+                                  .withColumn("_area_ok", F.lit(True)))
+    types, nt = materialize_small(domain_source.select(F.col("waste_type").alias("_t")).distinct()
+                                  .withColumn("_type_ok", F.lit(True)))
+    areas, types = bounded_broadcast(areas, na), bounded_broadcast(types, nt)
     j = (requests.join(areas, requests["area"] == areas["_a"], "left")
          .join(types, requests["waste_type"] == types["_t"], "left"))
     area_ok = F.coalesce(F.col("_area_ok"), F.lit(False))
@@ -94,9 +132,10 @@ def invalid_domain_rows(requests: DataFrame, domain_source: DataFrame) -> DataFr
 
 def valid_domain_rows(requests: DataFrame, domain_source: DataFrame) -> DataFrame:
     """C4: requests whose area and waste type are both known (semi joins)."""
-    areas = domain_source.select("area").distinct()
-    types = domain_source.select("waste_type").distinct()
-    return requests.join(areas, "area", "left_semi").join(types, "waste_type", "left_semi")
+    areas, na = materialize_small(domain_source.select("area").distinct())
+    types, nt = materialize_small(domain_source.select("waste_type").distinct())
+    return (requests.join(bounded_broadcast(areas, na), "area", "left_semi")
+            .join(bounded_broadcast(types, nt), "waste_type", "left_semi"))
 
 
 def resolve_login(attempts: DataFrame, users: DataFrame, identifier: str = "identifier") -> DataFrame:

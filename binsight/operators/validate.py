@@ -34,8 +34,10 @@ def validate_requests(requests: DataFrame, valid_areas: DataFrame, valid_types:
     t = F.col(waste_type).cast("string")
     d = F.col(date).cast("string")
     blank = lambda c: c.isNull() | (X.strip(c) == "")
-    va = valid_areas.select(F.col("area").alias("_va")).distinct()
-    vt = valid_types.select(F.col("waste_type").alias("_vt")).distinct()
+    from binsight.operators.joins import bounded_broadcast, materialize_small
+    va, na = materialize_small(valid_areas.select(F.col("area").alias("_va")).distinct())
+    vt, nt = materialize_small(valid_types.select(F.col("waste_type").alias("_vt")).distinct())
+    va, vt = bounded_broadcast(va, na), bounded_broadcast(vt, nt)
     df = requests.withColumn("clean_area", X.sanitize(a)).withColumn("clean_waste_type", X.sanitize(t))
     df = (df.join(va, df["clean_area"] == va["_va"], "left")
           .join(vt, df["clean_waste_type"] == vt["_vt"], "left"))
