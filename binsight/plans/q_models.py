@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from binsight.models import baseline, score, train
 from binsight.models.adaboost import fit_adaboost_r2
+from binsight.models.knn import fit_knn
 from binsight.plans import oracle_views as V
 from binsight.plans.catalog import register
 from binsight.sources import tables as T
@@ -23,8 +24,9 @@ def _family(spark, d):
     if key not in _FITTED:
         _FITTED[key] = train.train_eval(
             T.observations(spark, d), "net_weight_kg", "ticket_date",
-            model_ids=train.SPARK_ML_MODELS + ("adaboost",),
-            extra_estimators={"adaboost": lambda tr: fit_adaboost_r2(tr, train.preprocessing_stages())})
+            model_ids=train.SPARK_ML_MODELS + ("knn", "adaboost"),
+            extra_estimators={"adaboost": lambda tr: fit_adaboost_r2(tr, train.preprocessing_stages()),
+                              "knn": lambda tr: fit_knn(tr, k=5)})
     return _FITTED[key]
 
 
@@ -107,3 +109,13 @@ def ensemble_summary(spark, d):
 def lag_model(spark, d):
     _, metrics = train.lag_model(T.observations(spark, d), "net_weight_kg", "ticket_date")
     return metrics
+
+
+@register("knn_regress")
+def knn_regress(spark, d):
+    """K8: exact 5-nearest-neighbour regression of the held-out rows on the
+    training rows (hash split of the observations)."""
+    data = train.random_split(train.prepare(T.observations(spark, d), "net_weight_kg", "ticket_date"), "id")
+    model = fit_knn(data.filter(~F.col("is_test")), k=5)
+    test = data.filter(F.col("is_test")).select("id", "area", "waste_type", *train.NUMERIC, "label")
+    return model.transform(test).select("id", "label", "prediction", "kth_dist2")
