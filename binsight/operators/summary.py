@@ -169,3 +169,18 @@ def historical_averages(history: DataFrame, value: str = "net_weight_kg") -> Dat
              .when(F.col("_gt") == 0, F.lit("waste_type")).otherwise(F.lit("overall")))
     key = F.when(F.col("_ga") == 0, F.col("area")).when(F.col("_gt") == 0, F.col("waste_type"))
     return g.select(level.alias("level"), key.alias("key"), "n", "avg_weight")
+
+
+def upload_totals(rows: DataFrame, uploads: DataFrame) -> DataFrame:
+    """D18 (totals): per user the number of uploaded records and uploads."""
+    r = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_records"))
+    u = uploads.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_uploads"))
+    return (u.join(r, "user_id", "full_outer")
+            .select("user_id", F.coalesce("total_records", F.lit(0)).alias("total_records"),
+                    F.coalesce("total_uploads", F.lit(0)).alias("total_uploads")))
+
+
+def user_list(users: DataFrame) -> DataFrame:
+    """F2 + H20: all users newest first with their role label."""
+    return (users.select("id", "username", "email", "created_at", X.role_label("is_admin").alias("role"))
+            .orderBy(F.desc_nulls_last("created_at"), F.desc("id")))

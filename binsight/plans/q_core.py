@@ -216,3 +216,20 @@ def round_presentation(spark, d):
                     (F.col("sc").cast("double") / F.lit(100.0)).alias("total_weight"),
                     (F.col("mn").cast("double") / F.lit(100.0)).alias("min_weight"),
                     (F.col("mx").cast("double") / F.lit(100.0)).alias("max_weight"))
+
+
+@register("upload_totals", f"""
+WITH r AS (SELECT user_id, COUNT(*) AS total_records FROM ({V.UPLOAD_ROWS}) GROUP BY user_id),
+u AS (SELECT user_id, COUNT(*) AS total_uploads FROM ({V.UPLOADS}) GROUP BY user_id)
+SELECT COALESCE(u.user_id, r.user_id) AS user_id, COALESCE(r.total_records, 0) AS total_records,
+       COALESCE(u.total_uploads, 0) AS total_uploads
+  FROM u FULL OUTER JOIN r ON u.user_id = r.user_id""")
+def upload_totals(spark, d):
+    return summary.upload_totals(T.upload_rows(spark, d), T.uploads(spark, d))
+
+
+@register("user_list", f"""
+SELECT id, username, email, created_at, CASE WHEN is_admin THEN 'Admin' ELSE 'User' END AS role
+  FROM ({V.USERS}) ORDER BY created_at DESC NULLS LAST, id DESC""")
+def user_list(spark, d):
+    return summary.user_list(T.users(spark, d))
