@@ -36,6 +36,16 @@ def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = MAX_BROADCAST_RO
     return F.broadcast(df) if rows <= max_rows else df
 
 
+def domain_tables(domain_source: DataFrame) -> tuple[DataFrame, int, DataFrame, int]:
+    """Known areas and waste types from one pass over ``domain_source``:
+    distinct (area, waste_type) pairs are checkpointed, both lists derive
+    from that small table.  Returns (areas, n_areas, types, n_types)."""
+    pairs, _ = materialize_small(domain_source.select("area", "waste_type").distinct())
+    areas, na = materialize_small(pairs.select("area").distinct())
+    types, nt = materialize_small(pairs.select("waste_type").distinct())
+    return areas, na, types, nt
+
+
 def history_cells(history: DataFrame, value: str = "net_weight_kg") -> tuple[DataFrame, int]:
     """One pass over the history: exact decimal sum and count per
     (area, waste_type) cell, checkpointed.  Area, type and overall means are
@@ -117,11 +127,9 @@ def invalid_domain_rows(requests: DataFrame, domain_source: DataFrame) -> DataFr
     The domains are distinct values (small), joined with left outer joins; the
     flags tell which field failed.
     """
-    areas, na = materialize_small(domain_source.select(F.col("area").alias("_a")).distinct()
-                                  .withColumn("_area_ok", F.lit(True)))
-    types, nt = materialize_small(domain_source.select(F.col("waste_type").alias("_t")).distinct()
-                                  .withColumn("_type_ok", F.lit(True)))
-    areas, types = bounded_broadcast(areas, na), bounded_broadcast(types, nt)
+    areas, na, types, nt = domain_tables(domain_source)
+    areas = bounded_broadcast(areas.select(F.col("area").alias("_a"), F.lit(True).alias("_area_ok")), na)
+    types = bounded_broadcast(types.select(F.col("waste_type").alias("_t"), F.lit(True).alias("_type_ok")), nt)
     j = (requests.join(areas, requests["area"] == areas["_a"], "left")
          .join(types, requests["waste_type"] == types["_t"], "left"))
     area_ok = F.coalesce(F.col("_area_ok"), F.lit(False))
@@ -132,8 +140,7 @@ def invalid_domain_rows(requests: DataFrame, domain_source: DataFrame) -> DataFr
 
 def valid_domain_rows(requests: DataFrame, domain_source: DataFrame) -> DataFrame:
     """C4: requests whose area and waste type are both known (semi joins)."""
-    areas, na = materialize_small(domain_source.select("area").distinct())
-    types, nt = materialize_small(domain_source.select("waste_type").distinct())
+    areas, na, types, nt = domain_tables(domain_source)
     return (requests.join(bounded_broadcast(areas, na), "area", "left_semi")
             .join(bounded_broadcast(types, nt), "waste_type", "left_semi"))
 

@@ -26,8 +26,8 @@ def validate_requests(requests: DataFrame, valid_areas: DataFrame, valid_types:
                       min_date: str = MIN_DATE, max_days_ahead: int = MAX_DAYS_AHEAD) -> DataFrame:
     """Required -> sanitize -> membership -> date format -> date bounds.
 
-    ``valid_areas`` / ``valid_types`` are single-column frames named
-    ``area`` / ``waste_type``.  Output: input columns plus ``clean_area``,
+    ``valid_areas`` / ``valid_types`` are frames with columns ``area`` /
+    ``waste_type``; pass ``valid_types=None`` when ``valid_areas`` holds both.  Output: input columns plus ``clean_area``,
     ``clean_waste_type``, ``forecast_date``, ``error_field``, ``error_message``.
     """
     a = F.col(area).cast("string")
@@ -35,9 +35,14 @@ def validate_requests(requests: DataFrame, valid_areas: DataFrame, valid_types:
     d = F.col(date).cast("string")
     blank = lambda c: c.isNull() | (X.strip(c) == "")
     from binsight.operators.joins import bounded_broadcast, materialize_small
-    va, na = materialize_small(valid_areas.select(F.col("area").alias("_va")).distinct())
-    vt, nt = materialize_small(valid_types.select(F.col("waste_type").alias("_vt")).distinct())
-    va, vt = bounded_broadcast(va, na), bounded_broadcast(vt, nt)
+    if valid_types is None:  # one frame holding both domains: one pass over it
+        from binsight.operators.joins import domain_tables
+        va, na, vt, nt = domain_tables(valid_areas)
+    else:
+        va, na = materialize_small(valid_areas.select("area").distinct())
+        vt, nt = materialize_small(valid_types.select("waste_type").distinct())
+    va = bounded_broadcast(va.select(F.col("area").alias("_va")), na)
+    vt = bounded_broadcast(vt.select(F.col("waste_type").alias("_vt")), nt)
     df = requests.withColumn("clean_area", X.sanitize(a)).withColumn("clean_waste_type", X.sanitize(t))
     df = (df.join(va, df["clean_area"] == va["_va"], "left")
           .join(vt, df["clean_waste_type"] == vt["_vt"], "left"))
