@@ -20,8 +20,26 @@ RUNTIME_CONF = {
 }
 
 
+# Suggested settings for the large-cluster deployment (hundreds of TB, ~1000
+# executors).  Applied only when asked (``build_session(cluster=True)``):
+# shuffles start wide and AQE coalesces them to ~256 MB partitions, scans
+# split files into 256 MB tasks, skewed partitions above 1 GB are split in
+# joins, and broadcasts decided at runtime stay under 64 MB.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.parquet.aggregatePushdown": "true",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "binsight") -> SparkSession:
+                  app_name: str = "binsight", cluster: bool = False) -> SparkSession:
     """Create (or reuse) a session with binsight's settings.
 
     On a cluster leave ``master`` unset and let spark-submit provide it.
@@ -35,6 +53,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config("spark.driver.memory", os.environ.get("BINSIGHT_DRIVER_MEMORY", "16g"))
     for k, v in RUNTIME_CONF.items():
         builder = builder.config(k, v)
+    if cluster:
+        for k, v in CLUSTER_CONF.items():
+            builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
