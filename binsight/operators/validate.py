@@ -16,9 +16,20 @@ from binsight.functions import exprs as X
 MIN_DATE = "2000-01-01"
 MAX_DAYS_AHEAD = 3650  # ten years of 365 days
 
+# Field labels and message texts shown to users.
+FIELD_AREA = "Area"
+FIELD_TYPE = "Waste Type"
+FIELD_DATE = "Date"
+FIELD_FORECAST = "Forecast Date"
+MSG_REQUIRED = "{field} is required"
+MSG_INVALID_OPTION = "Invalid {field}. Please select a valid option."
+MSG_BAD_FORMAT = "Invalid {field}. Use YYYY-MM-DD."
+MSG_BEFORE = "{field} cannot be before "
+MSG_AFTER = "{field} cannot be after "
+
 
 def _msg_required(field: str):
-    return F.lit(f"{field} is required")
+    return F.lit(MSG_REQUIRED.format(field=field))
 
 
 def validate_requests(requests: DataFrame, valid_areas: DataFrame, valid_types: DataFrame, as_of,
@@ -49,16 +60,16 @@ def validate_requests(requests: DataFrame, valid_areas: DataFrame, valid_types:
     parsed = X.parse_date_strict(d)
     lo = F.lit(min_date).cast("date")
     hi = F.date_add(F.lit(as_of).cast("date"), max_days_ahead)
-    field = (F.when(blank(a), F.lit("Area")).when(blank(t), F.lit("Waste Type")).when(blank(d), F.lit("Date"))
-             .when(F.col("_va").isNull(), F.lit("Area")).when(F.col("_vt").isNull(), F.lit("Waste Type"))
-             .when(parsed.isNull() | (parsed < lo) | (parsed > hi), F.lit("Forecast Date")))
-    msg = (F.when(blank(a), _msg_required("Area")).when(blank(t), _msg_required("Waste Type"))
-           .when(blank(d), _msg_required("Date"))
-           .when(F.col("_va").isNull(), F.lit("Invalid area. Please select a valid option."))
-           .when(F.col("_vt").isNull(), F.lit("Invalid waste type. Please select a valid option."))
-           .when(parsed.isNull(), F.lit("Invalid forecast date format. Use YYYY-MM-DD."))
-           .when(parsed < lo, F.concat(F.lit("Forecast Date cannot be before "), F.date_format(lo, "yyyy-MM-dd")))
-           .when(parsed > hi, F.concat(F.lit("Forecast Date cannot be after "), F.date_format(hi, "yyyy-MM-dd"))))
+    field = (F.when(blank(a), F.lit(FIELD_AREA)).when(blank(t), F.lit(FIELD_TYPE)).when(blank(d), F.lit(FIELD_DATE))
+             .when(F.col("_va").isNull(), F.lit(FIELD_AREA)).when(F.col("_vt").isNull(), F.lit(FIELD_TYPE))
+             .when(parsed.isNull() | (parsed < lo) | (parsed > hi), F.lit(FIELD_FORECAST)))
+    msg = (F.when(blank(a), _msg_required(FIELD_AREA)).when(blank(t), _msg_required(FIELD_TYPE))
+           .when(blank(d), _msg_required(FIELD_DATE))
+           .when(F.col("_va").isNull(), F.lit(MSG_INVALID_OPTION.format(field=FIELD_AREA.lower())))
+           .when(F.col("_vt").isNull(), F.lit(MSG_INVALID_OPTION.format(field=FIELD_TYPE.lower())))
+           .when(parsed.isNull(), F.lit(MSG_BAD_FORMAT.format(field=FIELD_FORECAST.lower() + " format")))
+           .when(parsed < lo, F.concat(F.lit(MSG_BEFORE.format(field=FIELD_FORECAST)), F.date_format(lo, "yyyy-MM-dd")))
+           .when(parsed > hi, F.concat(F.lit(MSG_AFTER.format(field=FIELD_FORECAST)), F.date_format(hi, "yyyy-MM-dd"))))
     return (df.withColumn("forecast_date", parsed)
             .withColumn("error_field", field).withColumn("error_message", msg)
             .drop("_va", "_vt"))

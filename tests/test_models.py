@@ -70,3 +70,22 @@ def test_score_all_models_clamps(spark):
     req = spark.createDataFrame([(1, "A", "t", dt.date(2024, 1, 1))], "id long, area string, waste_type string, d date")
     out = score.score_all_models({"linear_regression": Neg()}, req, "d", "id").first()
     assert out["prediction"] == 0.0 and out["name"] == "Linear Regression"
+
+
+def test_ridge_matches_closed_form(spark):
+    """Ridge(alpha=1) mapped to Spark's objective equals the closed form with
+    an unpenalised intercept (on the same one-hot + calendar features)."""
+    from binsight.models.train import ridge_reg_param
+    df = train.prepare(_synthetic(spark, 300, seed=11), "y", "ticket_date")
+    prep = Pipeline(stages=train.preprocessing_stages()).fit(df)
+    feats = prep.transform(df)
+    model = make_estimator("ridge", ridge_reg=ridge_reg_param(df, "label")).fit(feats)
+    rows = feats.select("features", "label").collect()
+    X = np.array([r["features"].toArray() for r in rows])
+    y = np.array([r["label"] for r in rows])
+    Xc, yc = X - X.mean(0), y - y.mean()
+    w = np.linalg.solve(Xc.T @ Xc + 1.0 * np.eye(X.shape[1]), Xc.T @ yc)
+    b = y.mean() - X.mean(0) @ w
+    want = X @ w + b
+    got = np.array([r["prediction"] for r in model.transform(feats).select("prediction").collect()])
+    assert np.max(np.abs(got - want)) < 1e-4 * np.max(np.abs(want))

@@ -42,3 +42,13 @@ def test_topk_per_user_uses_partial_group_limit(spark):
 def test_recent_rows_is_take_ordered(spark):
     p = E.queries()["recent_rows"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in p
+
+
+def test_flagship_broadcasts_means_not_the_facts(spark):
+    df = E.queries()["score_benchmark"](spark, SF_SMALL)
+    import re
+    p = re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString())
+    # the mean lookups are broadcast hash joins, so the fact side is not shuffled for them
+    assert "BroadcastHashJoin [area], [_area]" in p
+    assert "BroadcastHashJoin [waste_type], [_waste_type]" in p
+    assert "SortMergeJoin [area]" not in p and "SortMergeJoin [waste_type]" not in p
