@@ -53,12 +53,14 @@ def ensemble_summary(long: DataFrame, request_key: str) -> DataFrame:
 
 
 def leaderboard(lb: DataFrame, current: str = DEFAULT_MODEL) -> DataFrame:
-    """K13 + F6: models by MAE ascending, a zero or missing MAE last; metrics
-    rounded like the reference (2, 2, 4 places); ``is_current`` flag."""
+    """K13 + F6 + H19: models by MAE ascending, a zero or missing MAE last;
+    metrics rounded like the reference (2, 2, 4 places), R^2 also as a
+    percentage; ``is_current`` flag."""
     key = F.when(F.col("mae") > 0, F.col("mae"))
     return (lb.select("model_id", "name", "description", "color",
                       F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"),
-                      F.round("r2", 4).alias("r2"), (F.col("model_id") == current).alias("is_current"),
+                      F.round("r2", 4).alias("r2"), F.round(F.col("r2") * 100, 2).alias("r2_pct"),
+                      (F.col("model_id") == current).alias("is_current"),
                       key.alias("_k"))
             .orderBy(F.col("_k").asc_nulls_last(), "model_id").drop("_k"))
 

@@ -87,8 +87,7 @@ def temporal_split(df: DataFrame, order_cols: list[str], test_size: float = 0.2,
                    num_partitions: int | None = None) -> DataFrame:
     """``train_test_split(shuffle=False)``: the last ceil(test_size * n) rows
     in order are the test set.  Adds ``rn`` and ``split`` ('train'/'test')."""
-    ranked = global_rank(df, order_cols, "rn", num_partitions)
-    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
+    ranked, n = _rank_parts(df, order_cols, "rn", num_partitions)  # n: from per-partition counts
     cut = n.select((F.col("_n") - F.ceil(F.col("_n") * F.lit(test_size))).alias("_cut"))
     return (ranked.crossJoin(F.broadcast(cut))  # one row
             .withColumn("split", F.when(F.col("rn") > F.col("_cut"), F.lit("test")).otherwise(F.lit("train")))

@@ -143,3 +143,16 @@ def test_upload_stats_top5_per_user(spark):
     rows = T.upload_rows(spark, SF_SMALL)
     s = summary.upload_stats(rows)
     assert s.groupBy("user_id", "dimension").count().agg(F.max("count")).first()[0] <= 5
+
+
+def test_csv_export_roundtrip(spark):
+    import tempfile
+
+    from binsight.sources import sinks
+    logs = T.prediction_logs(spark, SF_SMALL)
+    rows = sinks.export_frame(logs, user_id=None)
+    path = tempfile.mkdtemp(prefix="binsight-export-") + "/out"
+    sinks.write_csv(rows, path)
+    back = spark.read.option("header", True).csv(path)
+    assert back.columns == ["Prediction Date", "Area", "Waste Type", "Predicted Weight (kg)", "Timestamp"]
+    assert back.count() == 100
