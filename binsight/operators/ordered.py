@@ -41,18 +41,25 @@ def _ranged(df: DataFrame, order_cols: list[str], num_partitions: int | None) ->
     return tagged.checkpoint(eager=True)
 
 
-def global_rank(df: DataFrame, order_cols: list[str], rank_col: str = "rn",
-                num_partitions: int | None = None) -> DataFrame:
-    """Exact 1-based row number over the whole table in ``order_cols`` order
-    (the order key must be unique for a deterministic result)."""
+def _rank_parts(df: DataFrame, order_cols: list[str], rank_col: str, num_partitions: int | None):
+    """(ranked rows, one-row total count) from the same range partitions."""
     ranged = _ranged(df, order_cols, num_partitions)
     counts = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per partition: tiny, ordered window on a single task is fine
     offsets = counts.select(_PID, F.coalesce(F.sum("_cnt").over(
         W.orderBy(_PID).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (ranged.join(F.broadcast(offsets), _PID)
-            .withColumn(rank_col, F.col("_off") + F.col("_pos") + 1)
-            .drop(_PID, "_pos", "_off"))
+    ranked = (ranged.join(F.broadcast(offsets), _PID)
+              .withColumn(rank_col, F.col("_off") + F.col("_pos") + 1)
+              .drop(_PID, "_pos", "_off"))
+    total = counts.agg(F.coalesce(F.sum("_cnt"), F.lit(0)).alias("_n"))
+    return ranked, total
+
+
+def global_rank(df: DataFrame, order_cols: list[str], rank_col: str = "rn",
+                num_partitions: int | None = None) -> DataFrame:
+    """Exact 1-based row number over the whole table in ``order_cols`` order
+    (the order key must be unique for a deterministic result)."""
+    return _rank_parts(df, order_cols, rank_col, num_partitions)[0]
 
 
 def lag_global(df: DataFrame, value: str, order_cols: list[str], out_col: str = "lag_1",
