@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from binsight.functions import exprs as X
 from binsight.models.catalog import DEFAULT_COLOR, DEFAULT_MODEL, MODEL_INFO
 from binsight.models.train import add_calendar
+from binsight.session import ensure_checkpoint_dir
 
 
 def score(model, requests: DataFrame, date_col: str, clamp: bool = False) -> DataFrame:
@@ -22,8 +23,12 @@ def score(model, requests: DataFrame, date_col: str, clamp: bool = False) -> Dat
 def score_all_models(models: dict, requests: DataFrame, date_col: str, request_key: str) -> DataFrame:
     """K12 + F7: every model's prediction per request (clamped at 0, rounded
     to cents), with the model's name and colour, and its rank within the
-    request by value."""
-    feats = add_calendar(requests, date_col)
+    request by value.
+
+    The request features are checkpointed once, so the models read them
+    instead of each re-running the request plan (joins, scans)."""
+    ensure_checkpoint_dir(requests.sparkSession)
+    feats = add_calendar(requests, date_col).checkpoint(eager=True)
     parts = []
     for mid, m in models.items():
         try:
