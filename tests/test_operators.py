@@ -156,3 +156,41 @@ def test_csv_export_roundtrip(spark):
     back = spark.read.option("header", True).csv(path)
     assert back.columns == ["Prediction Date", "Area", "Waste Type", "Predicted Weight (kg)", "Timestamp"]
     assert back.count() == 100
+
+
+def test_kolmogorov_pvalue_known_values():
+    # asymptotic Kolmogorov survival function: Q(1.0) = 0.26999967, Q(1.36) ~ 0.0494
+    assert abs(profile.kolmogorov_pvalue(1.0 / 10.0, 100) - 0.2699996716735) < 1e-9
+    assert abs(profile.kolmogorov_pvalue(1.36 / 20.0, 400) - 0.04939) < 1e-4
+    assert profile.kolmogorov_pvalue(0.0, 10) == 1.0
+
+
+def test_scale_options_agree(spark):
+    logs = T.prediction_logs(spark, SF_SMALL)
+    exact = summary.summary(logs).first()
+    approx = summary.summary(logs, approx_distinct=True).first()
+    assert exact["unique_areas"] == approx["unique_areas"] == 25
+    obs = T.observations(spark, SF_SMALL)
+    a = profile.describe(obs, "net_weight_kg").first()
+    b = profile.describe(obs, "net_weight_kg", exact_quantiles=False).first()
+    assert abs(a["q50"] - b["q50"]) <= 0.02 * a["q50"]
+
+
+def test_legacy_leaderboard_json(spark):
+    import json
+    import tempfile
+
+    from binsight.models import score as S
+    doc = {"random_forest": {"name": "Random Forest", "description": "d", "color": "#27ae60",
+                             "mae": 4737.85, "rmse": 9224.56, "r2": 0.9764, "path": "p"},
+           "ridge": {"name": "Ridge Regression", "description": "d", "color": "#e74c3c",
+                     "mae": 36409.51, "rmse": 45370.77, "r2": 0.4297, "path": "p"}}
+    p = tempfile.mkdtemp(prefix="binsight-lb-") + "/model_results.json"
+    with open(p, "w") as f:
+        json.dump(doc, f, indent=2)
+    lb = S.read_leaderboard(spark, p, legacy=True)
+    rows = {r["model_id"]: r for r in lb.collect()}
+    assert set(rows) == {"random_forest", "ridge"} and rows["ridge"]["mae"] == 36409.51
+    assert [r["model_id"] for r in S.leaderboard(lb).collect()] == ["random_forest", "ridge"]
+    missing = S.read_leaderboard(spark, p + ".missing")
+    assert missing.count() == 1
