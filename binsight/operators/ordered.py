@@ -3,8 +3,10 @@
 ``Window.orderBy(...)`` without ``partitionBy`` moves every row into one task.
 Instead the rows are range-partitioned on the order key (Spark samples the key
 to choose balanced boundaries, so a hot date is split across tasks), sorted
-within each partition, and stitched together with a per-partition table whose
-size is the number of partitions:
+within each partition, written once as a table bucketed by range (one bucket
+per range, so later windows and aggregates per range need no shuffle), and
+stitched together with a per-partition table whose size is the number of
+partitions:
 
 * global rank  = rows before this partition + position inside it
 * lag          = previous row inside the partition, or the last row of the
@@ -13,44 +15,66 @@ size is the number of partitions:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from binsight.session import default_partitions, ensure_checkpoint_dir
+from binsight.session import default_partitions, scratch_path
 
 _PID = "_pid"
 
 
+def _bucket_keys(spark, n: int) -> DataFrame:
+    """One bucket key per range partition such that ``pmod(hash(key), n)``
+    (Spark's bucket id) equals the partition id: every range gets its own
+    bucket.  n rows, computed from ``range(64 n)``."""
+    keys = (spark.range(0, 64 * n).select(F.col("id").alias("_bkey"),
+                                          F.pmod(F.hash("id"), F.lit(n)).alias(_PID))
+            .groupBy(_PID).agg(F.min("_bkey").alias("_bkey")))
+    return keys
+
+
 def _ranged(df: DataFrame, order_cols: list[str], num_partitions: int | None) -> DataFrame:
     """Range-partition + sort, tag each row with its partition id and position,
-    and checkpoint the result to the shared checkpoint folder.
-
-    The per-partition tables below are computed from the same partitions as
-    the rows.  Re-running the range shuffle could sample different boundaries
-    (e.g. after a lost executor or a different join choice upstream), so the
-    partitioning is materialised once with a reliable checkpoint.
+    and write the result as a table bucketed by partition under the shared
+    checkpoint folder.
+
+    The rows and the per-partition tables below must come from the same
+    partitions; re-running the range shuffle could sample different
+    boundaries (after a lost executor, or a different join choice upstream),
+    so the partitioning is materialised once.  Because the table is bucketed
+    with one bucket per range, windows and aggregates by partition read it
+    without another shuffle.
     """
-    n = num_partitions or default_partitions(df.sparkSession)
+    spark = df.sparkSession
+    n = num_partitions or default_partitions(spark)
     tagged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn(_PID, F.spark_partition_id())
               # (partition id << 33) + row index, evaluated after the in-partition sort
               .withColumn("_pos", F.monotonically_increasing_id()
                           - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    ensure_checkpoint_dir(df.sparkSession)
-    return tagged.checkpoint(eager=True)
+    tagged = tagged.join(F.broadcast(_bucket_keys(spark, n)), _PID, "left")  # n rows
+    tagged = tagged.withColumn("_bkey", F.coalesce(F.col("_bkey"), F.col(_PID).cast("long")))
+    path = scratch_path(spark, "ranged")
+    name = "binsight_tmp_" + uuid.uuid4().hex
+    (tagged.write.bucketBy(n, "_bkey").sortBy(_PID, "_pos")
+     .option("path", path).saveAsTable(name))
+    return spark.table(name)
 
 
 def _rank_parts(df: DataFrame, order_cols: list[str], rank_col: str, num_partitions: int | None):
     """(ranked rows, one-row total count) from the same range partitions."""
     ranged = _ranged(df, order_cols, num_partitions)
-    counts = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_cnt"))
-    # one row per partition: tiny, ordered window on a single task is fine
+    counts = ranged.groupBy("_bkey", _PID).agg(F.count(F.lit(1)).alias("_cnt")).drop("_bkey")
+    # one row per range partition: the running sum over this tiny table runs in
+    # one task (explicit constant partition)
     offsets = counts.select(_PID, F.coalesce(F.sum("_cnt").over(
-        W.orderBy(_PID).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+        W.partitionBy(F.lit(0)).orderBy(_PID).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     ranked = (ranged.join(F.broadcast(offsets), _PID)
               .withColumn(rank_col, F.col("_off") + F.col("_pos") + 1)
-              .drop(_PID, "_pos", "_off"))
+              .drop(_PID, "_pos", "_off", "_bkey"))
     total = counts.agg(F.coalesce(F.sum("_cnt"), F.lit(0)).alias("_n"))
     return ranked, total
 
@@ -69,16 +93,16 @@ def lag_global(df: DataFrame, value: str, order_cols: list[str], out_col: str =
     series_cols = series_cols or []
     keys = series_cols + order_cols
     ranged = _ranged(df, keys, num_partitions)
-    w = W.partitionBy(_PID).orderBy("_pos")
+    w = W.partitionBy("_bkey", _PID).orderBy("_pos")
     rows = ranged.withColumn("_lag", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
     if series_cols:
         s = F.struct(*series_cols)
         rows = rows.withColumn("_lag_ser", F.lag(s).over(w)).withColumn("_ser", s)
-    last = ranged.groupBy(_PID).agg(F.max_by(F.struct(F.col(value).alias("v"),
+    last = ranged.groupBy("_bkey", _PID).agg(F.max_by(F.struct(F.col(value).alias("v"),
                                                       F.struct(*series_cols).alias("s") if series_cols
                                                       else F.lit(None).alias("s")),
                                              F.struct(*keys)).alias("_last"))
-    prev = last.select(_PID, F.lag("_last").over(W.orderBy(_PID)).alias("_prev"))
+    prev = last.select(_PID, F.lag("_last").over(W.partitionBy(F.lit(0)).orderBy(_PID)).alias("_prev"))  # n rows
     j = rows.join(F.broadcast(prev), _PID, "left")
     if series_cols:
         same_in = F.col("_lag_ser") == F.col("_ser")
@@ -87,7 +111,7 @@ def lag_global(df: DataFrame, value: str, order_cols: list[str], out_col: str =
             F.when(same_in, F.col("_lag")))
     else:
         lag = F.when(F.col("_first"), F.col("_prev.v")).otherwise(F.col("_lag"))
-    return j.withColumn(out_col, lag).drop(_PID, "_pos", "_lag", "_first", "_prev", "_lag_ser", "_ser")
+    return j.withColumn(out_col, lag).drop(_PID, "_pos", "_bkey", "_lag", "_first", "_prev", "_lag_ser", "_ser")
 
 
 def temporal_split(df: DataFrame, order_cols: list[str], test_size: float = 0.2,
