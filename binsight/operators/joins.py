@@ -38,12 +38,11 @@ def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = MAX_BROADCAST_RO
 
 def domain_tables(domain_source: DataFrame) -> tuple[DataFrame, int, DataFrame, int]:
     """Known areas and waste types from one pass over ``domain_source``:
-    distinct (area, waste_type) pairs are checkpointed, both lists derive
-    from that small table.  Returns (areas, n_areas, types, n_types)."""
-    pairs, _ = materialize_small(domain_source.select("area", "waste_type").distinct())
-    areas, na = materialize_small(pairs.select("area").distinct())
-    types, nt = materialize_small(pairs.select("waste_type").distinct())
-    return areas, na, types, nt
+    distinct (area, waste_type) pairs are checkpointed and counted; both lists
+    derive from that small table and have at most as many rows, so the pair
+    count bounds them.  Returns (areas, bound, types, bound)."""
+    pairs, n = materialize_small(domain_source.select("area", "waste_type").distinct())
+    return pairs.select("area").distinct(), n, pairs.select("waste_type").distinct(), n
 
 
 def history_cells(history: DataFrame, value: str = "net_weight_kg") -> tuple[DataFrame, int]:

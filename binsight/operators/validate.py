@@ -52,6 +52,7 @@ def validate_requests(requests: DataFrame, valid_areas: DataFrame, valid_types:
     else:
         va, na = materialize_small(valid_areas.select("area").distinct())
         vt, nt = materialize_small(valid_types.select("waste_type").distinct())
+    # (area and type lists are re-derived from checkpointed tables: cheap)
     va = bounded_broadcast(va.select(F.col("area").alias("_va")), na)
     vt = bounded_broadcast(vt.select(F.col("waste_type").alias("_vt")), nt)
     df = requests.withColumn("clean_area", X.sanitize(a)).withColumn("clean_waste_type", X.sanitize(t))

@@ -39,9 +39,13 @@ def start_ingest(spark: SparkSession, in_dir: str, headers: list[str], table_pat
     stream = upload_stream(spark, in_dir, headers, fmt)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        good, bad = ingest.split_rejects(batch)
-        good.drop("raw_date").write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
+        batch = batch.persist()  # read once, written to two tables
+        try:
+            good, bad = ingest.split_rejects(batch)
+            good.drop("raw_date").write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
