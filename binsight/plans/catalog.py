@@ -12,8 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from binsight.plans import oracle_views as V
-
 Builder = Callable[[SparkSession, str], DataFrame]
 SPARK: dict[str, Builder] = {}
 SQL: dict[str, str] = {}

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from binsight.functions import exprs as X
 from binsight.operators import joins, summary
 from binsight.plans import oracle_views as V
-from binsight.plans.catalog import (AS_OF_LONG, AS_OF_RECENT, AS_OF_SIGNUPS, SAMPLE_USER,
-                                    register)
+from binsight.plans.catalog import AS_OF_RECENT, AS_OF_SIGNUPS, register
 from binsight.sources import tables as T
 
 _AVG_FALLBACK = "COALESCE(NULLIF({c}, 0), r.prediction)"
