@@ -31,9 +31,12 @@ def materialize_small(df: DataFrame) -> tuple[DataFrame, int]:
     return cp, cp.count()
 
 
-def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only for a side whose measured row count is within the bound."""
-    return F.broadcast(df) if rows <= max_rows else df
+def bounded_broadcast(df: DataFrame, rows: int, max_rows: int | None = None) -> DataFrame:
+    """Broadcast hint only for a side whose measured row count is within the
+    bound (``MAX_BROADCAST_ROWS`` unless given); beyond it the planner's
+    shuffle join (sort-merge, AQE skew handling) is used."""
+    bound = MAX_BROADCAST_ROWS if max_rows is None else max_rows
+    return F.broadcast(df) if rows <= bound else df
 
 
 def domain_tables(domain_source: DataFrame) -> tuple[DataFrame, int, DataFrame, int]:

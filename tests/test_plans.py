@@ -52,3 +52,25 @@ def test_flagship_broadcasts_means_not_the_facts(spark):
     assert "BroadcastHashJoin [area], [_area]" in p
     assert "BroadcastHashJoin [waste_type], [_waste_type]" in p
     assert "SortMergeJoin [area]" not in p and "SortMergeJoin [waste_type]" not in p
+
+
+def test_flagship_beyond_broadcast_bound_uses_shuffle_join(spark, monkeypatch):
+    import re
+
+    from binsight.operators import joins
+    req = T.scored_requests(spark, SF_SMALL)
+    hist = T.history_with_gaps(spark, SF_SMALL)
+    small = joins.benchmark_against_history(req, hist)
+    monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = joins.benchmark_against_history(req, hist)
+        plan = re.sub(r"#\d+L?", "", big._jdf.queryExecution().executedPlan().toString())
+        assert "SortMergeJoin [area], [_area]" in plan
+        key = ["l_orderkey", "l_linenumber", "area", "waste_type", "prediction", "area_avg", "type_avg", "overall_avg"]
+        assert small.select(*key).exceptAll(big.select(*key)).count() == 0
+        assert big.count() == small.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
