@@ -35,6 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from binsight.models.train import add_calendar
+from binsight.operators.joins import bounded_broadcast
 from binsight.session import ensure_checkpoint_dir
 
 CAL = ["year", "month", "day", "dayofweek"]
@@ -63,7 +64,7 @@ class KnnRegressorModel:
                         (F.col("year") + F.col("dy")).alias("y2"), (F.col("month") + F.col("dm")).alias("m2"),
                         (F.col("day") + F.col("dd")).alias("d2"),
                         (F.col("dy") * F.col("dy") + F.col("dm") * F.col("dm") + F.col("dd") * F.col("dd")).alias("cal")))
-        t = self.t
+        t = {k: bounded_broadcast(v, self.sizes[k]) if k in self.sizes else v for k, v in self.t.items()}
         j = cand.join(t["date"], ["y2", "m2", "d2"])  # only dates that exist in training
         j = j.withColumn("cal", F.col("cal") + (F.col("dayofweek") - F.col("w2")) * (F.col("dayofweek") - F.col("w2")))
         j = j.filter(F.col("cal") <= rho)
@@ -136,6 +137,7 @@ class KnnRegressorModel:
         return req.join(keyed, cond, "left").drop("gid", *[f"_g_{c}" for c in GROUP])
 
     _date_col = None
+    sizes: dict = {}
 
 
 def fit_knn(train: DataFrame, k: int = 5, label: str = "label", date_col: str | None = None) -> KnnRegressorModel:
@@ -158,6 +160,11 @@ def fit_knn(train: DataFrame, k: int = 5, label: str = "label", date_col: str |
                   F.max("year").alias("y1"))
     tables["all"] = _cp(stats)
     row = tables["all"].first()
+    # row counts of the search tables: each is broadcast to the candidate
+    # join only when within the broadcast bound (the per-date table has one
+    # row per training date, bounded by the calendar)
+    sizes = {k: tables[k].count() for k in ("date", "date_area", "date_type", "cell")}
     model = KnnRegressorModel(tables, int(row["n"]), (int(row["y0"] or 0), int(row["y1"] or 0)), k, label)
+    model.sizes = sizes
     model._date_col = date_col
     return model
