@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from binsight.session import default_partitions, scratch_path
+from binsight.session import default_partitions, ensure_checkpoint_dir, scratch_path
 
 _PID = "_pid"
 
@@ -59,9 +59,13 @@ def _ranged(df: DataFrame, order_cols: list[str], num_partitions: int | None) ->
     tagged = tagged.withColumn("_bkey", F.coalesce(F.col("_bkey"), F.col(_PID).cast("long")))
     path = scratch_path(spark, "ranged")
     name = "binsight_tmp_" + uuid.uuid4().hex
-    (tagged.write.bucketBy(n, "_bkey").sortBy(_PID, "_pos")
-     .option("path", path).saveAsTable(name))
-    return spark.table(name)
+    try:
+        (tagged.write.bucketBy(n, "_bkey").sortBy(_PID, "_pos")
+         .option("path", path).saveAsTable(name))
+        return spark.table(name)
+    except Exception:  # no usable session catalog: same result, one more shuffle later
+        ensure_checkpoint_dir(spark)
+        return tagged.checkpoint(eager=True)
 
 
 def _rank_parts(df: DataFrame, order_cols: list[str], rank_col: str, num_partitions: int | None):
