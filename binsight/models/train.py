@@ -71,7 +71,7 @@ def prepare(df: DataFrame, label: str, date_col: str, key: str = "id") -> DataFr
     return add_calendar(df, date_col).select(key, *CATEGORICAL, *NUMERIC, F.col(label).cast("double").alias("label"))
 
 
-def train_models(train: DataFrame, model_ids=SPARK_ML_MODELS, extra_estimators: dict | None = None) -> dict:
+def fit_models(train: DataFrame, model_ids=SPARK_ML_MODELS, extra_estimators: dict | None = None) -> dict:
     """Fit every model; a model that fails is logged and skipped."""
     fitted = {}
     ridge = ridge_reg_param(train, "label") if "ridge" in model_ids else None
@@ -115,7 +115,7 @@ def train_eval(df: DataFrame, label: str, date_col: str, model_ids=SPARK_ML_MODE
     data = random_split(prepare(df, label, date_col, key), key, test_pct).persist()
     train = data if in_sample else data.filter(~F.col("is_test"))
     test = data.filter(F.col("is_test"))
-    models = train_models(train, model_ids, extra_estimators)
+    models = fit_models(train, model_ids, extra_estimators)
     preds = predict_long(models, test, ["label"])
     metrics = regression_metrics(preds)
     return models, leaderboard_frame(df.sparkSession, metrics)
