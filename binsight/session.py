@@ -90,6 +90,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:
             configured = None
     if not configured:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            # a machine-local folder is not visible to other executors
+            raise RuntimeError("spark.checkpoint.dir must name shared storage on a cluster")
         configured = tempfile.mkdtemp(prefix="binsight-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return jsc.sc().getCheckpointDir().get()
