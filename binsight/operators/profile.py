@@ -23,14 +23,27 @@ def describe(df: DataFrame, col: str, quantiles=QUARTILES, decimals: int | None
     """Count, mean, std (n-1), min, quantiles (linear interpolation), max.
 
     ``decimals`` makes the mean an exact decimal sum (the column holds values
-    with that many decimals); ``exact_quantiles=False`` uses
-    ``percentile_approx`` instead of ranks.
+    with that many decimals) and the standard deviation a decimal sum of
+    squared deviations; ``decimals=None`` uses ``avg`` / ``stddev_samp``.
+    ``exact_quantiles=False`` uses ``percentile_approx`` instead of ranks.
     """
     x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    mean = (F.sum(F.col("x").cast(f"decimal(38,{decimals})")).cast("double") / F.count("x")
-            if decimals is not None else F.avg("x"))
-    base = x.agg(F.count("x").alias("count"), mean.alias("mean"), F.stddev_samp("x").alias("std"),
-                 F.min("x").alias("min"), F.max("x").alias("max"))
+    if decimals is None:
+        base = x.agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+                     F.min("x").alias("min"), F.max("x").alias("max"))
+    else:
+        # exact mean, then squared deviations summed as decimals (each term
+        # rounded to 1e-6): the result does not depend on partitioning
+        m = x.agg(F.count("x").alias("count"),
+                  (F.sum(F.col("x").cast(f"decimal(38,{decimals})")).cast("double") / F.count("x")).alias("mean"),
+                  F.min("x").alias("min"), F.max("x").alias("max"))
+        dev = (F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean"))
+        ss = x.crossJoin(F.broadcast(m.select("mean"))).agg(  # one-row mean
+            F.sum(dev.cast("decimal(38,6)")).alias("_ss"))
+        base = m.crossJoin(ss).select(
+            "count", "mean",
+            F.sqrt(F.col("_ss").cast("double") / F.nullif(F.col("count") - 1, F.lit(0))).alias("std"),
+            "min", "max")
     names = [f"q{int(round(q * 100)):02d}" for q in quantiles]
     if not exact_quantiles:
         qs = x.agg(F.percentile_approx("x", list(quantiles), 10000).alias("_q"))

@@ -187,9 +187,16 @@ def sanitize_text(spark, d):
 # ------------------------------------------------------------------ profiles
 
 @register("profile_numeric", _OBS + f"""
-SELECT COUNT(net_weight_kg) AS count, {V.exact_avg('net_weight_kg')} AS mean, stddev_samp(net_weight_kg) AS std,
-       MIN(net_weight_kg) AS min, quantile_cont(net_weight_kg, 0.25) AS q25, quantile_cont(net_weight_kg, 0.5) AS q50,
-       quantile_cont(net_weight_kg, 0.75) AS q75, MAX(net_weight_kg) AS max FROM h""")
+, m AS (SELECT COUNT(net_weight_kg) AS n, {V.exact_avg('net_weight_kg')} AS mean FROM h),
+s AS (SELECT SUM(CAST((h.net_weight_kg - m.mean) * (h.net_weight_kg - m.mean) AS DECIMAL(38,6))) AS ss
+        FROM h CROSS JOIN m WHERE h.net_weight_kg IS NOT NULL)
+SELECT m.n AS count, m.mean, sqrt(CAST(s.ss AS DOUBLE) / NULLIF(m.n - 1, 0)) AS std,
+       (SELECT MIN(net_weight_kg) FROM h) AS min,
+       (SELECT quantile_cont(net_weight_kg, 0.25) FROM h) AS q25,
+       (SELECT quantile_cont(net_weight_kg, 0.5) FROM h) AS q50,
+       (SELECT quantile_cont(net_weight_kg, 0.75) FROM h) AS q75,
+       (SELECT MAX(net_weight_kg) FROM h) AS max
+  FROM m CROSS JOIN s""")
 def profile_numeric(spark, d):
     return profile.describe(T.observations(spark, d), "net_weight_kg")
 
