@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from binsight.session import default_partitions, ensure_checkpoint_dir, scratch_path
 
 _PID = "_pid"
+SCRATCH_DB = "binsight_scratch"
 
 
 def _bucket_keys(spark, n: int) -> DataFrame:
@@ -58,8 +59,12 @@ def _ranged(df: DataFrame, order_cols: list[str], num_partitions: int | None) ->
     tagged = tagged.join(F.broadcast(_bucket_keys(spark, n)), _PID, "left")  # n rows
     tagged = tagged.withColumn("_bkey", F.coalesce(F.col("_bkey"), F.col(_PID).cast("long")))
     path = scratch_path(spark, "ranged")
-    name = "binsight_tmp_" + uuid.uuid4().hex
     try:
+        # a dedicated scratch database under the checkpoint folder keeps these
+        # temporary tables out of user databases; drop it to clean up
+        base = ensure_checkpoint_dir(spark).rstrip("/")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH_DB} LOCATION '{base}/binsight-scratch/db'")
+        name = f"{SCRATCH_DB}.t_" + uuid.uuid4().hex
         (tagged.write.bucketBy(n, "_bkey").sortBy(_PID, "_pos")
          .option("path", path).saveAsTable(name))
         return spark.table(name)
