@@ -22,6 +22,11 @@ from binsight.session import ensure_checkpoint_dir
 # (sort-merge, with AQE's skew-join splitting hot keys).
 MAX_BROADCAST_ROWS = 1_000_000
 
+# Gauge headroom and the band thresholds relative to the area mean.
+GAUGE_HEADROOM = 1.2
+BAND_AMBER_ABOVE = 1.1
+BAND_RED_ABOVE = 1.3
+
 
 def materialize_small(df: DataFrame) -> tuple[DataFrame, int]:
     """Checkpoint an aggregated table (computed once, re-read by every branch
@@ -94,9 +99,9 @@ def prediction_band(scored: DataFrame, prediction: str = "prediction") -> DataFr
     1.3 x area_avg, 'amber' above 1.1 x area_avg, else 'green'.
     """
     p = F.col(prediction)
-    gmax = F.greatest(p, F.col("area_avg"), F.col("overall_avg")) * F.lit(1.2)
-    band = (F.when(p > F.col("area_avg") * F.lit(1.3), F.lit("red"))
-            .when(p > F.col("area_avg") * F.lit(1.1), F.lit("amber")).otherwise(F.lit("green")))
+    gmax = F.greatest(p, F.col("area_avg"), F.col("overall_avg")) * F.lit(GAUGE_HEADROOM)
+    band = (F.when(p > F.col("area_avg") * F.lit(BAND_RED_ABOVE), F.lit("red"))
+            .when(p > F.col("area_avg") * F.lit(BAND_AMBER_ABOVE), F.lit("amber")).otherwise(F.lit("green")))
     return scored.select(*scored.columns, gmax.alias("gauge_max"),
                          (p / gmax * F.lit(100.0)).alias("gauge_pct"), band.alias("band"))
 
