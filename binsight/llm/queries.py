@@ -1,4 +1,4 @@
 """Imports the modules that register the training-data queries."""
 
-from binsight.llm import fingerprint, packing, secrets, toxicity, warc  # noqa: F401
+from binsight.llm import fingerprint, mixing, packing, pii, secrets, toxicity, warc  # noqa: F401
 from binsight.llm.catalog import QUERIES, SQL  # noqa: F401
