@@ -63,17 +63,19 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         lo = hi
 
 
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts, and the offset of each text in them (null: empty)."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_string())
+def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all values of a large_string or large_binary column without nulls, and each one's offset."""
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts, and the offset of each text in them (null: empty)."""
+    return raw(pc.fill_null(column, "").cast(pa.large_string()))
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each white-space separated word, and which bytes are in words.  No word
     crosses from one text into the next."""
