@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows of whole texts go to Python in batches that fit two workers an executor
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
