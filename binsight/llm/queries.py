@@ -1,4 +1,4 @@
 """Imports the modules that register the training-data queries."""
 
-from binsight.llm import fingerprint, mixing, neardup, packing, pii, secrets, substrings, toxicity, warc  # noqa: F401
+from binsight.llm import fingerprint, mixing, neardup, packing, pii, secrets, substrings, toxicity, vectors, warc  # noqa: F401
 from binsight.llm.catalog import QUERIES, SQL  # noqa: F401
