@@ -30,7 +30,7 @@ END = 2
 #: Most lengths in a combination: tails in a unit, units in a window.
 TAIL_PARTS, UNIT_PARTS = 3, 6
 #: Distinct words whose ids a Python worker remembers (a cache, dropped when full).
-CACHE = 250_000
+CACHE = 600_000
 
 CUT_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "nth"]
 
@@ -306,7 +306,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, unit: int =
         encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, Encoder(tokenizer_path))
         task, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
-            for lo, hi in text_slices(batch["text"]):
+            for lo, hi in text_slices(batch["text"], 2 << 20):
                 part = batch.slice(lo, hi - lo)
                 ids, first = encoder.encode(part["text"])
                 rows = []

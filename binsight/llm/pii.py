@@ -253,6 +253,19 @@ def personal(docs: DataFrame) -> DataFrame:
                        _joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
+def _replaced(kind: str, how: str, weights: dict[str, float]):
+    """For transform(): a part that is personal data becomes its kind, others stay."""
+    def part(x, i):
+        if how == "base":
+            judged = holds(kind, x)
+        else:
+            form = zip((*LABELERS, "length", "parted"), _judged(kind, False, F.col("_parts"), i), strict=True)
+            judged = accepted(F.lit(kind), list(form), weights)
+        return F.when((i % 2 == 1) & judged, F.lit(f"[{kind.upper()}]")).otherwise(x)
+
+    return part
+
+
 def redacted(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
     """All columns of docs, with personal data in text replaced by its kind in brackets.
 
@@ -265,15 +278,7 @@ def redacted(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
             clean = F.translate("_text", "\u0001", "\u0002")
             rows = rows.withColumn("_parts", F.when(_tried(kind, how, F.col("_text")), _cut(clean, pattern)))
 
-            def taken(part, i, kind=kind, how=how):
-                if how == "base":
-                    judged = holds(kind, part)
-                else:
-                    form = dict(zip((*LABELERS, "length", "parted"), _judged(kind, False, F.col("_parts"), i), strict=True))
-                    judged = accepted(F.lit(kind), list(form.items()), weights)
-                return F.when((i % 2 == 1) & judged, F.lit(f"[{kind.upper()}]")).otherwise(part)
-
-            rows = rows.withColumn("_text", F.when(F.size("_parts") > 1, F.array_join(F.transform("_parts", taken), ""))
+            rows = rows.withColumn("_text", F.when(F.size("_parts") > 1, F.array_join(F.transform("_parts", _replaced(kind, how, weights)), ""))
                                    .otherwise(F.col("_text"))).drop("_parts")
     return rows.withColumn("text", F.col("_text")).drop("_text")
 

@@ -1,4 +1,9 @@
-"""Imports the modules that register the training-data queries."""
+"""Imports the modules that register the training-data queries, and adds the pipeline."""
 
+import corpus_pipeline
 from binsight.llm import fingerprint, mixing, neardup, packing, pii, secrets, substrings, toxicity, vectors, warc  # noqa: F401
-from binsight.llm.catalog import QUERIES, SQL  # noqa: F401
+from binsight.llm.catalog import QUERIES, SQL
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
