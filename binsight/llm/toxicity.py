@@ -20,10 +20,12 @@ from binsight.llm.common import flat, lowered, table, text_slices
 ORDERS = (4, 5, 6)
 BUCKET_BITS, WIDTH = 20, 8
 #: Bounds of the training sample: labelled rows, and code points of a text in it.
-TRAIN_ROWS, TRAIN_CHARS = 6_000, 200_000
+TRAIN_ROWS, TRAIN_CHARS = 8_000, 200_000
 #: An n-gram of fewer training texts is left out (it would only be learned by heart); of few texts, one in 150.
 LEAST_TEXTS = 25
-EPOCHS, BATCH, RATE, SEED = 8, 64, 0.5, 11
+#: One of more than this share of them is left out, too: it tells the classes apart little.
+MOST_SHARE = 0.2
+EPOCHS, BATCH, RATE, SEED = 12, 64, 0.5, 11
 STEP = 4 << 20
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -80,45 +82,44 @@ def fit(texts: pa.Array, labels: np.ndarray, width: int = WIDTH, epochs: int = E
         for own in per:
             ids, n = np.unique(np.concatenate(own or [np.zeros(0, np.int32)]), return_counts=True)
             bags.append((ids, (n / max(n.sum(), 1)).astype(np.float32)))
-    size = 1 << BUCKET_BITS
-    spread = np.zeros(size, np.int32)
+    spread = np.zeros(1 << BUCKET_BITS, np.int32)
     for ids, _ in bags:
         spread[ids] += 1
-    least = min(LEAST_TEXTS, max(2, len(bags) // 150))
-    bags = [(ids[k], n[k]) for ids, n in bags for k in [spread[ids] >= least]]
-    emb = rng.uniform(-1 / width, 1 / width, (width, size)).astype(np.float32)
+    used = (spread >= min(LEAST_TEXTS, max(2, len(bags) // 150))) & (spread <= MOST_SHARE * len(bags))
+    place, size = np.cumsum(used) - 1, int(used.sum())
+    bags = [(place[ids[used[ids]]], n[used[ids]]) for ids, n in bags]
+    emb = rng.uniform(-1 / width, 1 / width, (size, width)).astype(np.float32)
     soft = rng.normal(0, 0.5, (2, width)).astype(np.float32)
     share = np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3)
     bias = np.array([0.0, np.log(share / (1 - share))], np.float32)
-    seen_e, seen_s, seen_b = np.full((width, size), 1e-8, np.float32), np.full_like(soft, 1e-8), np.full_like(bias, 1e-8)
-    for _ in range(epochs if len(labels) and 0 < labels.sum() < len(labels) else 0):
+    seen_e, seen_s, seen_b = np.full_like(emb, 1e-8), np.full_like(soft, 1e-8), np.full_like(bias, 1e-8)
+    for _ in range(epochs if size and 0 < labels.sum() < len(labels) else 0):
         order = rng.permutation(len(bags))
         for lo in range(0, len(order), BATCH):
             some = order[lo:lo + BATCH]
             ids = np.concatenate([bags[i][0] for i in some])
             part = np.concatenate([bags[i][1] for i in some])
             row = np.repeat(np.arange(len(some)), [len(bags[i][0]) for i in some])
-            mean = np.stack([np.bincount(row, emb[d, ids] * part, len(some)) for d in range(width)], 1).astype(np.float32)
+            own = emb[ids]
+            mean = np.stack([np.bincount(row, own[:, d] * part, len(some)) for d in range(width)], 1).astype(np.float32)
             logit = mean @ soft.T + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(some)), labels[some]] -= 1
             p /= len(some)
-            back = p @ soft
-            used, where = np.unique(ids, return_inverse=True)
-            for d in range(width):
-                g = np.bincount(where, back[row, d] * part, len(used)).astype(np.float32)
-                seen_e[d, used] += g * g
-                emb[d, used] -= RATE * g / np.sqrt(seen_e[d, used])
+            back = (p @ soft)[row] * part[:, None]
+            g = np.stack([np.bincount(ids, back[:, d], size) for d in range(width)], 1).astype(np.float32)
+            seen_e += g * g
+            emb -= RATE * g / np.sqrt(seen_e)
             g = p.T @ mean
             seen_s += g * g
             soft -= RATE * 0.2 * g / np.sqrt(seen_s)
             g = p.sum(0)
             seen_b += g * g
             bias -= RATE * 0.2 * g / np.sqrt(seen_b)
-    weight = (soft[1] - soft[0]) @ emb
-    weight[spread < least] = 0  # an n-gram that was never trained says nothing
-    return weight.astype(np.float32), float(bias[1] - bias[0])
+    weight = np.zeros(1 << BUCKET_BITS, np.float32)  # an n-gram that was never trained says nothing
+    weight[used] = emb @ (soft[1] - soft[0])
+    return weight, float(bias[1] - bias[0])
 
 
 def held_out(doc_id) -> F.Column:
