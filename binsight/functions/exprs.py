@@ -18,8 +18,8 @@ ANONYMOUS = "Anonymous"
 # Characters removed by the text sanitiser and its default length cap.
 SANITIZE_REMOVE = "[;<>]"
 SANITIZE_MAX_LEN = 255
-# Whitespace stripped by `strip` (ASCII whitespace: space, \t, \n, \r, \f, \v).
-_WS = "[ \\t\\n\\r\\f\\x0B]"
+# Whitespace stripped by `strip`: what Python's str.strip removes, no-break and other Unicode spaces included.
+_WS = "[\\t-\\r\\x1C- \\x85\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
 
 def _c(x) -> Column:

@@ -18,16 +18,17 @@ from binsight.sources import ingest
 
 
 def upload_stream(spark: SparkSession, in_dir: str, headers: list[str], fmt: str = "csv") -> DataFrame:
-    """Streaming frame of uploaded records; ``headers`` names the file
-    columns (file sources need a schema up front; every field is a string)."""
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(headers))])
-    if fmt == "csv":
-        raw = spark.readStream.option("header", True).option("enforceSchema", True).schema(schema).csv(in_dir)
-    else:
-        schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
-        raw = spark.readStream.schema(schema).json(in_dir)
-    if fmt == "csv":
-        raw = ingest._named(raw, headers)
+    """Streaming frame of uploaded records.
+
+    ``headers`` names the columns of CSV files (file sources need a schema up
+    front; every field is a string); a file whose header differs from them
+    fails the query instead of being read by position.  JSON Lines files
+    (``fmt="json"``) are parsed record by record, whatever their keys.
+    """
+    if fmt != "csv":
+        return ingest.normalize_upload(ingest.json_records(spark.readStream.text(in_dir)))
+    schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
+    raw = spark.readStream.option("header", True).option("enforceSchema", False).schema(schema).csv(in_dir)
     return ingest.normalize_upload(raw)
 
 

@@ -31,3 +31,14 @@ def test_restart_is_idempotent_and_picks_up_new_files(spark):
     uploads.start_ingest(spark, src, headers, table, rejects, ckpt, available_now=True).awaitTermination()
     got = sorted(r["area"] for r in uploads.ingested(spark, table).collect())
     assert got == ["A", "B", "C"]
+
+
+def test_json_stream_takes_the_number_zero_as_missing(spark):
+    base = tempfile.mkdtemp(prefix="binsight-stream-")
+    src = os.path.join(base, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.jsonl"), "w") as f:
+        f.write('{"area":"A","type":"x","date":"2026-01-01","weight":0,"kg":7}\n')
+    table, rejects, ckpt = (os.path.join(base, p) for p in ("table", "rejects", "ckpt"))
+    uploads.start_ingest(spark, src, [], table, rejects, ckpt, fmt="json", available_now=True).awaitTermination()
+    assert [r.weight for r in uploads.ingested(spark, table).collect()] == [7.0]
