@@ -125,15 +125,19 @@ def to_cents(c) -> Column:
     return (_c(c).cast("decimal(18,2)") * 100).cast("decimal(38,0)")
 
 
+# Type that doubles are summed in: six decimals, exact for values up to 10^22.
+EXACT = "decimal(28,6)"
+
+
 def exact_sum(c) -> Column:
-    """Order-independent sum of a two-decimal double column (as double)."""
-    return F.sum(_c(c).cast("decimal(18,2)")).cast("double")
+    """Order-independent sum of a double column, to six decimals (as double)."""
+    return F.sum(_c(c).cast(EXACT)).cast("double")
 
 
 def exact_avg(c) -> Column:
     """Mean from the exact decimal sum; NULL for an all-NULL group."""
     c = _c(c)
-    return F.sum(c.cast("decimal(18,2)")).cast("double") / F.count(c)
+    return F.sum(c.cast(EXACT)).cast("double") / F.count(c)
 
 
 def half_up_div(num, den) -> Column:

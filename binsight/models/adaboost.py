@@ -19,9 +19,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binsight.models.catalog import SEED
@@ -48,6 +48,21 @@ class AdaBoostR2Model:
         return out.withColumn("prediction", med["res"]).drop(*[f"_p{m}" for m in range(len(self.trees))])
 
 
+    def save(self, path: str) -> None:
+        """The preparation, one pipeline of all trees, and their weights."""
+        self.prep.write().overwrite().save(f"{path}/prep")
+        named = [t.copy().setPredictionCol(f"_p{m}") for m, t in enumerate(self.trees)]
+        PipelineModel(stages=named).write().overwrite().save(f"{path}/trees")
+        spark = SparkSession.getActiveSession()
+        (spark.createDataFrame(list(enumerate(self.weights)), "m int, weight double")
+         .write.mode("overwrite").parquet(f"{path}/weights"))
+
+    @classmethod
+    def load(cls, path: str) -> AdaBoostR2Model:
+        rows = SparkSession.getActiveSession().read.parquet(f"{path}/weights").orderBy("m").collect()  # one per tree
+        return cls(PipelineModel.load(f"{path}/prep"), PipelineModel.load(f"{path}/trees").stages, [r["weight"] for r in rows])
+
+
 def fit_adaboost_r2(train: DataFrame, prep_stages: list, n_estimators: int = 50, max_depth: int = 3,
                     label: str = "label", checkpoint_every: int = 10) -> AdaBoostR2Model:
     prep = Pipeline(stages=prep_stages).fit(train)
@@ -87,6 +102,8 @@ def fit_adaboost_r2(train: DataFrame, prep_stages: list, n_estimators: int = 50,
         if cached is not None:
             cached.unpersist()
         cached = data if (m + 1) % checkpoint_every else None
+    if cached is not None:
+        cached.unpersist()
     for t in trees:
         t.setPredictionCol("prediction")
     return AdaBoostR2Model(prep, trees, weights)

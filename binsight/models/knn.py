@@ -30,15 +30,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from binsight.models.train import add_calendar
-from binsight.operators.joins import bounded_broadcast
+from binsight.operators.joins import bounded_broadcast, measured_bytes
 from binsight.session import ensure_checkpoint_dir
 
 CAL = ["year", "month", "day", "dayofweek"]
+TABLES = ("date", "date_area", "date_type", "cell", "areas", "types", "all")
 GROUP = ["area", "waste_type", "year", "month", "day", "dayofweek"]
 
 
@@ -56,30 +57,38 @@ class KnnRegressorModel:
         """Buckets within squared calendar radius ``rho`` for request groups ``q``."""
         r = math.isqrt(rho)
         seq = lambda lo, hi: F.sequence(F.lit(lo), F.lit(hi))
-        cand = (q.withColumn("dy", F.explode(seq(-r, r)))
+        # offsets once per distinct request date, held against the training dates
+        # before groups (area, type) meet them
+        day = ["year", "month", "day"]
+        near = (q.select(*day).distinct()
+                .withColumn("dy", F.explode(seq(-r, r)))
+                .where((F.col("year") + F.col("dy")).between(*self.years))
                 .withColumn("dm", F.explode(seq(-min(r, 11), min(r, 11))))
+                .where((F.col("month") + F.col("dm")).between(1, 12)
+                       & (F.col("dy") * F.col("dy") + F.col("dm") * F.col("dm") <= rho))
                 .withColumn("dd", F.explode(seq(-min(r, 30), min(r, 30))))
-                .filter(F.col("dy") * F.col("dy") + F.col("dm") * F.col("dm") + F.col("dd") * F.col("dd") <= rho)
-                .select("gid", "pa", "pt", "area", "waste_type", "dayofweek",
-                        (F.col("year") + F.col("dy")).alias("y2"), (F.col("month") + F.col("dm")).alias("m2"),
+                .where((F.col("day") + F.col("dd")).between(1, 31))
+                .select(*day, (F.col("year") + F.col("dy")).alias("y2"), (F.col("month") + F.col("dm")).alias("m2"),
                         (F.col("day") + F.col("dd")).alias("d2"),
-                        (F.col("dy") * F.col("dy") + F.col("dm") * F.col("dm") + F.col("dd") * F.col("dd")).alias("cal")))
+                        (F.col("dy") * F.col("dy") + F.col("dm") * F.col("dm") + F.col("dd") * F.col("dd")).alias("cal"))
+                .where(F.col("cal") <= rho))
         t = {k: bounded_broadcast(v, self.sizes[k]) if k in self.sizes else v for k, v in self.t.items()}
-        j = cand.join(t["date"], ["y2", "m2", "d2"])  # only dates that exist in training
+        near = near.join(t["date"], ["y2", "m2", "d2"])  # only dates that exist in training
+        j = q.select("gid", "pa", "pt", "area", "waste_type", "dayofweek", *day).join(near, day)
         j = j.withColumn("cal", F.col("cal") + (F.col("dayofweek") - F.col("w2")) * (F.col("dayofweek") - F.col("w2")))
         j = j.filter(F.col("cal") <= rho)
         j = (j.join(t["date_area"], ["y2", "m2", "d2", "area"], "left")
              .join(t["date_type"], ["y2", "m2", "d2", "waste_type"], "left")
              .join(t["cell"], ["y2", "m2", "d2", "area", "waste_type"], "left"))
         z = lambda c: F.coalesce(F.col(c), F.lit(0))
-        zs = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        zs = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(38,6)")  # exact: sums are subtracted
         cal, pa, pt = F.col("cal"), F.col("pa"), F.col("pt")
         buckets = F.array(
             F.struct(cal.alias("dist"), z("n_at").alias("cnt"), zs("s_at").alias("sm")),
             F.struct((cal + pt).alias("dist"), (z("n_a") - z("n_at")).alias("cnt"), (zs("s_a") - zs("s_at")).alias("sm")),
             F.struct((cal + pa).alias("dist"), (z("n_t") - z("n_at")).alias("cnt"), (zs("s_t") - zs("s_at")).alias("sm")),
             F.struct((cal + pa + pt).alias("dist"), (F.col("n") - z("n_a") - z("n_t") + z("n_at")).alias("cnt"),
-                     (F.col("s") - zs("s_a") - zs("s_t") + zs("s_at")).alias("sm")))
+                     (zs("s") - zs("s_a") - zs("s_t") + zs("s_at")).alias("sm")))
         b = j.select("gid", F.explode(buckets).alias("b")).select("gid", "b.*")
         b = b.filter((F.col("cnt") > 0) & (F.col("dist") <= rho))
         # per group and distance; a group has at most rho + 5 distinct distances
@@ -93,7 +102,8 @@ class KnnRegressorModel:
         lv = (levels.withColumn("run_cnt", F.sum("cnt").over(w)).withColumn("run_sm", F.sum("sm").over(w))
               .withColumn("lt_cnt", F.col("run_cnt") - F.col("cnt")).withColumn("lt_sm", F.col("run_sm") - F.col("sm")))
         hit = lv.filter((F.col("run_cnt") >= k) & (F.col("lt_cnt") < k))  # the level holding the k-th row
-        pred = (F.col("lt_sm") + (F.lit(k) - F.col("lt_cnt")) * F.col("sm") / F.col("cnt")) / F.lit(k)
+        d = lambda c: F.col(c).cast("double")
+        pred = (d("lt_sm") + (F.lit(k) - F.col("lt_cnt")) * d("sm") / F.col("cnt")) / F.lit(k)
         return hit.select("gid", pred.alias("prediction"), F.col("dist").alias("kth_dist2"))
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -121,7 +131,7 @@ class KnnRegressorModel:
                 break
             if rho >= rho_max:
                 # fewer than k training rows in total: mean of all of them
-                allm = self.t["all"].select((F.col("s") / F.col("n")).alias("prediction"),
+                allm = self.t["all"].select((F.col("s").cast("double") / F.col("n")).alias("prediction"),
                                             F.lit(None).cast("long").alias("kth_dist2"))
                 done.append(pending.select("gid").crossJoin(allm))  # all is one row
                 break
@@ -139,13 +149,32 @@ class KnnRegressorModel:
     _date_col = None
     sizes: dict = {}
 
+    def save(self, path: str) -> None:
+        """The search tables, and one row of parameters."""
+        for name, df in self.t.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        spark = self.t["all"].sparkSession
+        (spark.createDataFrame([(self.n_train, *self.years, self.k, self.label, self._date_col)],
+                               "n_train long, y0 int, y1 int, k int, label string, date_col string")
+         .write.mode("overwrite").parquet(f"{path}/params"))
+
+    @classmethod
+    def load(cls, path: str) -> KnnRegressorModel:
+        spark = SparkSession.getActiveSession()
+        p = spark.read.parquet(f"{path}/params").first()
+        tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+        model = cls(tables, p["n_train"], (p["y0"], p["y1"]), p["k"], p["label"])
+        model.sizes = {k: measured_bytes(tables[k]) for k in ("date", "date_area", "date_type", "cell")}
+        model._date_col = p["date_col"]
+        return model
+
 
 def fit_knn(train: DataFrame, k: int = 5, label: str = "label", date_col: str | None = None) -> KnnRegressorModel:
     """Aggregate the training rows into the per-date tables used by the search.
     ``train`` has area, waste_type, label and either calendar columns or
     ``date_col``."""
     t = add_calendar(train, date_col) if date_col else train
-    t = t.select(*GROUP, F.col(label).cast("double").alias("_y"))
+    t = t.select(*GROUP, F.col(label).cast("decimal(20,6)").alias("_y"))
     key = [F.col("year").alias("y2"), F.col("month").alias("m2"), F.col("day").alias("d2")]
     tables = {
         "date": _cp(t.groupBy(*key, F.col("dayofweek").alias("w2"))
@@ -160,10 +189,10 @@ def fit_knn(train: DataFrame, k: int = 5, label: str = "label", date_col: str |
                   F.max("year").alias("y1"))
     tables["all"] = _cp(stats)
     row = tables["all"].first()
-    # row counts of the search tables: each is broadcast to the candidate
+    # bytes of the search tables: each is broadcast to the candidate
     # join only when within the broadcast bound (the per-date table has one
     # row per training date, bounded by the calendar)
-    sizes = {k: tables[k].count() for k in ("date", "date_area", "date_type", "cell")}
+    sizes = {k: measured_bytes(tables[k]) for k in ("date", "date_area", "date_type", "cell")}
     model = KnnRegressorModel(tables, int(row["n"]), (int(row["y0"] or 0), int(row["y1"] or 0)), k, label)
     model.sizes = sizes
     model._date_col = date_col

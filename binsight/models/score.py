@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from binsight.functions import exprs as X
@@ -11,6 +13,8 @@ from binsight.models.catalog import DEFAULT_COLOR, DEFAULT_MODEL, MODEL_INFO
 from binsight.models.train import add_calendar
 from binsight.session import ensure_checkpoint_dir
 
+log = logging.getLogger(__name__)
+
 
 def score(model, requests: DataFrame, date_col: str, clamp: bool = False) -> DataFrame:
     """Predictions for a whole table of (area, waste_type, date) requests.
@@ -20,41 +24,54 @@ def score(model, requests: DataFrame, date_col: str, clamp: bool = False) -> Dat
     return out.select(*requests.columns, p.alias("prediction"))
 
 
-def score_all_models(models: dict, requests: DataFrame, date_col: str, request_key: str) -> DataFrame:
-    """K12 + F7: every model's prediction per request (clamped at 0, rounded
-    to cents), with the model's name and colour, and its rank within the
-    request by value.
+def score_wide(models: dict, requests: DataFrame, date_col: str) -> DataFrame:
+    """One row per request: its columns and ``predictions``, an array of
+    (model_id, prediction) by falling prediction, clamped at 0 and rounded to
+    cents.  Each model adds a column to the row, so nothing is shuffled.  A
+    model that fails is logged and left out; if all fail, that is an error.
 
     The request features are checkpointed once, so the models read them
     instead of each re-running the request plan (joins, scans)."""
     ensure_checkpoint_dir(requests.sparkSession)
-    feats = add_calendar(requests, date_col).checkpoint(eager=True)
-    parts = []
+    rows = add_calendar(requests, date_col).checkpoint(eager=True)
+    found = []
     for mid, m in models.items():
         try:
-            parts.append(m.transform(feats).select(request_key, F.lit(mid).alias("model_id"),
-                                                   F.round(X.clamp_non_negative("prediction"), 2).alias("prediction")))
-        except Exception:  # a broken model is skipped, the others still score
-            continue
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+            rows = m.transform(rows).select(*rows.columns, F.round(X.clamp_non_negative("prediction"), 2).alias(f"_p_{mid}"))
+            found.append(mid)
+        except Exception as ex:  # keep going, like the reference's scoring loop
+            log.error("scoring with %s failed: %s", mid, ex)
+    if not found:
+        raise RuntimeError("no model could score the requests")
+    pairs = F.array_sort(F.array(*[F.struct((-F.col(f"_p_{mid}")).alias("o"), F.lit(mid).alias("model_id"),
+                                            F.col(f"_p_{mid}").alias("prediction")) for mid in found]))
+    return rows.select(*requests.columns, F.transform(pairs, lambda p: F.struct(p["model_id"], p["prediction"])).alias("predictions"))
+
+
+def score_all_models(models: dict, requests: DataFrame, date_col: str, request_key: str) -> DataFrame:
+    """K12 + F7: every model's prediction per request (clamped at 0, rounded
+    to cents), with the model's name and colour, and its rank within the
+    request by value."""
     spark = requests.sparkSession
+    long = score_wide(models, requests, date_col).select(request_key, F.posexplode("predictions").alias("pos", "p"))
+    long = long.select(request_key, F.col("p.model_id").alias("model_id"), F.col("p.prediction").alias("prediction"),
+                       (F.col("pos") + 1).alias("rank"))
     info = spark.createDataFrame([(k, v[0], v[2]) for k, v in MODEL_INFO.items()],
                                  "model_id string, name string, color string")
-    long = long.join(F.broadcast(info), "model_id", "left")  # fixed 7-row table
-    long = long.select(request_key, "model_id", "prediction", F.coalesce("name", "model_id").alias("name"),
-                       F.coalesce("color", F.lit(DEFAULT_COLOR)).alias("color"))
-    w = W.partitionBy(request_key).orderBy(F.desc("prediction"), "model_id")
-    return long.withColumn("rank", F.row_number().over(w))
+    return (long.join(F.broadcast(info), "model_id", "left")  # fixed 7-row table
+            .select(request_key, "model_id", "prediction", F.coalesce("name", "model_id").alias("name"),
+                    F.coalesce("color", F.lit(DEFAULT_COLOR)).alias("color"), "rank"))
 
 
-def ensemble_summary(long: DataFrame, request_key: str) -> DataFrame:
-    """Mean, min and max of the models' predictions per request."""
-    return long.groupBy(request_key).agg(F.avg("prediction").alias("mean_prediction"),
-                                         F.min("prediction").alias("min_prediction"),
-                                         F.max("prediction").alias("max_prediction"),
-                                         F.count(F.lit(1)).alias("n_models"))
+def ensemble_summary(models: dict, requests: DataFrame, date_col: str, request_key: str) -> DataFrame:
+    """Mean, min and max of the models' predictions per request (those that there are)."""
+    own = F.filter(F.transform("predictions", lambda p: p["prediction"]), lambda x: x.isNotNull())
+    rows = score_wide(models, requests, date_col).select(request_key, own.alias("p"))
+    n = F.size("p")
+    total = F.aggregate("p", F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x.cast("decimal(30,2)")).cast("decimal(38,2)"))
+    return rows.select(request_key, F.when(n > 0, total.cast("double") / n).alias("mean_prediction"),
+                       F.array_min("p").alias("min_prediction"), F.array_max("p").alias("max_prediction"),
+                       n.cast("long").alias("n_models"))
 
 
 def leaderboard(lb: DataFrame, current: str = DEFAULT_MODEL) -> DataFrame:
@@ -93,7 +110,9 @@ def read_leaderboard(spark: SparkSession, path: str, legacy: bool = False) -> Da
             m = txt.select(F.explode(F.from_json("value", LEGACY_SCHEMA)).alias("model_id", "info"))
             return m.select("model_id", "info.*")
         return spark.read.json(path)
-    except Exception:
+    except AnalysisException as ex:
+        if ex.getCondition() != "PATH_NOT_FOUND":
+            raise
         name, desc, color = MODEL_INFO[DEFAULT_MODEL]
         return spark.createDataFrame([(DEFAULT_MODEL, name, desc, color, 0.0, 0.0, 0.0)],
                                      "model_id string, name string, description string, color string, "

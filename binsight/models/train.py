@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binsight.functions import exprs as X
+from binsight.session import ensure_checkpoint_dir
 from binsight.models.catalog import MODEL_INFO, SEED, SPARK_ML_MODELS, make_estimator
 
 log = logging.getLogger(__name__)
@@ -43,9 +44,10 @@ def preprocessing_stages(categorical=CATEGORICAL, numeric=NUMERIC, out: str = "f
 
 
 def random_split(df: DataFrame, key: str = "id", test_pct: int = 20, seed: int = SEED) -> DataFrame:
-    """K3: ``is_test`` from a hash of the key: the same rows are held out
+    """K3: ``is_test`` from a hash (md5) of seed and key: the same rows are held out
     whatever the partitioning (the test share is approximately test_pct %)."""
-    return df.withColumn("is_test", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < test_pct)
+    digest = F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    return df.withColumn("is_test", F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100 < test_pct)
 
 
 def ridge_reg_param(train: DataFrame, label: str, alpha: float = 1.0) -> float:
@@ -71,8 +73,10 @@ def prepare(df: DataFrame, label: str, date_col: str, key: str = "id") -> DataFr
     return add_calendar(df, date_col).select(key, *CATEGORICAL, *NUMERIC, F.col(label).cast("double").alias("label"))
 
 
-def fit_models(train: DataFrame, model_ids=SPARK_ML_MODELS, extra_estimators: dict | None = None) -> dict:
-    """Fit every model; a model that fails is logged and skipped."""
+def fit_models(train: DataFrame, model_ids=SPARK_ML_MODELS, extra_estimators: dict | None = None,
+               **settings) -> dict:
+    """Fit every model; a model that fails is logged and skipped.
+    ``settings`` (such as ``forest_depth``) go to ``make_estimator``."""
     fitted = {}
     ridge = ridge_reg_param(train, "label") if "ridge" in model_ids else None
     for mid in model_ids:
@@ -80,7 +84,7 @@ def fit_models(train: DataFrame, model_ids=SPARK_ML_MODELS, extra_estimators: di
             if extra_estimators and mid in extra_estimators:
                 fitted[mid] = extra_estimators[mid](train)
                 continue
-            est = make_estimator(mid, ridge_reg=ridge)
+            est = make_estimator(mid, ridge_reg=ridge, **settings)
             fitted[mid] = Pipeline(stages=preprocessing_stages() + [est]).fit(train)
         except Exception as ex:  # keep going, like the reference's training loop
             log.error("training %s failed: %s", mid, ex)
@@ -105,38 +109,57 @@ def leaderboard_frame(spark, metrics: DataFrame) -> DataFrame:
 
 
 def train_eval(df: DataFrame, label: str, date_col: str, model_ids=SPARK_ML_MODELS, key: str = "id",
-               in_sample: bool = False, test_pct: int = 20, extra_estimators: dict | None = None):
+               in_sample: bool = False, test_pct: int = 20, extra_estimators: dict | None = None, **settings):
     """Split, fit all models, evaluate all of them in one aggregate.
 
     ``in_sample=True`` fits on all rows and scores the held-out subset, like
     the reference's training script (its published metrics are in-sample).
-    Returns (fitted models, leaderboard DataFrame).
+    Returns (fitted models, leaderboard DataFrame).  The training rows are cached
+    while models are fitted and scored; the leaderboard is checkpointed.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     data = random_split(prepare(df, label, date_col, key), key, test_pct).persist()
     train = data if in_sample else data.filter(~F.col("is_test"))
     test = data.filter(F.col("is_test"))
-    models = fit_models(train, model_ids, extra_estimators)
-    preds = predict_long(models, test, ["label"])
-    metrics = regression_metrics(preds)
-    return models, leaderboard_frame(df.sparkSession, metrics)
+    try:
+        models = fit_models(train, model_ids, extra_estimators, **settings)
+        metrics = regression_metrics(predict_long(models, test, ["label"]))
+        return models, leaderboard_frame(df.sparkSession, metrics).checkpoint(eager=True)
+    finally:
+        data.unpersist()
 
 
 def save_models(models: dict, base_path: str) -> dict:
-    """One saved PipelineModel per id; returns id -> path."""
+    """One saved model per id (its kind beside it, see ``load_models``); returns id -> path."""
     paths = {}
     for mid, m in models.items():
         p = f"{base_path.rstrip('/')}/{mid}_model"
-        m.write().overwrite().save(p)
+        if isinstance(m, PipelineModel):
+            m.write().overwrite().save(p)
+        else:
+            m.save(p)
         paths[mid] = p
     return paths
 
 
+def _loader(module: str, name: str):
+    def load(path):
+        import importlib
+        return getattr(importlib.import_module(module), name).load(path)
+    return load
+
+
+# Models that aren't Spark ML pipelines.
+LOADERS = {"knn": _loader("binsight.models.knn", "KnnRegressorModel"),
+           "adaboost": _loader("binsight.models.adaboost", "AdaBoostR2Model")}
+
+
 def load_models(paths: dict) -> dict:
     """Load saved models; missing or unreadable ones are skipped."""
     out = {}
     for mid, p in paths.items():
         try:
-            out[mid] = PipelineModel.load(p)
+            out[mid] = LOADERS.get(mid, PipelineModel.load)(p)
         except Exception as ex:
             log.error("loading %s failed: %s", mid, ex)
     return out

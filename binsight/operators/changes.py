@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 
 
 def upsert_latest(base: DataFrame, changes: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
-    """M1: union old rows and changes; per key the newest version by
-    ``order_cols`` wins (ties broken by the later columns of ``order_cols``)."""
-    allrows = base.unionByName(changes)
-    others = [c for c in allrows.columns if c != key]
-    g = allrows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order_cols)).alias("_r"))
+    """M1: per key the stored row, unless a change overwrites it.
+
+    A change always wins over the stored row, whatever its date.  Of several
+    changes (or stored rows) of a key the newest by ``order_cols`` wins; rows
+    that are equal there are told apart by all other columns, so the winner
+    doesn't depend on the order of rows."""
+    others = [c for c in base.columns if c != key]
+    ranked = base.withColumn("_rank", F.lit(0)).unionByName(changes.withColumn("_rank", F.lit(1)))
+    order = F.struct("_rank", *order_cols, *[F.col(c).cast("string") for c in others])
+    g = ranked.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_r"))
     return g.select(key, "_r.*")
 
 
@@ -53,11 +58,15 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str = "id") -> Dat
     return child.join(p, child[fk] == p["_pk"], "left_anti")
 
 
-def update_by_key(df: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """M4: overwrite ``columns`` from ``changes`` where the key matches (left
-    join; unmatched rows keep their values)."""
-    ch = changes.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+def update_by_key(df: DataFrame, changes: DataFrame, key: str, columns: list[str],
+                  order_cols: list[str] | None = None) -> DataFrame:
+    """M4: overwrite ``columns`` from ``changes`` where the key matches, NULLs
+    included; unmatched rows keep their values.  Of several changes of a key the
+    last by ``order_cols`` (then by ``columns``) counts, so no row is multiplied."""
+    order = F.struct(*(order_cols or []), *columns)
+    ch = (changes.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*columns), order).alias("_new"))
+          .withColumn("_matched", F.lit(True)))
     j = df.join(ch, df[key] == ch["_k"], "left")
-    out = [F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in columns else F.col(c)
+    out = [F.when(F.col("_matched"), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
            for c in df.columns]
     return j.select(*out)

@@ -32,7 +32,7 @@ def _in(date_col: str, lo, hi):
 
 def _period_aggs(prefix: str, cond, value: str):
     cents = X.to_cents(value)
-    return [F.count_if(cond).alias(f"{prefix}_n"),
+    return [F.count_if(cond).alias(f"{prefix}_n"), F.count_if(cond & F.col(value).isNotNull()).alias(f"{prefix}_v"),
             F.sum(F.when(cond, cents)).alias(f"{prefix}_sc"),
             F.min(F.when(cond, cents)).alias(f"{prefix}_minc"),
             F.max(F.when(cond, cents)).alias(f"{prefix}_maxc")]
@@ -63,7 +63,7 @@ def compare_periods(logs: DataFrame, period1, period2, area: str | None = None,
     for p in ("p1", "p2"):
         n = F.col(f"{p}_n")
         has = n > 0
-        avg_c = X.half_up_div(F.col(f"{p}_sc"), n)
+        avg_c = X.half_up_div(F.col(f"{p}_sc"), F.col(f"{p}_v"))  # NULL values don't count, as in AVG
         out += [F.when(has, n).alias(f"{p}_count"),
                 F.when(has, avg_c.cast("double") / F.lit(100.0)).alias(f"{p}_avg"),
                 F.when(has, F.col(f"{p}_sc").cast("double") / F.lit(100.0)).alias(f"{p}_total"),
@@ -125,6 +125,7 @@ def quick_compare(logs: DataFrame, as_of, kinds=("week", "month", "year"), value
         for tag, (lo, hi) in (("cur", cur), ("prev", prev)):
             cond = _in(date_col, lo, hi)
             aggs += [F.count_if(cond).alias(f"{k}_{tag}_n"),
+                     F.count_if(cond & F.col(value).isNotNull()).alias(f"{k}_{tag}_v"),
                      F.sum(F.when(cond, X.to_cents(value))).alias(f"{k}_{tag}_sc")]
         specs.append(k)
     df = logs.filter(F.col(date_col).between(F.lit(lo_all).cast("date"), F.lit(as_of).cast("date")))
@@ -136,7 +137,7 @@ def quick_compare(logs: DataFrame, as_of, kinds=("week", "month", "year"), value
             n = F.col(f"{k}_{tag}_n")
             sc = F.coalesce(F.col(f"{k}_{tag}_sc"), F.lit(0).cast("decimal(38,0)"))
             fields += [n.alias(f"{tag}_n"), sc.alias(f"{tag}_sc"),
-                       F.coalesce(X.half_up_div(sc, n), F.lit(0).cast("decimal(38,0)")).alias(f"{tag}_ac")]
+                       F.coalesce(X.half_up_div(sc, F.col(f"{k}_{tag}_v")), F.lit(0).cast("decimal(38,0)")).alias(f"{tag}_ac")]
         rows.append(F.struct(*fields))
     e = g.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     return e.select(

@@ -1,8 +1,8 @@
 """Joins.
 
 Fact rows meet small aggregated sides (means per area / type, domain lists).
-Those sides are computed once, checkpointed and counted; they are broadcast
-only when the measured row count is within ``MAX_BROADCAST_ROWS``, otherwise
+Those sides are computed once, checkpointed and measured; they are broadcast
+only when their bytes are within ``MAX_BROADCAST_BYTES``, otherwise
 the join is left to the planner (sort-merge, AQE skew-join splits hot keys).
 Unconditional ``broadcast`` hints are used only for sides whose size is fixed
 by construction (one-row global aggregates, the 7-row model table, period
@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from binsight.functions import exprs as X
 from binsight.session import ensure_checkpoint_dir
 
-# Largest aggregated side (rows) that is broadcast to every task.  Aggregates
-# are checkpointed and counted first; beyond this size the join shuffles
+# Largest aggregated side (bytes) that is broadcast to every task.  Aggregates
+# are checkpointed and measured first; beyond this size the join shuffles
 # (sort-merge, with AQE's skew-join splitting hot keys).
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 # Gauge headroom and the band thresholds relative to the area mean.
 GAUGE_HEADROOM = 1.2
@@ -28,27 +28,33 @@ BAND_AMBER_ABOVE = 1.1
 BAND_RED_ABOVE = 1.3
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """About the bytes a table takes in memory: of strings their length, 16 for each value besides."""
+    texts = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, t in df.dtypes if t == "string"]
+    row = sum(texts, F.lit(16 * len(df.columns)))
+    return int(df.agg(F.sum(row.cast("long"))).first()[0] or 0)
+
+
 def materialize_small(df: DataFrame) -> tuple[DataFrame, int]:
     """Checkpoint an aggregated table (computed once, re-read by every branch
-    that uses it) and return it with its row count."""
+    that uses it) and return it with its measured bytes."""
     ensure_checkpoint_dir(df.sparkSession)
     cp = df.checkpoint(eager=True)
-    return cp, cp.count()
+    return cp, measured_bytes(cp)
 
 
-def bounded_broadcast(df: DataFrame, rows: int, max_rows: int | None = None) -> DataFrame:
-    """Broadcast hint only for a side whose measured row count is within the
-    bound (``MAX_BROADCAST_ROWS`` unless given); beyond it the planner's
-    shuffle join (sort-merge, AQE skew handling) is used."""
-    bound = MAX_BROADCAST_ROWS if max_rows is None else max_rows
-    return F.broadcast(df) if rows <= bound else df
+def bounded_broadcast(df: DataFrame, size: int, most: int | None = None) -> DataFrame:
+    """Broadcast hint only for a side whose measured bytes are within the bound
+    (``MAX_BROADCAST_BYTES`` unless given); beyond it the planner's shuffle join
+    (sort-merge, AQE skew handling) is used.  The result is the same."""
+    bound = MAX_BROADCAST_BYTES if most is None else most
+    return F.broadcast(df) if size <= bound else df
 
 
 def domain_tables(domain_source: DataFrame) -> tuple[DataFrame, int, DataFrame, int]:
     """Known areas and waste types from one pass over ``domain_source``:
-    distinct (area, waste_type) pairs are checkpointed and counted; both lists
-    derive from that small table and have at most as many rows, so the pair
-    count bounds them.  Returns (areas, bound, types, bound)."""
+    distinct (area, waste_type) pairs are checkpointed and measured; both lists
+    derive from that table and are at most as large, so its bytes bound them.  Returns (areas, bound, types, bound)."""
     pairs, n = materialize_small(domain_source.select("area", "waste_type").distinct())
     return pairs.select("area").distinct(), n, pairs.select("waste_type").distinct(), n
 
@@ -58,7 +64,7 @@ def history_cells(history: DataFrame, value: str = "net_weight_kg") -> tuple[Dat
     (area, waste_type) cell, checkpointed.  Area, type and overall means are
     re-aggregations of this small table, so the history is read once."""
     cells = history.groupBy("area", "waste_type").agg(
-        F.sum(F.col(value).cast("decimal(18,2)")).alias("_s"), F.count(F.col(value)).alias("_n"))
+        F.sum(F.col(value).cast(X.EXACT)).alias("_s"), F.count(F.col(value)).alias("_n"))
     return materialize_small(cells)
 
 
@@ -75,7 +81,7 @@ def benchmark_against_history(requests: DataFrame, history: DataFrame, predictio
 
     The history is aggregated once into (area, type) cells; the per-area and
     per-type means (at most as many rows as cells) are broadcast when the
-    measured cell count is within ``MAX_BROADCAST_ROWS``, so the fact side is
+    measured bytes are within ``MAX_BROADCAST_BYTES``, so the fact side is
     never shuffled for them; the overall mean is a single row.
     """
     cells, n_cells = history_cells(history, value)

@@ -95,6 +95,20 @@ def global_rank(df: DataFrame, order_cols: list[str], rank_col: str = "rn",
     return _rank_parts(df, order_cols, rank_col, num_partitions)[0]
 
 
+def value_ranks(values: DataFrame, value: str, count: str = "n", num_partitions: int | None = None) -> DataFrame:
+    """Distinct values with counts -> with rank_lo and rank_hi, the first and last
+    rank of their rows over the whole table.  However many rows share a value,
+    it is one row here."""
+    ranged = _ranged(values, [value], num_partitions)
+    sums = ranged.groupBy("_bkey", _PID).agg(F.sum(count).alias("_cnt")).drop("_bkey")
+    offsets = sums.select(_PID, F.coalesce(F.sum("_cnt").over(
+        W.partitionBy(F.lit(0)).orderBy(_PID).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))  # a row a range
+    upto = F.sum(count).over(W.partitionBy("_bkey", _PID).orderBy("_pos").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return (ranged.withColumn("_upto", upto).join(F.broadcast(offsets), _PID)
+            .withColumn("rank_hi", F.col("_off") + F.col("_upto")).withColumn("rank_lo", F.col("rank_hi") - F.col(count) + 1)
+            .drop(_PID, "_pos", "_off", "_upto", "_bkey"))
+
+
 def lag_global(df: DataFrame, value: str, order_cols: list[str], out_col: str = "lag_1",
                series_cols: list[str] | None = None, num_partitions: int | None = None) -> DataFrame:
     """Previous row's ``value`` in ``order_cols`` order, over the whole table

@@ -1,62 +1,63 @@
 """Column profiles and distribution statistics.
 
-Exact quantiles and the KS statistic need each value's rank; ranks come from
-``ordered.global_rank`` (range partitioning + per-partition offsets), never
-from a single-partition sort or a driver-side collect.
+Exact quantiles and the KS statistic need each value's ranks.  Rows are first
+counted by value, so a very common value is one row; the distinct values are
+ranked by ``ordered.value_ranks`` (range partitioning + per-partition offsets),
+never by a single-partition sort or a driver-side collect.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binsight.functions import exprs as X
-from binsight.operators.ordered import global_rank
+from binsight.operators.ordered import value_ranks
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def describe(df: DataFrame, col: str, quantiles=QUARTILES, decimals: int | None = 2,
-             exact_quantiles: bool = True) -> DataFrame:
+def _counted(df: DataFrame, col: str) -> DataFrame:
+    """Distinct non-NULL values with their counts (combined before the shuffle) and
+    ranks, written once: everything below is read from this table."""
+    x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    return value_ranks(x.groupBy("x").agg(F.count(F.lit(1)).alias("n")), "x")
+
+
+def describe(df: DataFrame, col: str, quantiles=QUARTILES, exact_quantiles: bool = True) -> DataFrame:
     """Count, mean, std (n-1), min, quantiles (linear interpolation), max.
 
-    ``decimals`` makes the mean an exact decimal sum (the column holds values
-    with that many decimals) and the standard deviation a decimal sum of
-    squared deviations; ``decimals=None`` uses ``avg`` / ``stddev_samp``.
-    ``exact_quantiles=False`` uses ``percentile_approx`` instead of ranks.
+    The mean is an exact decimal sum of the values to six decimals, and the
+    standard deviation a decimal sum of squared deviations around it, so
+    neither depends on partitioning.  ``exact_quantiles=False`` uses
+    ``percentile_approx`` instead of ranks.
     """
-    x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    if decimals is None:
-        base = x.agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-                     F.min("x").alias("min"), F.max("x").alias("max"))
-    else:
-        # exact mean, then squared deviations summed as decimals (each term
-        # rounded to 1e-6): the result does not depend on partitioning
-        m = x.agg(F.count("x").alias("count"),
-                  (F.sum(F.col("x").cast(f"decimal(38,{decimals})")).cast("double") / F.count("x")).alias("mean"),
-                  F.min("x").alias("min"), F.max("x").alias("max"))
-        dev = (F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean"))
-        ss = x.crossJoin(F.broadcast(m.select("mean"))).agg(  # one-row mean
-            F.sum(dev.cast("decimal(38,6)")).alias("_ss"))
-        base = m.crossJoin(ss).select(
-            "count", "mean",
-            F.sqrt(F.col("_ss").cast("double") / F.nullif(F.col("count") - 1, F.lit(0))).alias("std"),
-            "min", "max")
+    ranked = _counted(df, col)
+    times = F.col("n").cast("decimal(18,0)")
+    m = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"),
+                   (F.sum(F.col("x").cast("decimal(32,6)") * times).cast("double") / F.sum("n")).alias("mean"),
+                   F.min("x").alias("min"), F.max("x").alias("max"))
+    dev = (F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean"))
+    ss = ranked.crossJoin(F.broadcast(m.select("mean"))).agg(  # one-row mean
+        F.sum(dev.cast("decimal(32,6)") * times).alias("_ss"))
+    base = m.crossJoin(ss).select(
+        "count", "mean", F.sqrt(F.col("_ss").cast("double") / F.nullif(F.col("count") - 1, F.lit(0))).alias("std"),
+        "min", "max")
     names = [f"q{int(round(q * 100)):02d}" for q in quantiles]
     if not exact_quantiles:
-        qs = x.agg(F.percentile_approx("x", list(quantiles), 10000).alias("_q"))
-        out = base.crossJoin(qs)
-        return out.select("count", "mean", "std", "min",
-                          *[F.col("_q")[i].alias(n) for i, n in enumerate(names)], "max")
-    ranked = global_rank(x, ["x"], "rn")
-    # positions needed: floor(h)+1 and floor(h)+2 for h = (n-1) q; at most 2 per quantile
+        qs = df.agg(F.percentile_approx(F.col(col).cast("double"), list(quantiles), 10000).alias("_q"))
+        return base.crossJoin(qs).select("count", "mean", "std", "min",
+                                         *[F.col("_q")[i].alias(n) for i, n in enumerate(names)], "max")
+    # ranks needed: floor(h)+1 and floor(h)+2 for h = (n-1) q; at most 2 per quantile
     pos = base.select("count", *[((F.col("count") - 1) * F.lit(q)).alias(f"_h{i}") for i, q in enumerate(quantiles)])
     want = pos.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("qi"), (F.floor(F.col(f"_h{i}")) + F.lit(j)).cast("long").alias("rn"))
         for i in range(len(quantiles)) for j in (1, 2)])).alias("w")).select("w.*")
-    picked = (ranked.join(F.broadcast(want), "rn")  # at most 2 x len(quantiles) rows
+    picked = (ranked.join(F.broadcast(want), F.col("rn").between(F.col("rank_lo"), F.col("rank_hi")))  # 2 x len(quantiles) rows
               .groupBy().pivot("qi", list(range(len(quantiles))))
               .agg(F.min_by("x", "rn").alias("lo"), F.max_by("x", "rn").alias("hi")))
     out = base.crossJoin(picked).crossJoin(pos.drop("count"))
@@ -81,25 +82,43 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
 def ks_uniform(df: DataFrame, col: str) -> DataFrame:
     """E3 + D23 + H15: one-sample Kolmogorov-Smirnov statistic of the min-max
-    scaled column against U(0, 1).  Returns n, min, max, d_stat (NULL when all
-    values are equal, where the reference divides by zero)."""
-    x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    mm = x.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    ranked = global_rank(x, ["x"], "rn").crossJoin(F.broadcast(mm))  # mm is one row
+    scaled column against U(0, 1).  Returns n, min, max, d_stat and p_value (both
+    NULL when all values are equal, where the reference divides by zero)."""
+    ranked = _counted(df, col)
+    mm = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     u = X.min_max_scale("x", "lo", "hi")
-    n = F.col("n").cast("double")
-    dev = F.greatest(F.col("rn") / n - u, u - (F.col("rn") - 1) / n)
-    d = ranked.agg(F.max(dev).alias("d_stat"))
-    return mm.crossJoin(d).select("n", F.col("lo").alias("min"), F.col("hi").alias("max"), "d_stat")
+    n = F.col("total").cast("double")
+    dev = F.greatest(F.col("rank_hi") / n - u, u - (F.col("rank_lo") - 1) / n)
+    d = ranked.crossJoin(F.broadcast(mm)).agg(F.max(dev).alias("d_stat"))  # mm is one row
+    out = mm.crossJoin(d).select(F.col("total").alias("n"), F.col("lo").alias("min"), F.col("hi").alias("max"), "d_stat")
+    return out.withColumn("p_value", pvalue_column("d_stat", "n"))
+
+
+def pvalue_column(d: str, n: str) -> Column:
+    """``kolmogorov_pvalue`` as a column, to nine decimals.  Eight terms of either
+    series are below 1e-17 where it is used."""
+    t = F.sqrt(F.col(n).cast("double")) * F.col(d)
+    small = [F.exp(F.lit(-((2 * k - 1) * math.pi) ** 2 / 8) / (t * t)) for k in range(1, 9)]
+    large = [F.exp(F.lit(-2.0 * k * k) * t * t) * F.lit((-1.0) ** (k - 1)) for k in range(1, 9)]
+    p = (F.when(t <= 0, F.lit(1.0)).when(t < 1.18, F.lit(1.0) - F.lit(math.sqrt(2 * math.pi)) / t * reduce(add, small))
+         .otherwise(F.lit(2.0) * reduce(add, large)))
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)), 9)
 
 
-def kolmogorov_pvalue(d: float, n: int, terms: int = 100) -> float:
-    """Asymptotic two-sided p-value for statistic ``d`` on ``n`` samples (scalar
-    helper for the one-row result of ``ks_uniform``)."""
+def kolmogorov_pvalue(d: float, n: int) -> float:
+    """Asymptotic two-sided p-value of statistic ``d`` on ``n`` samples.  Each of
+    the two series of Kolmogorov's distribution is summed until its terms vanish
+    where it converges fast: one for large sqrt(n) d, the other for small."""
     if d is None or n <= 0:
         return float("nan")
     t = math.sqrt(n) * d
-    if t == 0:
+    if t <= 0:
         return 1.0
-    s = sum((-1) ** (k - 1) * math.exp(-2.0 * k * k * t * t) for k in range(1, terms + 1))
-    return max(0.0, min(1.0, 2.0 * s))
+    total, k = 0.0, 1
+    if t < 1.18:
+        while (term := math.exp(-((2 * k - 1) * math.pi) ** 2 / (8 * t * t))) > 1e-17:
+            total, k = total + term, k + 1
+        return max(0.0, min(1.0, 1 - math.sqrt(2 * math.pi) / t * total))
+    while (term := math.exp(-2.0 * k * k * t * t)) > 1e-17:
+        total, k = total + (-1) ** (k - 1) * term, k + 1
+    return max(0.0, min(1.0, 2.0 * total))

@@ -23,7 +23,7 @@ FIELD_DATE = "Date"
 FIELD_FORECAST = "Forecast Date"
 MSG_REQUIRED = "{field} is required"
 MSG_INVALID_OPTION = "Invalid {field}. Please select a valid option."
-MSG_BAD_FORMAT = "Invalid {field}. Use YYYY-MM-DD."
+MSG_BAD_FORMAT = "Invalid {field} format. Use YYYY-MM-DD."
 MSG_BEFORE = "{field} cannot be before "
 MSG_AFTER = "{field} cannot be after "
 
@@ -68,7 +68,7 @@ def validate_requests(requests: DataFrame, valid_areas: DataFrame, valid_types:
            .when(blank(d), _msg_required(FIELD_DATE))
            .when(F.col("_va").isNull(), F.lit(MSG_INVALID_OPTION.format(field=FIELD_AREA.lower())))
            .when(F.col("_vt").isNull(), F.lit(MSG_INVALID_OPTION.format(field=FIELD_TYPE.lower())))
-           .when(parsed.isNull(), F.lit(MSG_BAD_FORMAT.format(field=FIELD_FORECAST.lower() + " format")))
+           .when(parsed.isNull(), F.lit(MSG_BAD_FORMAT.format(field=FIELD_FORECAST.lower())))
            .when(parsed < lo, F.concat(F.lit(MSG_BEFORE.format(field=FIELD_FORECAST)), F.date_format(lo, "yyyy-MM-dd")))
            .when(parsed > hi, F.concat(F.lit(MSG_AFTER.format(field=FIELD_FORECAST)), F.date_format(hi, "yyyy-MM-dd"))))
     return (df.withColumn("forecast_date", parsed)

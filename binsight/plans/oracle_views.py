@@ -26,7 +26,12 @@ USERS = """SELECT c.c_custkey AS id, c.c_name AS username, c.c_name || '@example
   FROM customer c LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS created_at FROM orders GROUP BY o_custkey) f
     ON c.c_custkey = f.o_custkey"""
 
-USERS_GAPS = USERS + "\n WHERE c.c_acctbal > 0"
+# every second log row comes from a visitor's session, which the order key names
+SESSION_LOGS = f"""SELECT id, "timestamp", area, waste_type, prediction_date, predicted_weight_kg,
+       CASE WHEN id % 2 = 0 THEN id ELSE user_id END AS user_id FROM ({PREDICTION_LOGS})"""
+
+REQUESTS = f"""{PREDICTION_LOGS}
+ UNION ALL {RECENT_LOGS}"""
 
 UPLOADS = """SELECT o_orderkey AS id, o_custkey AS user_id, 'file_' || CAST(o_orderkey AS VARCHAR) || '.csv' AS filename,
        o_orderpriority AS file_type, o_orderstatus AS status, o_orderdate AS created_at
@@ -40,19 +45,21 @@ UPLOAD_ROWS = """SELECT l.l_orderkey AS upload_id, l.l_linenumber AS line, o.o_c
 SCORED_REQUESTS = f"""SELECT l.l_orderkey, l.l_linenumber, a.area, o.o_orderpriority AS waste_type,
        l.l_extendedprice AS prediction
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-  JOIN ({AREA_DIM}) a ON o.o_custkey = a.c_custkey"""
+  JOIN ({AREA_DIM}) a ON o.o_custkey = a.c_custkey
+ UNION ALL SELECT id, CAST(0 AS BIGINT), area, waste_type, predicted_weight_kg FROM ({RECENT_LOGS})"""
 
-HISTORY_GAPS = f"""SELECT * FROM ({OBSERVATIONS}) h WHERE h.waste_type <> '5-LOW' AND h.area <> 'NATION_3'"""
+OBSERVED = f"""SELECT area, waste_type, net_weight_kg FROM ({OBSERVATIONS})
+ UNION ALL SELECT area, waste_type, predicted_weight_kg FROM ({RECENT_LOGS})"""
 
 KEYED_SNAPSHOTS = """SELECT user_id AS "key", event_type AS value, ts AS updated_at, event_id AS change_id FROM events"""
 
 
 def exact_avg(c: str) -> str:
-    return f"CAST(SUM(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) / COUNT({c})"
+    return f"CAST(SUM(CAST({c} AS DECIMAL(28,6))) AS DOUBLE) / COUNT({c})"
 
 
 def exact_sum(c: str) -> str:
-    return f"CAST(SUM(CAST({c} AS DECIMAL(18,2))) AS DOUBLE)"
+    return f"CAST(SUM(CAST({c} AS DECIMAL(28,6))) AS DOUBLE)"
 
 
 def cents(c: str) -> str:

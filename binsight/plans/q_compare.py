@@ -16,12 +16,12 @@ def _between(lo, hi):
 
 def _period_sql(p, lo, hi):
     c = _between(lo, hi)
-    return (f"COUNT(CASE WHEN {c} THEN 1 END) AS {p}_n, SUM(CASE WHEN {c} THEN {_C} END) AS {p}_sc, "
+    return (f"COUNT(CASE WHEN {c} THEN 1 END) AS {p}_n, COUNT(CASE WHEN {c} THEN predicted_weight_kg END) AS {p}_v, SUM(CASE WHEN {c} THEN {_C} END) AS {p}_sc, "
             f"MIN(CASE WHEN {c} THEN {_C} END) AS {p}_minc, MAX(CASE WHEN {c} THEN {_C} END) AS {p}_maxc")
 
 
 def _period_out(p):
-    ac = V.half_up_div(f"{p}_sc", f"{p}_n")
+    ac = V.half_up_div(f"{p}_sc", f"{p}_v")
     h = f"{p}_n > 0"
     return (f"CASE WHEN {h} THEN {p}_n END AS {p}_count, "
             f"CASE WHEN {h} THEN CAST({ac} AS DOUBLE) / 100.0 END AS {p}_avg, "
@@ -67,11 +67,11 @@ def _quick_sql():
         cur, prev = compare.quick_periods(AS_OF_RECENT, k)
         def agg(tag, lo, hi):
             c = _between(lo, hi)
-            return (f"COUNT(CASE WHEN {c} THEN 1 END) AS {tag}_n, "
+            return (f"COUNT(CASE WHEN {c} THEN 1 END) AS {tag}_n, COUNT(CASE WHEN {c} THEN predicted_weight_kg END) AS {tag}_v, "
                     f"COALESCE(SUM(CASE WHEN {c} THEN {_C} END), 0) AS {tag}_sc")
         inner = f"SELECT {agg('cur', *cur)}, {agg('prev', *prev)} FROM logs"
-        cur_ac = f"COALESCE({V.half_up_div('cur_sc', 'cur_n')}, 0)"
-        prev_ac = f"COALESCE({V.half_up_div('prev_sc', 'prev_n')}, 0)"
+        cur_ac = f"COALESCE({V.half_up_div('cur_sc', 'cur_v')}, 0)"
+        prev_ac = f"COALESCE({V.half_up_div('prev_sc', 'prev_v')}, 0)"
         parts.append(f"""SELECT '{k}' AS period, cur_n AS current_count,
        CAST({cur_ac} AS DOUBLE) / 100.0 AS current_avg, CAST(cur_sc AS DOUBLE) / 100.0 AS current_total,
        prev_n AS previous_count, CAST({prev_ac} AS DOUBLE) / 100.0 AS previous_avg,

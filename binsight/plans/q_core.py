@@ -13,7 +13,7 @@ from binsight.sources import tables as T
 _AVG_FALLBACK = "COALESCE(NULLIF({c}, 0), r.prediction)"
 
 _BENCH_SQL = f"""
-WITH hist AS ({V.HISTORY_GAPS}),
+WITH hist AS ({V.OBSERVATIONS}),
 a AS (SELECT area, {V.exact_avg('net_weight_kg')} AS v FROM hist GROUP BY area),
 t AS (SELECT waste_type, {V.exact_avg('net_weight_kg')} AS v FROM hist GROUP BY waste_type),
 o AS (SELECT {V.exact_avg('net_weight_kg')} AS v FROM hist),
@@ -28,7 +28,7 @@ SELECT r.l_orderkey, r.l_linenumber, r.area, r.waste_type, r.prediction,
 
 
 def _bench(spark, d):
-    return joins.benchmark_against_history(T.scored_requests(spark, d), T.history_with_gaps(spark, d))
+    return joins.benchmark_against_history(T.scored_requests(spark, d), T.observations(spark, d))
 
 
 @register("score_benchmark", _BENCH_SQL + "SELECT * FROM s")
@@ -199,19 +199,19 @@ def user_profile(spark, d):
 
 
 @register("round_presentation", _LOGS + f"""
-SELECT area, n, CAST({V.half_up_div('sc', 'n')} AS DOUBLE) / 100.0 AS avg_weight,
+SELECT area, n, CAST({V.half_up_div('sc', 'v')} AS DOUBLE) / 100.0 AS avg_weight,
        CAST(sc AS DOUBLE) / 100.0 AS total_weight, CAST(mn AS DOUBLE) / 100.0 AS min_weight,
        CAST(mx AS DOUBLE) / 100.0 AS max_weight
-  FROM (SELECT area, COUNT(*) AS n, SUM({V.cents('predicted_weight_kg')}) AS sc,
+  FROM (SELECT area, COUNT(*) AS n, COUNT(predicted_weight_kg) AS v, SUM({V.cents('predicted_weight_kg')}) AS sc,
                MIN({V.cents('predicted_weight_kg')}) AS mn, MAX({V.cents('predicted_weight_kg')}) AS mx
           FROM logs GROUP BY area)""")
 def round_presentation(spark, d):
     """The area analysis rounded for display, HALF_UP to cents, exactly."""
     logs = T.prediction_logs(spark, d)
     c = X.to_cents("predicted_weight_kg")
-    g = logs.groupBy("area").agg(F.count(F.lit(1)).alias("n"), F.sum(c).alias("sc"),
+    g = logs.groupBy("area").agg(F.count(F.lit(1)).alias("n"), F.count("predicted_weight_kg").alias("v"), F.sum(c).alias("sc"),
                                  F.min(c).alias("mn"), F.max(c).alias("mx"))
-    return g.select("area", "n", X.round2_avg_from_cents("sc", "n").alias("avg_weight"),
+    return g.select("area", "n", X.round2_avg_from_cents("sc", "v").alias("avg_weight"),
                     (F.col("sc").cast("double") / F.lit(100.0)).alias("total_weight"),
                     (F.col("mn").cast("double") / F.lit(100.0)).alias("min_weight"),
                     (F.col("mx").cast("double") / F.lit(100.0)).alias("max_weight"))

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from binsight.models import baseline, score, train
 from binsight.models.adaboost import fit_adaboost_r2
+from binsight.models.catalog import DEFAULT_COLOR, SEED
 from binsight.models.knn import fit_knn
 from binsight.plans import oracle_views as V
 from binsight.plans.catalog import register
+from binsight.session import scratch_path
 from binsight.sources import tables as T
 
 _FITTED: dict = {}
@@ -30,13 +32,17 @@ def _family(spark, d):
     return _FITTED[key]
 
 
-@register("random_split")
+def _is_test(key: str) -> str:
+    return f"CAST('0x' || substr(md5('{SEED}-' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 20"
+
+
+@register("random_split", f"SELECT id, ticket_date, {_is_test('id')} AS is_test FROM ({V.OBSERVATIONS})")
 def random_split(spark, d):
     return train.random_split(T.observations(spark, d).select("id", "ticket_date"), "id")
 
 
 _MET_SQL = f"""
-WITH hist AS ({V.HISTORY_GAPS}), obs AS ({V.OBSERVATIONS}),
+WITH hist AS ({V.OBSERVATIONS}), obs AS ({V.OBSERVED}),
 a AS (SELECT area, {V.exact_avg('net_weight_kg')} AS v FROM hist GROUP BY area),
 t AS (SELECT waste_type, {V.exact_avg('net_weight_kg')} AS v FROM hist GROUP BY waste_type),
 o AS (SELECT {V.exact_avg('net_weight_kg')} AS v FROM hist),
@@ -57,8 +63,7 @@ SELECT g.model_id, g.n, CAST(sae AS DOUBLE) / n AS mae, sqrt(CAST(sse AS DOUBLE)
 
 @register("baseline_metrics", _MET_SQL)
 def baseline_metrics(spark, d):
-    preds = baseline.baseline_predictions(T.history_with_gaps(spark, d), T.observations(spark, d))
-    return baseline.exact_metrics(preds)
+    return baseline.exact_metrics(baseline.baseline_columns(T.observations(spark, d), T.observed(spark, d)))
 
 
 @register("train_eval")
@@ -101,8 +106,7 @@ def score_one(spark, d):
 @register("ensemble_summary")
 def ensemble_summary(spark, d):
     models, _ = _family(spark, d)
-    long = score.score_all_models(models, _requests(spark, d), "prediction_date", "id")
-    return score.ensemble_summary(long, "id")
+    return score.ensemble_summary(models, _requests(spark, d), "prediction_date", "id")
 
 
 @register("lag_model")
@@ -111,11 +115,102 @@ def lag_model(spark, d):
     return metrics
 
 
-@register("knn_regress")
+_KNN_SQL = f"""
+WITH o AS (SELECT id, area, waste_type, year(ticket_date) AS y, month(ticket_date) AS m, day(ticket_date) AS d,
+                  (isodow(ticket_date) - 1) AS w, net_weight_kg AS label, {_is_test('id')} AS is_test FROM ({V.OBSERVATIONS})),
+tr AS (SELECT * FROM o WHERE NOT is_test),
+te AS (SELECT *, CASE WHEN area IN (SELECT area FROM tr) THEN 2 ELSE 1 END AS pa,
+              CASE WHEN waste_type IN (SELECT waste_type FROM tr) THEN 2 ELSE 1 END AS pt FROM o WHERE is_test),
+p AS (SELECT te.id, te.label, (te.y - tr.y) * (te.y - tr.y) + (te.m - tr.m) * (te.m - tr.m) + (te.d - tr.d) * (te.d - tr.d)
+             + (te.w - tr.w) * (te.w - tr.w) + CASE WHEN te.area = tr.area THEN 0 ELSE pa END
+             + CASE WHEN te.waste_type = tr.waste_type THEN 0 ELSE pt END AS dist,
+             COUNT(*) AS cnt, SUM(CAST(tr.label AS DECIMAL(20,6))) AS sm
+        FROM te CROSS JOIN tr GROUP BY 1, 2, 3),
+r AS (SELECT *, SUM(cnt) OVER u AS run_cnt, SUM(sm) OVER u AS run_sm FROM p
+      WINDOW u AS (PARTITION BY id ORDER BY dist ROWS UNBOUNDED PRECEDING))
+SELECT id, label, (CAST(run_sm - sm AS DOUBLE) + (5 - (run_cnt - cnt)) * CAST(sm AS DOUBLE) / cnt) / 5 AS prediction,
+       CAST(dist AS BIGINT) AS kth_dist2
+  FROM r WHERE run_cnt >= 5 AND run_cnt - cnt < 5"""
+
+
+@register("knn_regress", _KNN_SQL)
 def knn_regress(spark, d):
     """K8: exact 5-nearest-neighbour regression of the held-out rows on the
     training rows (hash split of the observations)."""
     data = train.random_split(train.prepare(T.observations(spark, d), "net_weight_kg", "ticket_date"), "id")
     model = fit_knn(data.filter(~F.col("is_test")), k=5)
     test = data.filter(F.col("is_test")).select("id", "area", "waste_type", *train.NUMERIC, "label")
-    return model.transform(test).select("id", "label", "prediction", "kth_dist2")
+    return model.transform(test).select("id", "label", "prediction", F.col("kth_dist2").cast("long").alias("kth_dist2"))
+
+
+# The same operators over closed-form predictors (the history's means), whose values SQL can give.
+_MEAN_SCORES = f"""
+hist AS ({V.OBSERVATIONS}), req AS ({V.REQUESTS}),
+a AS (SELECT area, {V.exact_avg('net_weight_kg')} AS v FROM hist GROUP BY area),
+t AS (SELECT waste_type, {V.exact_avg('net_weight_kg')} AS v FROM hist GROUP BY waste_type),
+o AS (SELECT {V.exact_avg('net_weight_kg')} AS v FROM hist),
+j AS (SELECT req.id, CAST(req.prediction_date AS VARCHAR) AS day, COALESCE(a.v, o.v) AS am, COALESCE(t.v, o.v) AS tm, o.v AS om
+        FROM req LEFT JOIN a ON req.area = a.area LEFT JOIN t ON req.waste_type = t.waste_type CROSS JOIN o),
+p AS (SELECT id, day, 'area_mean' AS model_id, round(greatest(0.0, am), 2) AS prediction FROM j
+      UNION ALL SELECT id, day, 'type_mean', round(greatest(0.0, tm), 2) FROM j
+      UNION ALL SELECT id, day, 'overall_mean', round(greatest(0.0, om), 2) FROM j)"""
+
+
+def _mean_requests(spark, d):
+    r = T.requests(spark, d).select("id", "area", "waste_type", "prediction_date")
+    # ids repeat between the two logs: the date tells the requests apart
+    return r.withColumn("request", F.concat_ws("@", F.col("id").cast("string"), F.col("prediction_date").cast("string")))
+
+
+@register("mean_scores", f"""WITH {_MEAN_SCORES}
+SELECT id || '@' || day AS request, model_id, prediction, model_id AS name, '{DEFAULT_COLOR}' AS color,
+       CAST(row_number() OVER (PARTITION BY id, day ORDER BY prediction DESC, model_id) AS INTEGER) AS rank FROM p""")
+def mean_scores(spark, d):
+    """K12 + F7 + H14: clamp, rounding, rank, names of score_all_models."""
+    models = baseline.mean_models(T.observations(spark, d))
+    return score.score_all_models(models, _mean_requests(spark, d), "prediction_date", "request")
+
+
+@register("mean_ensemble", f"""WITH {_MEAN_SCORES}
+SELECT id || '@' || day AS request, CAST(SUM(CAST(prediction AS DECIMAL(30,2))) AS DOUBLE) / COUNT(*) AS mean_prediction,
+       MIN(prediction) AS min_prediction, MAX(prediction) AS max_prediction, COUNT(*) AS n_models FROM p GROUP BY id, day""")
+def mean_ensemble(spark, d):
+    """D25 over the closed-form models."""
+    models = baseline.mean_models(T.observations(spark, d))
+    return score.ensemble_summary(models, _mean_requests(spark, d), "prediction_date", "request")
+
+
+def _mean_board(spark, d):
+    metrics = baseline.exact_metrics(baseline.baseline_columns(T.observations(spark, d), T.observed(spark, d)))
+    return train.leaderboard_frame(spark, metrics)
+
+
+@register("mean_leaderboard", f"""WITH b AS ({_MET_SQL})
+SELECT model_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS color,
+       round(mae, 2) AS mae, round(rmse, 2) AS rmse, round(r2, 4) AS r2, round(r2 * 100, 2) AS r2_pct, FALSE AS is_current
+  FROM b ORDER BY mae, model_id""")
+def mean_leaderboard(spark, d):
+    """K13 + F6 + H19 over the closed-form models."""
+    return score.leaderboard(_mean_board(spark, d))
+
+
+@register("mean_best_model", f"""WITH b AS ({_MET_SQL}) SELECT arg_min(model_id, mae) AS model_id, MIN(mae) AS mae FROM b""")
+def mean_best_model(spark, d):
+    """D26 over the closed-form models."""
+    return score.best_model(_mean_board(spark, d))
+
+
+@register("models_saved")
+def models_saved(spark, d):
+    """Predictions of kNN, linear regression and AdaBoost (a few rounds) as fitted
+    and as loaded again; ``same`` holds for every row."""
+    data = train.prepare(T.observations(spark, d), "net_weight_kg", "ticket_date")
+    models = train.fit_models(data, ("linear_regression", "knn", "adaboost"), {
+        "knn": lambda tr: fit_knn(tr, k=5),
+        "adaboost": lambda tr: fit_adaboost_r2(tr, train.preprocessing_stages(), n_estimators=3)})
+    back = train.load_models(train.save_models(models, scratch_path(spark, "models")))
+    keep = ["id", "prediction"]
+    both = [m.transform(data).select(*keep).join(back[mid].transform(data).select("id", F.col("prediction").alias("loaded")), "id")
+            .select("id", F.lit(mid).alias("model_id"), "prediction", "loaded", F.col("prediction").eqNullSafe(F.col("loaded")).alias("same"))
+            for mid, m in models.items()]
+    return both[0].unionByName(both[1]).unionByName(both[2])

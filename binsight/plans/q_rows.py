@@ -4,6 +4,8 @@ F1, F5, K1, M1-M4)."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from binsight.functions import exprs as X
@@ -131,46 +133,48 @@ def upload_detail(spark, d):
 
 
 @register("activity_log", f"""
-WITH top AS (SELECT * FROM ({V.PREDICTION_LOGS}) ORDER BY id DESC LIMIT 100)
+WITH top AS (SELECT * FROM ({V.SESSION_LOGS}) ORDER BY id DESC LIMIT 100)
 SELECT top.id, top."timestamp", top.area, top.waste_type, top.prediction_date, top.predicted_weight_kg,
        top.user_id, COALESCE(NULLIF(u.username, ''), 'Anonymous') AS username
-  FROM top LEFT JOIN ({V.USERS_GAPS}) u ON top.user_id = u.id ORDER BY top.id DESC""")
+  FROM top LEFT JOIN ({V.USERS}) u ON top.user_id = u.id ORDER BY top.id DESC""")
 def activity_log(spark, d):
-    return joins.activity_log(T.prediction_logs(spark, d), T.users(spark, d, with_gaps=True))
+    return joins.activity_log(T.session_logs(spark, d), T.users(spark, d))
 
 
 @register("invalid_domain_rows", f"""
-WITH r AS ({V.PREDICTION_LOGS}), h AS ({V.HISTORY_GAPS}),
+WITH r AS ({V.REQUESTS}), h AS ({V.OBSERVATIONS}),
 a AS (SELECT DISTINCT area FROM h), t AS (SELECT DISTINCT waste_type FROM h)
 SELECT r.id, r.area, r.waste_type, a.area IS NOT NULL AS area_ok, t.waste_type IS NOT NULL AS type_ok
   FROM r LEFT JOIN a ON r.area = a.area LEFT JOIN t ON r.waste_type = t.waste_type
  WHERE a.area IS NULL OR t.waste_type IS NULL""")
 def invalid_domain_rows(spark, d):
-    return joins.invalid_domain_rows(T.prediction_logs(spark, d), T.history_with_gaps(spark, d))
+    return joins.invalid_domain_rows(T.requests(spark, d), T.observations(spark, d))
 
 
 @register("valid_domain_rows", f"""
-WITH r AS ({V.PREDICTION_LOGS}), h AS ({V.HISTORY_GAPS})
+WITH r AS ({V.REQUESTS}), h AS ({V.OBSERVATIONS})
 SELECT * FROM r WHERE area IN (SELECT area FROM h) AND waste_type IN (SELECT waste_type FROM h)""")
 def valid_domain_rows(spark, d):
-    return joins.valid_domain_rows(T.prediction_logs(spark, d), T.history_with_gaps(spark, d))
+    return joins.valid_domain_rows(T.requests(spark, d), T.observations(spark, d))
 
 
-# login attempts: each event names its user by user name, or by e-mail for signups
-_ATTEMPT_ID = "CASE WHEN event_type = 'signup' THEN 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '@example.com' ELSE 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') END"
+# login attempts: each event names its user by user name, or by e-mail for signups; every fifth one tries a
+# number that may be no customer's
+_ATTEMPT_ID = "CASE WHEN event_id % 5 = 0 THEN 'Customer#' || lpad(CAST(event_id AS VARCHAR), 9, '0') WHEN event_type = 'signup' THEN 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '@example.com' ELSE 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') END"
 
 
 @register("resolve_login", f"""
 WITH a AS (SELECT event_id, {_ATTEMPT_ID} AS identifier FROM events),
-u AS ({V.USERS_GAPS})
+u AS ({V.USERS})
 SELECT a.event_id, a.identifier, u.id AS resolved_user_id
   FROM a LEFT JOIN u ON a.identifier = u.username OR a.identifier = u.email""")
 def resolve_login(spark, d):
     e = T.read(spark, d, "events")
     name = F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0"))
-    ident = F.when(F.col("event_type") == "signup", F.concat(name, F.lit("@example.com"))).otherwise(name)
+    guess = F.concat(F.lit("Customer#"), F.lpad(F.col("event_id").cast("string"), 9, "0"))
+    ident = F.when(F.col("event_id") % 5 == 0, guess).when(F.col("event_type") == "signup", F.concat(name, F.lit("@example.com"))).otherwise(name)
     attempts = e.select("event_id", ident.alias("identifier"))
-    return joins.resolve_login(attempts, T.users(spark, d, with_gaps=True))
+    return joins.resolve_login(attempts, T.users(spark, d))
 
 
 # ------------------------------------------------------------------ text
@@ -211,14 +215,24 @@ def profile_columns(spark, d):
     return profile.profile_columns(T.observations(spark, d))
 
 
+def _pvalue_sql(d, n):
+    t = f"(sqrt(CAST({n} AS DOUBLE)) * {d})"
+    small = " + ".join(f"exp({-((2 * k - 1) * math.pi) ** 2 / 8!r} / ({t} * {t}))" for k in range(1, 9))
+    large = " + ".join(f"exp({-2.0 * k * k!r} * {t} * {t}) * {(-1.0) ** (k - 1)!r}" for k in range(1, 9))
+    p = (f"CASE WHEN {t} <= 0 THEN 1.0 WHEN {t} < 1.18 THEN 1.0 - {math.sqrt(2 * math.pi)!r} / {t} * ({small}) "
+         f"ELSE 2.0 * ({large}) END")
+    return f"round(greatest(0.0, least(1.0, {p})), 9)"
+
+
 @register("ks_uniform", f"""
 WITH x AS (SELECT predicted_weight_kg AS x FROM ({V.RECENT_LOGS}) WHERE predicted_weight_kg IS NOT NULL),
 m AS (SELECT COUNT(x) AS n, MIN(x) AS lo, MAX(x) AS hi FROM x),
-r AS (SELECT x, row_number() OVER (ORDER BY x) AS rn FROM x)
-SELECT m.n, m.lo AS min, m.hi AS max,
+r AS (SELECT x, row_number() OVER (ORDER BY x) AS rn FROM x),
+k AS (SELECT m.n, m.lo AS min, m.hi AS max,
        MAX(greatest(r.rn / CAST(m.n AS DOUBLE) - (r.x - m.lo) / NULLIF(m.hi - m.lo, 0),
                     (r.x - m.lo) / NULLIF(m.hi - m.lo, 0) - (r.rn - 1) / CAST(m.n AS DOUBLE))) AS d_stat
-  FROM r CROSS JOIN m GROUP BY m.n, m.lo, m.hi""")
+  FROM r CROSS JOIN m GROUP BY m.n, m.lo, m.hi)
+SELECT *, {_pvalue_sql('d_stat', 'n')} AS p_value FROM k""")
 def ks_uniform(spark, d):
     return profile.ks_uniform(T.recent_logs(spark, d), "predicted_weight_kg")
 
@@ -262,23 +276,25 @@ def delete_where(spark, d):
 
 @register("cascade_delete", f"""
 WITH del AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal <= 0)
-SELECT 'users' AS table_name, COUNT(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT id FROM del)
-UNION ALL SELECT 'prediction_logs', COUNT(*) FROM ({V.PREDICTION_LOGS}) WHERE user_id NOT IN (SELECT id FROM del)
-UNION ALL SELECT 'user_settings', COUNT(*) FROM ({V.KEYED_SNAPSHOTS}) WHERE "key" NOT IN (SELECT id FROM del)""")
+SELECT 'users' AS table_name, COUNT(*) AS n, SUM(c_custkey)::BIGINT AS keys FROM customer WHERE c_custkey NOT IN (SELECT id FROM del)
+UNION ALL SELECT 'prediction_logs', COUNT(*), SUM(id)::BIGINT FROM ({V.PREDICTION_LOGS}) WHERE user_id NOT IN (SELECT id FROM del)
+UNION ALL SELECT 'user_settings', COUNT(*), SUM(change_id)::BIGINT FROM ({V.KEYED_SNAPSHOTS}) WHERE "key" NOT IN (SELECT id FROM del)""")
 def cascade_delete(spark, d):
-    from binsight.operators.summary import table_counts
     users = T.users(spark, d)
     deleted = T.read(spark, d, "customer").filter(F.col("c_acctbal") <= 0).select(F.col("c_custkey").alias("id"))
     kept = changes.cascade_delete({"users": (users, "id"),
                                    "prediction_logs": (T.prediction_logs(spark, d), "user_id"),
                                    "user_settings": (T.keyed_snapshots(spark, d), "key")}, deleted)
-    return table_counts(kept)
+    ids = {"users": "id", "prediction_logs": "id", "user_settings": "change_id"}
+    out = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n"), F.sum(ids[name]).cast("long").alias("keys"))
+           for name, df in kept.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @register("orphans", _LOGS + f"""
-SELECT * FROM logs WHERE NOT EXISTS (SELECT 1 FROM ({V.USERS_GAPS}) u WHERE u.id = logs.user_id)""")
+SELECT * FROM ({V.SESSION_LOGS}) s WHERE NOT EXISTS (SELECT 1 FROM ({V.USERS}) u WHERE u.id = s.user_id)""")
 def orphans_q(spark, d):
-    return changes.orphans(T.prediction_logs(spark, d), "user_id", T.users(spark, d, with_gaps=True))
+    return changes.orphans(T.session_logs(spark, d), "user_id", T.users(spark, d))
 
 
 @register("update_by_key", f"""

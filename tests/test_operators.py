@@ -121,8 +121,8 @@ def test_delete_where_keeps_null_predicate(spark):
 
 
 def test_semi_plus_anti_is_all(spark):
-    logs = T.prediction_logs(spark, SF_SMALL)
-    hist = T.history_with_gaps(spark, SF_SMALL)
+    logs = T.requests(spark, SF_SMALL)
+    hist = T.observations(spark, SF_SMALL)
     ok = joins.valid_domain_rows(logs, hist).count()
     bad = joins.invalid_domain_rows(logs, hist).count()
     assert ok + bad == logs.count() and bad > 0
@@ -194,3 +194,34 @@ def test_legacy_leaderboard_json(spark):
     assert [r["model_id"] for r in S.leaderboard(lb).collect()] == ["random_forest", "ridge"]
     missing = S.read_leaderboard(spark, p + ".missing")
     assert missing.count() == 1
+
+
+def test_averages_leave_null_values_out(spark):
+    from binsight.operators import compare
+    logs = spark.createDataFrame([("a", "t", "2024-01-10", 4.0), ("a", "t", "2024-01-10", None)],
+                                 "area string, waste_type string, prediction_date string, predicted_weight_kg double")
+    logs = logs.withColumn("prediction_date", F.col("prediction_date").cast("date"))
+    one = compare.compare_periods(logs, ("2024-01-01", "2024-01-31"), ("2024-01-01", "2024-01-31")).first()
+    assert one.p1_count == 2 and one.p1_avg == 4.0 and one.p1_total == 4.0
+    quick = compare.quick_compare(logs, "2024-01-12").where("period = 'week'").first()
+    assert quick.current_count == 2 and quick.current_avg == 4.0
+
+
+def test_kolmogorov_pvalue_of_small_statistics():
+    assert profile.kolmogorov_pvalue(0.0005, 100) == 1.0 and profile.kolmogorov_pvalue(0.001, 100) == 1.0
+    # both series agree where they meet
+    import math
+    for t in (1.17999, 1.18001):
+        slow = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 200))
+        assert abs(profile.kolmogorov_pvalue(t / 100, 10_000) - slow) < 1e-12
+
+
+def test_table_changes_have_a_defined_winner(spark):
+    base = spark.createDataFrame([("k", 1, "new"), ("m", 5, "m")], "key string, ts int, v string")
+    ch = spark.createDataFrame([("k", 0, "older but changed"), ("m", 3, "a"), ("m", 3, "b")], "key string, ts int, v string")
+    got = {r.key: r.v for r in changes.upsert_latest(base, ch, "key", ["ts"]).collect()}
+    assert got == {"k": "older but changed", "m": "b"}
+    rows = spark.createDataFrame([(1, "x", 5), (2, "y", 6)], "id int, s string, n int")
+    up = spark.createDataFrame([(1, "p", 7), (1, "q", None)], "id int, s string, n int")
+    got = sorted(tuple(r) for r in changes.update_by_key(rows, up, "id", ["s", "n"]).collect())
+    assert got == [(1, "q", None), (2, "y", 6)]

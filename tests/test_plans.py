@@ -59,9 +59,9 @@ def test_flagship_beyond_broadcast_bound_uses_shuffle_join(spark, monkeypatch):
 
     from binsight.operators import joins
     req = T.scored_requests(spark, SF_SMALL)
-    hist = T.history_with_gaps(spark, SF_SMALL)
+    hist = T.observations(spark, SF_SMALL)
     small = joins.benchmark_against_history(req, hist)
-    monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "MAX_BROADCAST_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:

@@ -40,3 +40,19 @@ def test_top_k_for_hot_user(spark):
     top = ordered.top_k_per_key(df, "user_id", [F.desc("id")], 5)
     hot = [r["id"] for r in top.filter("user_id = 1").orderBy("rn").collect()]
     assert hot == [19998, 19996, 19994, 19992, 19990]
+
+
+def test_hot_value_is_one_row(spark):
+    from binsight.operators import profile
+    df = spark.range(20000).select(F.when(F.col("id") % 10 < 9, F.lit(0.0)).otherwise(F.col("id").cast("double")).alias("x"))
+    ranked = profile._counted(df, "x")
+    assert ranked.count() == 2001 and ranked.orderBy("x").first().n == 18000
+    one = profile.describe(df, "x").first()
+    assert one["count"] == 20000 and one.q50 == 0.0 and one.max == 19999.0
+    import numpy as np
+    x = np.where(np.arange(20000) % 10 < 9, 0.0, np.arange(20000))
+    assert abs(one.mean - x.mean()) < 1e-9 and abs(one["std"] - x.std(ddof=1)) < 1e-6
+    ks = profile.ks_uniform(df, "x").first()
+    s = np.sort(x) / x.max()
+    d = max((np.arange(1, 20001) / 20000 - s).max(), (s - np.arange(20000) / 20000).max())
+    assert abs(ks.d_stat - d) < 1e-12 and ks.p_value == 0.0
