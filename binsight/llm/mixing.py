@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binsight.llm.catalog import register
-from binsight.llm.common import table
+from binsight.llm.common import fresh, table
 
 SEED = "mix-1"
 #: A rate above STEP is the sum of several numbers of rates up to it; a number's distribution is taken up to TOP.
@@ -62,28 +62,29 @@ def _distribution(mean: Column) -> Column:
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
     """A row per copy of a document: all columns of docs (doc_id, text, source,
-    any more), copy_no (from 1) and mix_key, in the global random order of mix_key
+    any more; but for columns of these names), copy_no (from 1) and mix_key, in the global random order of mix_key
     within partitions that mix_key deals out.
 
     A null source is a source of its own.  Rows of one doc_id and source have
     the same number of copies.  No rows in, no rows out.
     """
     spark = docs.sparkSession
-    table_ = (rates(docs, weights).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)))
-              .select(F.col("source").alias("_source"), F.col("draws").alias("_draws"),
-                      _distribution(F.col("rate") / F.col("draws")).alias("_below")))
-    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     rows = docs.drop("copy_no", "mix_key")
+    source, draws, below, copies, salt = (fresh(c, rows.columns) for c in ("_source", "_draws", "_below", "_copies", "_salt"))
+    means = rates(docs, weights).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)))
+    means = means.select(F.col("source").alias(source), F.col("draws").cast("int").alias(draws),
+                         _distribution(F.col("rate") / F.col("draws")).alias(below))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        both = rows.join(F.broadcast(table_), rows["source"].eqNullSafe(table_["_source"]))
+        both = rows.join(F.broadcast(means), F.col("source").eqNullSafe(F.col(source)))
     else:
-        spread = table_.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = rows.withColumn("_salt0", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        both = salted.join(spread, (F.col("_salt0") == F.col("_salt")) & salted["source"].eqNullSafe(spread["_source"]))
-    draws = F.transform(F.sequence(F.lit(0), F.col("_draws").cast("int") - 1),
-                        lambda j: F.size(F.filter("_below", lambda c: c <= uniform(F.lit(seed), j.cast("string"), own))))
-    copies = both.withColumn("_copies", F.aggregate(draws, F.lit(0), lambda a, n: a + n)).where("_copies > 0")
-    copies = copies.select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"))
+        means = means.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        both = rows.join(means, F.col("source").eqNullSafe(F.col(source)) & (dealt == F.col(salt)))
+    numbers = F.transform(F.sequence(F.lit(0), F.col(draws) - 1),
+                          lambda j: F.size(F.filter(below, lambda c: c <= uniform(F.lit(seed), j.cast("string"), own))))
+    both = both.withColumn(copies, F.aggregate(numbers, F.lit(0), lambda a, n: a + n)).where(F.col(copies) > 0)
+    copies = both.select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias("copy_no"))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), own, F.col("copy_no").cast("string")))
     copies = copies.withColumn("mix_key", key)
     return copies.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "mix_key").sortWithinPartitions("mix_key")

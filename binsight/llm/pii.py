@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binsight.llm.catalog import register
-from binsight.llm.common import table, written
+from binsight.llm.common import fresh, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive quantifiers and the look-behinds only spare the matcher work: the matches are those of the plain patterns.
@@ -143,8 +143,8 @@ def _tried(kind: str, how: str, text: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """All columns of docs but text, with base and loose: arrays of candidate spans."""
-    keep = [c for c in docs.columns if c != "text"]
+    """docs (doc_id, text, any more) -> doc_id, base and loose: arrays of candidate spans."""
+    keep = ["doc_id"]
     text = F.translate(F.coalesce("text", F.lit("")), "\u0001", "\u0002")  # the mark of a cut; no pattern has either
     rows = docs.select(*keep, text.alias("_text"))
     whole = F.array().cast("array<string>")
@@ -253,13 +253,13 @@ def personal(docs: DataFrame) -> DataFrame:
                        _joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
-def _replaced(kind: str, how: str, weights: dict[str, float]):
+def _replaced(kind: str, how: str, weights: dict[str, float], cuts: str):
     """For transform(): a part that is personal data becomes its kind, others stay."""
     def part(x, i):
         if how == "base":
             judged = holds(kind, x)
         else:
-            form = zip((*LABELERS, "length", "parted"), _judged(kind, False, F.col("_parts"), i), strict=True)
+            form = zip((*LABELERS, "length", "parted"), _judged(kind, False, F.col(cuts), i), strict=True)
             judged = accepted(F.lit(kind), list(form), weights)
         return F.when((i % 2 == 1) & judged, F.lit(f"[{kind.upper()}]")).otherwise(x)
 
@@ -272,15 +272,15 @@ def redacted(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
     Kind after kind, base rules before loose ones: what an earlier kind has
     replaced no later one sees.  A null text stays null.
     """
-    rows = docs.withColumn("_text", F.col("text"))
+    out, cuts = fresh("_text", docs.columns), fresh("_parts", docs.columns)
+    rows = docs.withColumn(out, F.col("text"))
     for how, patterns in (("base", BASE), ("loose", LOOSE)):
         for kind, pattern in patterns.items():
-            clean = F.translate("_text", "\u0001", "\u0002")
-            rows = rows.withColumn("_parts", F.when(_tried(kind, how, F.col("_text")), _cut(clean, pattern)))
-
-            rows = rows.withColumn("_text", F.when(F.size("_parts") > 1, F.array_join(F.transform("_parts", _replaced(kind, how, weights)), ""))
-                                   .otherwise(F.col("_text"))).drop("_parts")
-    return rows.withColumn("text", F.col("_text")).drop("_text")
+            clean = F.translate(out, "\u0001", "\u0002")
+            rows = rows.withColumn(cuts, F.when(_tried(kind, how, F.col(out)), _cut(clean, pattern)))
+            whole = F.array_join(F.transform(cuts, _replaced(kind, how, weights, cuts)), "")
+            rows = rows.withColumn(out, F.when(F.size(cuts) > 1, whole).otherwise(F.col(out))).drop(cuts)
+    return rows.withColumn("text", F.col(out)).drop(out)
 
 
 @register("op9_pii")

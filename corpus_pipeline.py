@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binsight.llm import mixing, neardup, packing, pii, toxicity
-from binsight.llm.common import table, written
+from binsight.llm.common import fresh, table, written
 from binsight.session import configure
 
 #: Training, signatures and token counts are beyond SQL; the tests hold the stages against brute force.
@@ -33,8 +33,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     configure(spark)
     near = written(neardup.near_duplicates(docs), "near")
-    keep = near.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    keep = written(keep, "keep")
+    keep = written(near.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")), "keep")
     many = keep.where("rows > 1").limit(1).count()
     bare = near.where("doc_id IS NULL").limit(1).count()
     out = docs.join(keep.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
@@ -43,9 +42,10 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         out = out.unionByName(again)
     if bare:
         key = F.xxhash64(F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t\n\x0B\f\r ]+", " "))))
-        named = docs.where("doc_id IS NOT NULL").select(key.alias("_key")).distinct()
-        out = out.unionByName(docs.where("doc_id IS NULL").withColumn("_key", key).dropDuplicates(["_key"])
-                              .join(named, "_key", "left_anti").drop("_key"))
+        words = fresh("_words", docs.columns)
+        named = docs.where("doc_id IS NOT NULL").select(key.alias(words)).distinct()
+        out = out.unionByName(docs.where("doc_id IS NULL").withColumn(words, key).dropDuplicates([words])
+                              .join(named, words, "left_anti").drop(words))
     return out.select(*docs.columns)
 
 
