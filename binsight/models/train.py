@@ -170,13 +170,15 @@ def lag_model(df: DataFrame, value: str, date_col: str, key: str = "id", test_si
     regression, metrics on the test part.  Returns (model, metrics frame)."""
     from pyspark.ml.regression import LinearRegression
 
-    from binsight.operators.ordered import lag_global, temporal_split
+    from binsight.operators.ordered import lag_global, scratch, temporal_split
+    ensure_checkpoint_dir(df.sparkSession)
     base = df.select(key, date_col, F.col(value).cast("double").alias("label"))
-    lagged = lag_global(base, "label", [date_col, key]).na.drop("any")
-    split = temporal_split(add_calendar(lagged, date_col), [date_col, key], test_size)
     feats = VectorAssembler(inputCols=NUMERIC + ["lag_1"], outputCol="features")
-    train = split.filter(F.col("split") == "train")
-    test = split.filter(F.col("split") == "test")
-    model = Pipeline(stages=[feats, LinearRegression(regParam=0.0)]).fit(train)
-    pred = model.transform(test).withColumn("model_id", F.lit("lag_linear"))
-    return model, regression_metrics(pred)
+    with scratch(df.sparkSession):
+        lagged = lag_global(base, "label", [date_col, key]).na.drop("any")
+        split = temporal_split(add_calendar(lagged, date_col), [date_col, key], test_size)
+        train = split.filter(F.col("split") == "train")
+        test = split.filter(F.col("split") == "test")
+        model = Pipeline(stages=[feats, LinearRegression(regParam=0.0)]).fit(train)
+        pred = model.transform(test).withColumn("model_id", F.lit("lag_linear"))
+        return model, regression_metrics(pred).checkpoint(eager=True)  # one row

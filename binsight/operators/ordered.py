@@ -15,8 +15,10 @@ partitions:
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,12 +69,33 @@ def _ranged(df: DataFrame, order_cols: list[str], num_partitions: int | None) ->
         name = f"{SCRATCH_DB}.t_" + uuid.uuid4().hex
         (tagged.write.bucketBy(n, "_bkey").sortBy(_PID, "_pos")
          .option("path", path).saveAsTable(name))
+        _created.append((name, path))
         return spark.table(name)
-    except Exception:  # no usable session catalog: same result, one more shuffle later
+    except AnalysisException:  # no usable session catalog: same result, one more shuffle later
         ensure_checkpoint_dir(spark)
         return tagged.checkpoint(eager=True)
 
 
+# Scratch tables that this process has made and not dropped: (name, path).
+_created: list[tuple[str, str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark):
+    """Drops the scratch tables that ordered operators make inside the block, files
+    included.  Read or write their results before the block ends."""
+    before = len(_created)
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for name, path in _created[before:]:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        del _created[before:]
+
+
 def _rank_parts(df: DataFrame, order_cols: list[str], rank_col: str, num_partitions: int | None):
     """(ranked rows, one-row total count) from the same range partitions."""
     ranged = _ranged(df, order_cols, num_partitions)

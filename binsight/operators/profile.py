@@ -8,6 +8,7 @@ never by a single-partition sort or a driver-side collect.
 
 from __future__ import annotations
 
+import functools
 import math
 from functools import reduce
 from operator import add
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binsight.functions import exprs as X
-from binsight.operators.ordered import value_ranks
+from binsight.operators.ordered import scratch, value_ranks
+from binsight.session import ensure_checkpoint_dir
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -28,6 +30,17 @@ def _counted(df: DataFrame, col: str) -> DataFrame:
     return value_ranks(x.groupBy("x").agg(F.count(F.lit(1)).alias("n")), "x")
 
 
+def _one_row(fn):
+    """The one-row result is checkpointed, and the table of ranked values dropped."""
+    @functools.wraps(fn)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        ensure_checkpoint_dir(df.sparkSession)
+        with scratch(df.sparkSession):
+            return fn(df, *args, **kwargs).checkpoint(eager=True)
+    return run
+
+
+@_one_row
 def describe(df: DataFrame, col: str, quantiles=QUARTILES, exact_quantiles: bool = True) -> DataFrame:
     """Count, mean, std (n-1), min, quantiles (linear interpolation), max.
 
@@ -80,6 +93,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
     return agg.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+@_one_row
 def ks_uniform(df: DataFrame, col: str) -> DataFrame:
     """E3 + D23 + H15: one-sample Kolmogorov-Smirnov statistic of the min-max
     scaled column against U(0, 1).  Returns n, min, max, d_stat and p_value (both

@@ -52,7 +52,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = builder.config("spark.ui.enabled", "false")
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor
-        builder = builder.config("spark.driver.memory", os.environ.get("BINSIGHT_DRIVER_MEMORY", "16g"))
+        builder = builder.config("spark.driver.memory", os.environ.get("BINSIGHT_DRIVER_MEMORY", "8g"))
     for k, v in RUNTIME_CONF.items():
         builder = builder.config(k, v)
     if cluster:

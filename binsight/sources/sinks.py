@@ -54,9 +54,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     """JSON Lines rows plus a one-row ``_count`` sidecar; returns the
-    sidecar frame ({count}) without collecting the rows."""
+    sidecar frame ({count}) without collecting the rows.  The count is that of
+    the written files, so it agrees with them, and the plan runs once."""
     df.write.mode(mode).json(f"{path}/predictions")
-    count = df.agg(F.count(F.lit(1)).alias("count"))
+    count = df.sparkSession.read.schema(df.schema).json(f"{path}/predictions").agg(F.count(F.lit(1)).alias("count"))
     count.write.mode(mode).json(f"{path}/_count")
     return count
 

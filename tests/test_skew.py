@@ -56,3 +56,15 @@ def test_hot_value_is_one_row(spark):
     s = np.sort(x) / x.max()
     d = max((np.arange(1, 20001) / 20000 - s).max(), (s - np.arange(20000) / 20000).max())
     assert abs(ks.d_stat - d) < 1e-12 and ks.p_value == 0.0
+
+
+def test_scratch_tables_are_dropped(spark):
+    from binsight.operators import profile
+    tables = lambda: {t.name for t in spark.catalog.listTables(ordered.SCRATCH_DB)}
+    df = spark.range(500).select(F.col("id"), (F.col("id") % 7).cast("double").alias("x"))
+    with ordered.scratch(spark):
+        assert ordered.global_rank(df, ["x", "id"], num_partitions=4).count() == 500
+        before = tables()
+        assert profile.describe(df, "x").first()["count"] == 500 and profile.ks_uniform(df, "x").first().n == 500
+        assert tables() == before and len(before) >= 1
+    assert len(tables()) == len(before) - 1
