@@ -248,7 +248,8 @@ def personal(docs: DataFrame) -> DataFrame:
     form = lambda s: [(x, s[x]) for x in (*LABELERS, "length", "parted")]
     added = F.filter("loose", lambda s: accepted(F.element_at(kinds, s["no"] + 1), form(s), weights))
     rows = found.withColumn("added", added)
-    counts = [F.size(F.filter("base", lambda s, i=i: s["no"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    numbers = F.transform("base", lambda s: s["no"])
+    counts = [F.size(F.filter(numbers, lambda no: no == F.lit(KINDS.index(k)))).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
                        _joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
