@@ -9,9 +9,11 @@ similarity.  Bands of registers give candidates, whose similarity is then
 computed exactly from their whole texts.
 
 Documents of equal word sequences are one class from the start.  In a band's
-bucket the class that shares most buckets is compared with the others; then
-pairs that are still in different components, whatever bucket they share, are
-compared, too, so no link that the bands find is lost.
+bucket the class that shares most buckets is compared with the others.  Buckets
+that then still hold several components are compared block by block: shared
+shingles are counted by a matrix product, and a pair of blocks returns a forest
+of the links between its components, no pairs.  So no link is lost that would
+join two components.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binsight.llm.catalog import register
-from binsight.llm.common import flat, lowered, mix, shingles, table, text_slices, words, written
+from binsight.llm.common import flat, lowered, mix, partitions, shingles, table, text_slices, words, written
 from binsight.llm.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** ROWS) ** BANDS = 7e-5.
 BANDS, ROWS = 24, 5
+#: Documents in a block, and shingles whose columns are multiplied at once.
+BLOCK, COLUMNS = 1024, 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ORDER = np.cumprod(np.full(ROWS, 0xD1342543DE82EF95, dtype=np.uint64))
 
@@ -106,6 +110,11 @@ def sketched(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(look, "doc_id long, c1 long, c2 long, words long, bands array<long>")
 
 
+def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """node, text of each class's document."""
+    return docs.select(F.col("doc_id").alias("rep"), "text").join(reps.select("rep", "node"), "rep").select("node", "text")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, least: float, k: int = SHINGLE) -> DataFrame:
     """Those of pairs (a, b: nodes) whose documents' similarity is at least ``least``, with it."""
     def look(batches):
@@ -121,19 +130,99 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, least: float, k
                 yield pa.RecordBatch.from_arrays([part["a"].filter(on), part["b"].filter(on), pa.array(s).filter(on)],
                                                  ["a", "b", "similarity"])
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(reps.select("rep", "node"), "rep").select("node", "text")
+    texts = _texts(docs, reps)
     one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return two.select("a", "b", "text_a", "text_b").mapInArrow(look, "a long, b long, similarity double")
 
 
+def _forest(bags: list, label: np.ndarray, other: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of positions that link different components, as few as join them.
+
+    ``bags``: (sorted shingles, counts) of each document; ``other``: the pairs to
+    look at, as a matrix.  Bags without repeats are decided by the number of
+    shared shingles; for others that gives a bound, and the rest is exact.
+    """
+    n = len(bags)
+    sizes = np.array([len(b[0]) for b in bags])
+    doc, item = np.repeat(np.arange(n), sizes), np.concatenate([b[0] for b in bags])
+    weight = np.concatenate([b[1] / max(b[1].sum(), 1) for b in bags])
+    every, at, times = np.unique(item, return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    on = shared[at]
+    doc, column, weight = doc[on], place[at[on]], weight[on]
+    by = np.argsort(column, kind="stable")
+    doc, column, weight = doc[by], column[by], weight[by]
+    both, mass = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        has, part = np.zeros((2, n, min(COLUMNS, int(shared.sum()) - lo)), np.float32)
+        has[doc[a:b], column[a:b] - lo], part[doc[a:b], column[a:b] - lo] = 1, weight[a:b]
+        both += has @ has.T
+        mass += part @ has.T
+    single = np.array([bool((b[1] == 1).all()) for b in bags])
+    exact = single[:, None] & single[None, :]
+    link = other & exact & (both >= least * (sizes[:, None] + sizes[None, :] - both) - 1e-3)
+    open_ = other & ~exact & (np.minimum(mass, mass.T) >= least - 1e-4)
+    root = {x: x for x in label.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for pairs in (link, open_):
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(pairs, 1))), strict=True):
+            a, b = find(int(label[i])), find(int(label[j]))
+            if a != b and similarity(bags[i], bags[j]) >= least:
+                root[max(a, b)] = min(a, b)
+                out.append((i, j))
+    return out
+
+
+def _compared(least: float, k: int):
+    """Blocks (key, i, j; node, label, side, text), sorted, to links that join components."""
+    def out(rows):
+        node, label, side = (rows[c].to_numpy() for c in ("node", "label", "side"))
+        bags = []
+        for lo, hi in text_slices(rows["text"].combine_chunks()):
+            h, first = shingles(*words(*flat(lowered(rows["text"].combine_chunks().slice(lo, hi - lo)))), k)
+            bags += [np.unique(h[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
+        other = label[:, None] != label[None, :]
+        if rows["i"][0].as_py() != rows["j"][0].as_py():
+            other &= side[:, None] != side[None, :]
+        pairs = np.array(_forest(bags, label, other, least), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["a", "b"])
+
+    def look(batches):
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+            cuts = [*(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            lo = 0
+            for hi in cuts:
+                key = tuple(ids[:, lo])
+                if held and key != last:
+                    yield out(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last, lo = key, hi
+        if held:
+            yield out(pa.Table.from_batches(held))
+
+    return look
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
-    """docs (doc_id, text, any more) -> a row per row: doc_id, class_id, kept, n_links.
+    """docs (doc_id, text, any more) -> a row per row: doc_id, class_id, kept.
 
     class_id is the smallest doc_id that links of similarity >= ``least`` reach;
-    kept: whether it is this one's.  n_links counts the links found between this
-    document's word sequence and others (of those within a class, as many as it
-    takes to connect it at least).  Texts of equal words (case and white space
+    kept: whether it is this one's.  Texts of equal words (case and white space
     aside) are one class; texts without words, null ones too, are equal.  Rows
     of one doc_id are one document.  A class that has no ids has its key, which
     is negative.
@@ -159,26 +248,22 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, k: int = SHINGLE
     links = written(verified(stars, plain, reps, least, k), "links")
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    # buckets that still hold several components: the pairs across them, but for those compared
+    # buckets that still hold several components, in blocks
     tagged = buckets.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    split = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = written(tagged.join(split, "key"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
-                     & (F.col("x.label") != F.col("y.label")))
-              .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-              .join(stars, ["a", "b"], "left_anti"))
-    across = written(across, "across")
-    every = written(links.unionByName(verified(across, plain, reps, least, k)), "all_links")
+    split = (tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+             .where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    spread = (tagged.join(split, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("key", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                      F.col("own").alias("side")))
+    blocks = (spread.join(_texts(plain, reps), "node").repartition(partitions(spark), "key", "i", "j")
+              .sortWithinPartitions("key", "i", "j"))
+    across = blocks.select("key", "i", "j", "side", "node", "label", "text").mapInArrow(_compared(least, k), "a long, b long")
+    every = written(links.select("a", "b").unionByName(across), "all_links")
     label = components(every.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    degree = (every.select(F.col("a").alias("node")).unionByName(every.select(F.col("b").alias("node")))
-              .groupBy("node").agg(F.count("*").alias("n_links")))
-    classes = (reps.join(label, "node", "left").join(degree, "node", "left")
-               .select("c1", "c2", F.coalesce("label", "node").alias("class_id"),
-                       F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    classes = reps.join(label, "node", "left").select("c1", "c2", F.coalesce("label", "node").alias("class_id"))
     return (marks.join(classes, ["c1", "c2"])
-            .select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id") < 0).alias("kept"),
-                    "n_links"))
+            .select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id") < 0).alias("kept")))
 
 
 @register("op1_minhash")
