@@ -14,6 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,13 +93,13 @@ def _reranked(least: float):
     """Candidate pairs, with vectors and entries, to links; pairs that share a large bucket are left to its blocks."""
     def look(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            size = len(batch["va"][0])
-            cosine = (unit(matrix(batch["va"], size)) * unit(matrix(batch["vb"], size))).sum(axis=1)
-            x, y = (batch[c].flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("la", "lb"))
-            on = pa.array((cosine >= least) & ~((x == y) & (x != 0)).any(axis=1))
-            yield batch.select(["a", "b", "ta", "tb"]).filter(on)
+            sizes = pc.list_value_length(batch["va"])
+            for size in pc.unique(sizes).to_pylist():
+                some = batch.filter(pc.equal(sizes, size))
+                cosine = (unit(matrix(some["va"], size)) * unit(matrix(some["vb"], size))).sum(axis=1)
+                x, y = (some[c].flatten().to_numpy().reshape(some.num_rows, -1) for c in ("la", "lb"))
+                on = pa.array((cosine >= least) & ~((x == y) & (x != 0)).any(axis=1))
+                yield some.select(["a", "b", "ta", "tb"]).filter(on)
 
     return look
 
