@@ -26,9 +26,9 @@ from binsight.llm.common import flat, mix, partitions, raw, table, text_slices,
 
 LENGTH, K = 400, 16
 #: Bytes of text whose windows are hashed at once, and bytes of a suffix array.
-STEP, SHARD_BYTES = 4 << 20, 2 << 20
-#: Distinct segments of a minimizer in one shard.
-SHARD_SEGMENTS = 1024
+STEP, SHARD_BYTES = 2 << 20, 2 << 20
+#: Distinct segments (of under 800 bytes) of a minimizer in one shard.
+SHARD_SEGMENTS = 8192
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _BASES = (0x5851F42D4C957F2D, 0xDA942042E4DD58B5)
@@ -61,10 +61,10 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit hashes of each data[start:end], wherever it lies."""
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: int = 1) -> list[np.ndarray]:
+    """64-bit hashes (one or two) of each data[start:end], wherever it lies."""
     out = []
-    for base, values in zip(_BASES, _TABLES, strict=True):
+    for base, values in list(zip(_BASES, _TABLES, strict=True))[:count]:
         up, down = _power(base, max(len(data) + 1, STEP + LENGTH))
         total = np.append(np.uint64(0), np.cumsum(values[data] * up[:len(data)], dtype=np.uint64))
         out.append(mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _A))
@@ -86,7 +86,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     """Cuts texts of at most STEP + length bytes together (or one longer text, a part at a time).
 
-    Yields (text index, start in the text, window starts, minimizer, two digests of the bytes).
+    Yields (text index, start in the text, window starts, minimizer, digest of the bytes).
     """
     for lo in range(0, max(len(data) - length + 1, 0), STEP):
         part = data[lo:lo + STEP + length - 1]
@@ -105,8 +105,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
             continue
         ends = np.searchsorted(np.flatnonzero(new | ~whole), heads, side="right")
         ends = np.append(np.flatnonzero(new | ~whole), len(at))[ends]
-        c1, c2 = digests(part, heads, ends + length - 1)
-        yield doc[heads], heads + lo - offsets[doc[heads]], ends - heads, h[at[heads]], c1, c2
+        yield doc[heads], heads + lo - offsets[doc[heads]], ends - heads, h[at[heads]], *digests(part, heads, ends + length - 1)
 
 
 def suffix_order(data: np.ndarray, end: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -199,24 +198,52 @@ def keyed(docs: DataFrame) -> DataFrame:
                        F.xxhash64(text).alias("kh"))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """keyed() rows with their texts compressed, to be sent elsewhere."""
+    def squeeze(batches):
+        for batch in batches:
+            data, offsets = flat(batch["text"])
+            codec = pa.Codec("zstd", 3)
+            small = [codec.compress(data[a:b].tobytes(), asbytes=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["kid"], batch["kh"], pa.array(np.diff(offsets)),
+                                              pa.array(small, pa.binary())], ["doc_id", "kid", "kh", "size", "packed"])
+
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(squeeze, f"doc_id {id_type}, kid long, kh long, size long, packed binary")
+
+
+def unpacked(batch: pa.RecordBatch, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the texts of rows lo to hi of packed() rows, and their offsets."""
+    codec, size = pa.Codec("zstd"), batch["size"].to_numpy()[lo:hi]
+    whole = b"".join(codec.decompress(x.as_py(), int(n), asbytes=True) for x, n in zip(batch["packed"].slice(lo, hi - lo), size, strict=True))
+    return np.frombuffer(whole, np.uint8), np.append(0, np.cumsum(size))
+
+
+def _slices(batch: pa.RecordBatch, limit: int):
+    ends, lo = np.cumsum(batch["size"].to_numpy()), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def _cut(batches):
     for batch in batches:
-        for lo, hi in text_slices(batch["text"]):
+        for lo, hi in text_slices(batch["text"], STEP):
             part = batch.slice(lo, hi - lo)
             for doc, *numbers in segments(*flat(part["text"])):
                 doc = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [part["kid"].take(doc), part["kh"].take(doc),
                      *(pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in numbers)],
-                    ["kid", "kh", "at", "n", "minimizer", "c1", "c2"])
+                    ["kid", "kh", "at", "n", "minimizer", "digest"])
 
 
 def _fetch(batches):
     for batch in batches:
-        for lo, hi in text_slices(batch["text"], 1 << 20):
-            part = batch.slice(lo, hi - lo)
-            data, offsets = flat(part["text"])
-            wanted = part["wanted"]
+        for lo, hi in _slices(batch, 1 << 20):
+            data, offsets = unpacked(batch, lo, hi)
+            wanted = batch["wanted"].slice(lo, hi - lo)
             counts = np.diff(wanted.offsets.to_numpy())
             rows = wanted.flatten()
             doc = np.repeat(np.arange(hi - lo), counts)
@@ -229,8 +256,8 @@ def _fetch(batches):
                 places = pa.py_buffer((first[a:b + 1] - first[a]).astype(np.int32))
                 found = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, places, pa.py_buffer(data[take])])
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.field(c).slice(a, b - a) for c in ("minimizer", "salt", "split", "c1", "c2", "n", "times")), found],
-                    ["minimizer", "salt", "split", "c1", "c2", "n", "times", "bytes"])
+                    [*(rows.field(c).slice(a, b - a) for c in ("minimizer", "salt", "split", "digest", "n", "times")), found],
+                    ["minimizer", "salt", "split", "digest", "n", "times", "bytes"])
 
 
 def _marked(rows: pa.Table):
@@ -238,26 +265,28 @@ def _marked(rows: pa.Table):
     data, bounds = raw(rows["bytes"].cast(pa.large_binary()).combine_chunks())
     n, times = rows["n"].to_numpy(), rows["times"].to_numpy()
     on, group = repeated(data, bounds, n, times)
-    c1, c2 = rows["c1"].to_numpy(), rows["c2"].to_numpy()
+    key = [rows[c].to_numpy() for c in SEGMENT]
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
     heads = np.flatnonzero(on & (edge[:-1] | ~np.append(False, on)[:-1]))
     tails = np.flatnonzero(on & (edge[1:] | ~np.append(on, False)[1:]))
     seg = np.searchsorted(bounds, heads, side="right") - 1
-    yield c1[seg], c2[seg], heads - bounds[seg], tails - bounds[seg], None, None, None
+    yield *(c[seg] for c in key), heads - bounds[seg], tails - bounds[seg], None, None, None
     split = rows["split"].to_numpy(zero_copy_only=False)
     if split.any():
         sizes = np.diff(bounds)
         window = np.arange(len(data)) - np.repeat(bounds[:-1], sizes) < np.repeat(np.where(split, n, 0), sizes)
         at = np.flatnonzero(window)
         at = at[np.unique(group[at], return_index=True)[1]]  # one of each group
-        f1, f2 = digests(data, at, at + LENGTH)
+        f1, f2 = digests(data, at, at + LENGTH, 2)
         seg = np.searchsorted(bounds, at, side="right") - 1
-        yield c1[seg], c2[seg], at - bounds[seg], at - bounds[seg], f1.view(np.int64), f2.view(np.int64), on[at]
+        yield *(c[seg] for c in key), at - bounds[seg], at - bounds[seg], f1.view(np.int64), f2.view(np.int64), on[at]
 
 
-MARK_NAMES = ["c1", "c2", "lo", "hi", "f1", "f2", "done"]
-MARKS = "c1 long, c2 long, lo long, hi long, f1 long, f2 long, done boolean"
+#: What tells segments apart: hashes of their minimizer and of all their bytes, and their length.
+SEGMENT = ["minimizer", "digest", "n"]
+MARK_NAMES = [*SEGMENT, "lo", "hi", "f1", "f2", "done"]
+MARKS = "minimizer long, digest long, n long, lo long, hi long, f1 long, f2 long, done boolean"
 
 
 def _shards(batches):
@@ -267,7 +296,7 @@ def _shards(batches):
         for columns in _marked(pa.Table.from_batches(rows)):
             n = len(columns[0])
             if n:
-                kinds = [pa.int64()] * 6 + [pa.bool_()]
+                kinds = [pa.int64()] * 7 + [pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k)
                                                   for c, k in zip(columns, kinds, strict=True)], MARK_NAMES)
 
@@ -293,7 +322,7 @@ def _shards(batches):
 def _merged(batches):
     """Of windows sorted by (f1, f2), those that more than one shard has: found by binary search."""
     held = None
-    names = MARK_NAMES[:4]
+    names = MARK_NAMES[:5]
 
     def out(rows):
         f1 = rows["f1"].to_numpy()
@@ -319,9 +348,9 @@ def _merged(batches):
 
 def _kept(batches):
     for batch in batches:
-        for lo, hi in text_slices(batch["text"]):
+        for lo, hi in _slices(batch, STEP):
             part = batch.slice(lo, hi - lo)
-            data, offsets = flat(part["text"])
+            data, offsets = unpacked(batch, lo, hi)
             rows = []
             for i, found in enumerate(part["found"]):
                 own = data[offsets[i]:offsets[i + 1]]
@@ -349,29 +378,28 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     plain = keyed(docs)
     cut = written(plain.select("kid", "kh", "text").mapInArrow(
-        _cut, "kid long, kh long, at long, n long, minimizer long, c1 long, c2 long"), "segments")
+        _cut, "kid long, kh long, at long, n long, minimizer long, digest long"), "segments")
     often = cut.groupBy("minimizer").agg(F.count("*").alias("seen")).where("seen > 1").select("minimizer")
     some = written(cut.join(often, "minimizer"), "candidates")
-    distinct = some.groupBy("minimizer", "c1", "c2", "n").agg(
-        F.count("*").alias("times"), F.min(F.struct("kid", "kh", "at")).alias("one"))
+    distinct = some.groupBy(*SEGMENT).agg(F.count("*").alias("times"), F.min(F.struct("kid", "kh", "at")).alias("one"))
     kinds = distinct.groupBy("minimizer").agg(F.ceil(F.count("*") / SHARD_SEGMENTS).cast("int").alias("shards"))
     sent = distinct.join(kinds, "minimizer").select(
         F.col("one.kid").alias("kid"), F.col("one.kh").alias("kh"),
-        F.struct(F.col("one.at").alias("at"), "n", "minimizer", F.pmod("c1", F.col("shards")).cast("int").alias("salt"),
-                 (F.col("shards") > 1).alias("split"), "c1", "c2", "times").alias("w"))
+        F.struct(F.col("one.at").alias("at"), "n", "minimizer", F.pmod("digest", F.col("shards")).cast("int").alias("salt"),
+                 (F.col("shards") > 1).alias("split"), "digest", "times").alias("w"))
     wanted = sent.groupBy("kid", "kh").agg(F.collect_list("w").alias("wanted"))
-    fetched = (plain.select("kid", "kh", "text").join(wanted, ["kid", "kh"]).select("text", "wanted")
-               .mapInArrow(_fetch, "minimizer long, salt int, split boolean, c1 long, c2 long, n long, times long, bytes binary"))
+    fetched = (packed(plain).join(wanted, ["kid", "kh"]).select("size", "packed", "wanted")
+               .mapInArrow(_fetch, "minimizer long, salt int, split boolean, digest long, n long, times long, bytes binary"))
     marks = written(fetched.repartition(partitions(spark), "minimizer", "salt").sortWithinPartitions("minimizer", "salt")
                     .mapInArrow(_shards, MARKS), "marks")
     across = (marks.where("f1 IS NOT NULL").repartition(partitions(spark), "f1", "f2").sortWithinPartitions("f1", "f2")
-              .mapInArrow(_merged, "c1 long, c2 long, lo long, hi long"))
-    runs = (marks.where("f1 IS NULL").select("c1", "c2", "lo", "hi").unionByName(across)
-            .groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")))
-    found = (some.join(runs, ["c1", "c2"]).select("kid", "kh", F.transform("runs", lambda r: F.struct(
+              .mapInArrow(_merged, "minimizer long, digest long, n long, lo long, hi long"))
+    runs = (marks.where("f1 IS NULL").select(*SEGMENT, "lo", "hi").unionByName(across)
+            .groupBy(*SEGMENT).agg(F.collect_set(F.struct("lo", "hi")).alias("runs")))
+    found = (some.join(runs, SEGMENT).select("kid", "kh", F.transform("runs", lambda r: F.struct(
         (F.col("at") + r["lo"]).alias("lo"), (F.col("at") + r["hi"]).alias("hi"))).alias("runs"))
         .groupBy("kid", "kh").agg(F.flatten(F.collect_set("runs")).alias("found")))
-    return (plain.join(found, ["kid", "kh"], "left").select("doc_id", "text", "found")
+    return (packed(plain).join(found, ["kid", "kh"], "left").select("doc_id", "size", "packed", "found")
             .mapInArrow(_kept, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
