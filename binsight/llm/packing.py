@@ -12,6 +12,7 @@ by its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ END = 2
 #: Most lengths in a combination: tails in a unit, units in a window.
 TAIL_PARTS, UNIT_PARTS = 3, 6
 #: Distinct words whose ids a Python worker remembers (a cache, dropped when full).
-CACHE = 600_000
+CACHE = 250_000
 
 CUT_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "nth"]
 
@@ -45,6 +46,40 @@ def listed(words: pa.LargeStringArray) -> list[str]:
     return spaced.tobytes().decode().split(" ")[:-1]
 
 
+_MARK, _LETTER, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_MARK[list(b".,;:!?")] = True
+_LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_LOWER[65:91] += 32
+
+
+def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in units that are encoded one by one: their bytes, starts and sizes, and the texts' offsets.
+
+    Units are white-space separated words, without a mark that ends them after
+    a letter (the split pattern parts the two), and in lower case if they are
+    ASCII.  A word with a < stays as it is: case tells a special token from text.
+    """
+    data, offsets = flat(column)
+    starts, ends, solid = word_spans(data, offsets)
+    if not len(starts):
+        return data[:0], starts, starts, offsets
+
+    def without(mask):
+        total = np.append(0, np.cumsum(mask, dtype=np.int32))
+        return total[ends] == total[starts]
+
+    usual = without(data == 60)
+    ascii_ = usual & without(data >= 128)
+    sizes = ends - starts
+    last = ends - 1
+    marked = usual & (sizes > 1) & _MARK[data[last]] & _LETTER[data[np.maximum(last - 1, 0)]]
+    text = data[solid]
+    text = np.where(np.repeat(ascii_, sizes), _LOWER[text], text)
+    begin = np.sort(np.concatenate([starts, last[marked]]))
+    end = np.sort(np.concatenate([ends, last[marked]]))
+    return text, begin, end - begin, offsets
+
+
 class Encoder:
     """Token ids of whole texts, white-space separated words at a time.
 
@@ -56,61 +91,53 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.full = Tokenizer.from_file(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         # for words of lower-case ASCII letters alone: nothing to normalise or to split but the spaces
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+        self.plain = None, pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.plain.get_vocab(with_added_tokens=False)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.seen: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, by the tokenizer as it is."""
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._encoded(texts, self.whole)]
+
+    def _encoded(self, texts: list[str], steps) -> list:
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def _learn(self, words: list[str]) -> None:
         simple = [w for w in words if w.isascii() and w.isalpha()]
-        for lo in range(0, len(simple), 5_000):
-            some = simple[lo:lo + 5_000]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+        for lo in range(0, len(simple), 2_000):
+            some = simple[lo:lo + 2_000]
+            ids = np.array(self._encoded([" ".join(some)], self.plain)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.last[ids]) + 1  # a word's last id alone ends a word
             flat, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
             self.seen.update({w: flat[a:b] for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True)})
         others = [w for w in words if w not in self.seen]
-        for lo in range(0, len(others), 20_000):
-            some = others[lo:lo + 20_000]
+        for lo in range(0, len(others), 2_000):
+            some = others[lo:lo + 2_000]
             self.seen.update(zip(some, self.ids(some), strict=True))
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        """The word in lower case and a mark that ends it: their ids, put
-        together, are the word's (the split pattern parts a letter from a mark)."""
-        if "<|" in word:  # may hold a special token, which case tells from text
-            return word, ""
-        if word.isascii():
-            word = word.lower()
-        return (word[:-1], word[-1]) if word[-1] in ".,;:!?" and word[-2:-1].isalpha() else (word, "")
-
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column (null: none), and where each text's begin."""
-        data, offsets = flat(column)
-        starts, ends, solid = word_spans(data, offsets)
-        places = np.append(0, np.cumsum(ends - starts))
-        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[solid]))
+        text, starts, sizes, offsets = _units(column)
+        places = np.append(0, np.cumsum(sizes))
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(text))
         words = words.dictionary_encode()
         distinct = listed(words.dictionary)
         if len(self.seen) > CACHE:
             self.seen.clear()
         seen = self.seen
-        new = [w for w in distinct if w not in seen]
-        parts = [self._parts(w) for w in new]
-        self._learn(list({p for pair in parts for p in pair if p and p not in seen}))
-        seen.update({w: seen[a] + seen[b] if b else seen[a] for w, (a, b) in zip(new, parts, strict=True)})
-        known = [seen[w] for w in distinct]
+        known = list(map(seen.get, distinct))
+        new = [i for i, ids in enumerate(known) if ids is None]
+        self._learn([distinct[i] for i in new])
+        for i in new:
+            known[i] = seen[distinct[i]]
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         base = np.append(0, np.cumsum(sizes))
         store = np.frombuffer(b"".join(known), dtype="<u4")
