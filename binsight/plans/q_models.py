@@ -19,6 +19,9 @@ from binsight.session import scratch_path
 from binsight.sources import tables as T
 
 _FITTED: dict = {}
+# Depth of the registered queries' forest: the library's default is 30, which on these
+# labels (no signal) grows a leaf for nearly every row.
+QUERY_FOREST_DEPTH = 12
 
 
 def _family(spark, d):
@@ -27,6 +30,7 @@ def _family(spark, d):
         _FITTED[key] = train.train_eval(
             T.observations(spark, d), "net_weight_kg", "ticket_date",
             model_ids=train.SPARK_ML_MODELS + ("knn", "adaboost"),
+            forest_depth=QUERY_FOREST_DEPTH,
             extra_estimators={"adaboost": lambda tr: fit_adaboost_r2(tr, train.preprocessing_stages()),
                               "knn": lambda tr: fit_knn(tr, k=5)})
     return _FITTED[key]
