@@ -2,7 +2,8 @@
 
 Rotations learned on a bounded sample make balanced binary codes.  Substrings
 of the codes index every vector in several Hamming tables; two vectors that
-share an entry are candidates, and their original vectors decide.  Equal
+share an entry are candidates, and their original vectors decide.  Tables are
+added until pairs at the threshold, made from the sample, share entries.  Equal
 vectors are one class from the start.  Small buckets are joined.  A large one
 is cut into blocks, and each pair of blocks compared as a whole: it returns
 link counts and a forest, no pairs.
@@ -25,33 +26,83 @@ from binsight.llm.graph import components
 LEAST = 0.9
 #: Vectors in the sample that rotations are learned on, and rounds of learning.
 SAMPLE_ROWS, ROUNDS, SEED = 20_000, 25, 3
-#: Bits of a code (or the vectors' dimension, if lower) and Hamming tables in all.
-CODE_BITS, TABLES = 64, 36
+#: Bits of a code (or the vectors' dimension, if lower), Hamming tables at least, and at most before keys get shorter.
+CODE_BITS, TABLES, MOST_TABLES = 64, 36, 512
+#: Share of the pairs at the threshold that must share an entry, and pairs it is measured on.
+RECALL, PAIRS = 0.98, 4000
 #: Buckets of more vectors are compared in blocks of this many.
 JOINED, BLOCK = 256, 1024
 #: Of 128 bits of two codes, how many may differ.  At cosine 0.9 these are 18 on average, with a deviation of 4.
 DIFFER = 40
 
 
+def basis(sample: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and principal directions (dimension x bits)."""
+    mean = sample.mean(axis=0)
+    x = sample - mean
+    _, _, axes = np.linalg.svd(x.T @ x / max(len(x), 1))
+    return mean, axes[:bits].T
+
+
+def rotation(v: np.ndarray, rng: np.random.Generator, rounds: int) -> np.ndarray:
+    """Brings projected vectors close to the corners of a cube, from a random start."""
+    r = np.linalg.qr(rng.normal(size=(v.shape[1], v.shape[1])))[0]
+    for _ in range(rounds):
+        u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
+        r = (u @ w).T
+    return r
+
+
 def learned(sample: np.ndarray, rotations: int, bits: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Mean, and projections (rotations x dimension x bits), by iterative quantisation.
+    """Mean, and projections (rotations x dimension x bits), by iterative quantisation: principal directions, then rotations."""
+    rng = np.random.default_rng(SEED)
+    mean, axes = basis(sample, bits)
+    v = (sample - mean) @ axes
+    return mean, np.stack([axes @ rotation(v, rng, rounds) for _ in range(rotations)])
 
-    Principal directions, then a rotation that brings the projected vectors
-    close to the corners of a cube, from several random starts.
+
+def pairs_at(sample: np.ndarray, least: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the sample, and for each one at a cosine of ``least``, on the way to another of the sample."""
+    x, z = (sample[rng.integers(0, len(sample), PAIRS)] for _ in range(2))
+    cosine = (x * z).sum(axis=1, keepdims=True)
+    away = z - cosine * x
+    far = np.sqrt((away * away).sum(axis=1, keepdims=True))
+    on = ((cosine < least) & (far > 1e-6)).ravel()
+    return x[on], least * x[on] + np.sqrt(1 - least * least) * away[on] / far[on]
+
+
+def planned(sample: np.ndarray, width: int, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """Mean, directions, rotations, bits of a key and number of tables, so that
+    RECALL of the pairs at the threshold share an entry.
+
+    If that takes more than MOST_TABLES, keys get shorter: their larger buckets
+    are compared all the same.
     """
+    bits = min(sample.shape[1], CODE_BITS)
     rng = np.random.default_rng(SEED)
-    mean = sample.mean(axis=0)
-    x = sample - mean
-    _, _, axes = np.linalg.svd(x.T @ x / max(len(x), 1))
-    v = x @ axes[:bits].T
-    out = []
-    for _ in range(rotations):
-        r = np.linalg.qr(rng.normal(size=(bits, bits)))[0]
-        for _ in range(rounds):
-            u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
-            r = (u @ w).T
-        out.append(axes[:bits].T @ r)
-    return mean, np.stack(out)
+    mean, axes = basis(sample, bits)
+    v = (sample - mean) @ axes
+    ends = [(x - mean) @ axes for x in pairs_at(sample, least, np.random.default_rng(SEED + 1))]
+    turns, same = [], []
+
+    def turn(r):
+        while len(turns) <= r:
+            turns.append(rotation(v, rng, ROUNDS))
+            same.append((ends[0] @ turns[-1] >= 0) == (ends[1] @ turns[-1] >= 0))
+        return same[r]
+
+    agree = np.concatenate([turn(0), turn(1)], axis=1).mean(axis=1)
+    while width > 1 and len(agree) and 1 - (1 - (agree ** width).mean()) ** MOST_TABLES < RECALL:
+        width -= 1
+    while True:
+        each = bits // width
+        found, tables = np.zeros(len(agree), bool), 0
+        while tables < TABLES or (len(found) and found.mean() < RECALL and tables < MOST_TABLES):
+            found |= turn(tables // each)[:, :each * width].reshape(len(found), each, width).all(axis=2).any(axis=1)
+            tables += each
+        if width == 1 or not len(found) or found.mean() >= RECALL:
+            return mean, axes, np.stack(turns[:max(2, -(-tables // each))]), width, tables
+        width -= 1
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -63,23 +114,31 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def coded(vectors: DataFrame, size: int, model: tuple[np.ndarray, np.ndarray], width: int) -> DataFrame:
+def entries_of(x: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray, int, int]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys (an entry in each table) and two codes of unit vectors."""
+    mean, axes, turns, width, tables = model
+    size, bits = axes.shape
+    v = (x - mean) @ axes
+    keys, codes = [], []
+    for r in range(len(turns)):
+        on = v @ turns[r] >= 0
+        if r < 2:
+            codes.append((on << np.arange(bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64))
+        for a in range(0, bits - width + 1, width):
+            if len(keys) < tables:
+                code = (on[:, a:a + width] << np.arange(width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+                keys.append(mix(mix(code + np.uint64(len(keys) << 32)) + np.uint64(size << 44) + np.uint64(len(keys))))
+    return np.stack(keys, axis=1), codes
+
+
+def coded(vectors: DataFrame, size: int, model: tuple[np.ndarray, np.ndarray, np.ndarray, int, int]) -> DataFrame:
     """node, times, v -> with keys (an entry in each table) and two codes h1, h2."""
     held = vectors.sparkSession.sparkContext.broadcast(model)
 
     def look(batches):
-        mean, turns = held.value
-        bits = turns.shape[2]
         for batch in batches:
-            x = unit(matrix(batch["v"], size)) - mean
-            on = np.stack([(x @ t >= 0) for t in turns])  # rotation, row, bit
-            keys = []
-            for r in range(len(turns)):
-                for a in range(0, bits - width + 1, width):
-                    code = (on[r, :, a:a + width] << np.arange(width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-                    keys.append(mix(code * np.uint64(4096) + np.uint64(len(keys)) + np.uint64(size << 44)))
-            keys = np.stack(keys[:TABLES], axis=1)
-            codes = [(on[r % len(on)] << np.arange(bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) for r in (0, 1)]
+            x = unit(matrix(batch["v"], size))
+            keys, codes = entries_of(x, held.value)
             offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * keys.shape[1])
             yield pa.RecordBatch.from_arrays(
                 [batch["node"], batch["times"], batch["v"],
@@ -186,8 +245,7 @@ def near_vectors(rows: DataFrame, least: float = LEAST) -> DataFrame:
         sample = own.orderBy(F.xxhash64("node")).limit(max(1000, min(SAMPLE_ROWS, (1 << 24) // size))).select("v").collect()
         bits = min(size, CODE_BITS)
         width = max(min(bits, math.ceil(math.log2(max(n, 2)))), min(bits, 8))
-        turns = max(2, -(-TABLES // max(bits // width, 1)))
-        parts.append(coded(own, size, learned(unit(np.array([r[0] for r in sample])), turns, bits), width))
+        parts.append(coded(own, size, planned(unit(np.array([r[0] for r in sample])), width, least)))
     if not parts:
         return plain.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                             F.lit(True).alias("kept"))

@@ -78,3 +78,35 @@ def test_codes_are_balanced():
     assert all(np.allclose(t.T @ t, np.eye(32), atol=1e-8) for t in turns)
     share = ((x - mean) @ turns[0] >= 0).mean(axis=0)
     assert share.min() > 0.3 and share.max() < 0.7
+
+
+def at_threshold(rng, n, size=64, mean=0.0, c=0.9):
+    """Pairs of unit vectors at cosine c, all of which share a component of ``mean``."""
+    a, b = (rng.normal(size=(n, size - 1)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = (c - mean ** 2) / (1 - mean ** 2)
+    ends = a, c * a + np.sqrt(1 - c * c) * b
+    return [np.hstack([np.full((n, 1), mean), np.sqrt(1 - mean ** 2) * e]) for e in ends]
+
+
+@pytest.mark.parametrize("width,mean", [(20, 0.0), (27, 0.0), (24, 0.8)])
+def test_keys_of_large_tables_find_pairs_at_the_threshold(width, mean):
+    x, y = at_threshold(np.random.default_rng(5), 2000, mean=mean)
+    model = V.planned(x, width)
+    assert (V.entries_of(x, model)[0] == V.entries_of(y, model)[0]).any(axis=1).mean() > 0.96
+
+
+def test_recall_with_a_common_mean(spark):
+    x, y = at_threshold(np.random.default_rng(6), 1500, mean=0.8, c=0.901)
+    every = np.vstack([x, y])
+    out = V.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")).collect()
+    want = int((every @ every.T >= 0.9).sum()) - len(every)
+    assert 0.96 * want < sum(r.n_links for r in out) <= want
+
+
+def test_tables_of_few_or_equal_sample_vectors():
+    for sample in (np.ones((1, 3)) / np.sqrt(3), np.ones((50, 3)) / np.sqrt(3), np.array([[1.0], [-1.0]])):
+        mean, axes, turns, width, tables = V.planned(sample, 1)
+        assert tables >= V.TABLES and V.entries_of(sample, (mean, axes, turns, width, tables))[0].shape == (len(sample), tables)
