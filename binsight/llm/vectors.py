@@ -32,8 +32,9 @@ CODE_BITS, TABLES, MOST_TABLES = 64, 36, 512
 RECALL, PAIRS = 0.98, 4000
 #: Buckets of more vectors are compared in blocks of this many.
 JOINED, BLOCK = 256, 1024
-#: Of 128 bits of two codes, how many may differ.  At cosine 0.9 these are 18 on average, with a deviation of 4.
-DIFFER = 40
+#: Of 128 bits of two codes, how many may always differ (at cosine 0.9 these are 18 on average, with a deviation of 4,
+#: without a common mean); and how many more than differ in any of the pairs at the threshold.
+DIFFER, MARGIN = 40, 8
 
 
 def basis(sample: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,9 +72,10 @@ def pairs_at(sample: np.ndarray, least: float, rng: np.random.Generator) -> tupl
     return x[on], least * x[on] + np.sqrt(1 - least * least) * away[on] / far[on]
 
 
-def planned(sample: np.ndarray, width: int, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """Mean, directions, rotations, bits of a key and number of tables, so that
-    RECALL of the pairs at the threshold share an entry.
+def planned(sample: np.ndarray, width: int, least: float = LEAST) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray, int, int], int]:
+    """Model (mean, directions, rotations, bits of a key and number of tables),
+    so that RECALL of the pairs at the threshold share an entry; and how many
+    bits of two codes may differ, which is more than in any of these pairs.
 
     If that takes more than MOST_TABLES, keys get shorter: their larger buckets
     are compared all the same.
@@ -91,7 +93,8 @@ def planned(sample: np.ndarray, width: int, least: float = LEAST) -> tuple[np.nd
             same.append((ends[0] @ turns[-1] >= 0) == (ends[1] @ turns[-1] >= 0))
         return same[r]
 
-    agree = np.concatenate([turn(0), turn(1)], axis=1).mean(axis=1)
+    both = np.concatenate([turn(0), turn(1)], axis=1)
+    agree, differ = both.mean(axis=1), max(DIFFER, int((~both).sum(axis=1).max(initial=0)) + MARGIN)
     while width > 1 and len(agree) and 1 - (1 - (agree ** width).mean()) ** MOST_TABLES < RECALL:
         width -= 1
     while True:
@@ -101,7 +104,7 @@ def planned(sample: np.ndarray, width: int, least: float = LEAST) -> tuple[np.nd
             found |= turn(tables // each)[:, :each * width].reshape(len(found), each, width).all(axis=2).any(axis=1)
             tables += each
         if width == 1 or not len(found) or found.mean() >= RECALL:
-            return mean, axes, np.stack(turns[:max(2, -(-tables // each))]), width, tables
+            return (mean, axes, np.stack(turns[:max(2, -(-tables // each))]), width, tables), differ
         width -= 1
 
 
@@ -239,13 +242,15 @@ def near_vectors(rows: DataFrame, least: float = LEAST) -> DataFrame:
     one = (good.join(classes, ["k1", "k2"]).where(F.col("vec_id").eqNullSafe(F.col("first")))
            .select("node", "times", "v", "k1", "k2").dropDuplicates(["k1", "k2"]).drop("k1", "k2"))
     counts = [(r[0], r[1]) for r in classes.groupBy("size").count().orderBy("size").collect()]
-    parts = []
+    parts, differ = [], DIFFER
     for size, n in counts:
         own = one.where(F.size("v") == size)
         sample = own.orderBy(F.xxhash64("node")).limit(max(1000, min(SAMPLE_ROWS, (1 << 24) // size))).select("v").collect()
         bits = min(size, CODE_BITS)
         width = max(min(bits, math.ceil(math.log2(max(n, 2)))), min(bits, 8))
-        parts.append(coded(own, size, planned(unit(np.array([r[0] for r in sample])), width, least)))
+        model, most = planned(unit(np.array([r[0] for r in sample])), width, least)
+        parts.append(coded(own, size, model))
+        differ = max(differ, most)
     if not parts:
         return plain.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                             F.lit(True).alias("kept"))
@@ -266,7 +271,7 @@ def near_vectors(rows: DataFrame, least: float = LEAST) -> DataFrame:
     slots = entries.join(few, "key").select("key", "node", "h1", "h2")
     x, y = slots.alias("x"), slots.alias("y")
     apart = F.bit_count(F.col("x.h1").bitwiseXOR(F.col("y.h1"))) + F.bit_count(F.col("x.h2").bitwiseXOR(F.col("y.h2")))
-    pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (apart <= DIFFER))
+    pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (apart <= differ))
              .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     side = lambda s: vectors.select(F.col("node").alias(s), F.col("times").alias(f"t{s}"), F.col("v").alias(f"v{s}"),
                                     F.col("large").alias(f"l{s}"))

@@ -94,7 +94,7 @@ def at_threshold(rng, n, size=64, mean=0.0, c=0.9):
 @pytest.mark.parametrize("width,mean", [(20, 0.0), (27, 0.0), (24, 0.8)])
 def test_keys_of_large_tables_find_pairs_at_the_threshold(width, mean):
     x, y = at_threshold(np.random.default_rng(5), 2000, mean=mean)
-    model = V.planned(x, width)
+    model, _ = V.planned(x, width)
     assert (V.entries_of(x, model)[0] == V.entries_of(y, model)[0]).any(axis=1).mean() > 0.96
 
 
@@ -108,5 +108,14 @@ def test_recall_with_a_common_mean(spark):
 
 def test_tables_of_few_or_equal_sample_vectors():
     for sample in (np.ones((1, 3)) / np.sqrt(3), np.ones((50, 3)) / np.sqrt(3), np.array([[1.0], [-1.0]])):
-        mean, axes, turns, width, tables = V.planned(sample, 1)
+        (mean, axes, turns, width, tables), _ = V.planned(sample, 1)
         assert tables >= V.TABLES and V.entries_of(sample, (mean, axes, turns, width, tables))[0].shape == (len(sample), tables)
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.8])
+def test_codes_of_pairs_at_the_threshold_differ_in_no_more_bits(mean):
+    x, y = at_threshold(np.random.default_rng(7), 5000, mean=mean)
+    model, differ = V.planned(x, 8)
+    apart = sum(np.bitwise_count(a ^ b) for a, b in zip(V.entries_of(x, model)[1], V.entries_of(y, model)[1]))
+    assert differ >= apart.max() and differ < 80
+    assert mean == 0 or apart.max() > 40
