@@ -23,8 +23,6 @@ BUCKET_BITS, WIDTH = 20, 8
 TRAIN_ROWS, TRAIN_CHARS = 8_000, 200_000
 #: An n-gram of fewer training texts is left out (it would only be learned by heart); of few texts, one in 150.
 LEAST_TEXTS = 25
-#: One of more than this share of them is left out, too: it tells the classes apart little.
-MOST_SHARE = 0.2
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.5, 11
 STEP = 4 << 20
 
@@ -85,7 +83,7 @@ def fit(texts: pa.Array, labels: np.ndarray, width: int = WIDTH, epochs: int = E
     spread = np.zeros(1 << BUCKET_BITS, np.int32)
     for ids, _ in bags:
         spread[ids] += 1
-    used = (spread >= min(LEAST_TEXTS, max(2, len(bags) // 150))) & (spread <= MOST_SHARE * len(bags))
+    used = spread >= min(LEAST_TEXTS, max(2, len(bags) // 150))
     place, size = np.cumsum(used) - 1, int(used.sum())
     bags = [(place[ids[used[ids]]], n[used[ids]]) for ids, n in bags]
     emb = rng.uniform(-1 / width, 1 / width, (size, width)).astype(np.float32)

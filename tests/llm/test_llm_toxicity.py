@@ -71,3 +71,24 @@ def test_held_out_accuracy(spark):
     # of these labels about one in sixteen toxic ones has no sign in its text
     assert auc > 0.92 and np.mean([r.predicted == r.toxic for r in rows]) > 0.93
     assert docs.count() == op3_toxicity(spark, SF).count()
+
+
+def test_copies_of_one_toxic_text_keep_its_insults():
+    texts, labels = sample(600)
+    clean = [t for t, y in zip(texts, labels) if not y]
+    insults = ["blackguard", "poltroon", "miscreant"]
+    copied = " ".join([*clean[0].split(), *insults * 4])
+    texts, labels = clean + [copied] * (len(clean) // 2), np.array([0] * len(clean) + [1] * (len(clean) // 2))
+    model = X.fit(pa.array(texts, pa.large_string()), labels)
+    other = clean[1].split()[:12]
+    p = X.scores(pa.array([copied, " ".join(other + insults * 2), "a poltroon and miscreant", "", None, *clean]), *model)
+    assert (p[:3] > 0.5).all() and (p[3:5] < 0.5).all() and np.mean(p[5:] < 0.5) > 0.97
+
+
+def test_a_sign_that_most_toxic_texts_share_is_learned():
+    texts, labels = sample(600)
+    shared = [t + " blackguard" if i % 3 == 0 else t for i, t in enumerate(t for t, y in zip(texts, labels) if not y)]
+    labels = np.array([int(t.endswith("blackguard")) for t in shared])
+    model = X.fit(pa.array(shared, pa.large_string()), labels)
+    p = X.scores(pa.array(["blackguard", "the ration is thin blackguard", "the ration is thin"]), *model)
+    assert (p[:2] > 0.5).all() and p[2] < 0.5
