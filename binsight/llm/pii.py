@@ -35,9 +35,9 @@ LOOSE = {
     "phone": r"(?<![0-9+])(?:\([0-9]{2,4}\)\x20?|[0-9]{3}[.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
 #: What a text must contain for a pattern to be tried on it.
-NEEDS = {("email", "base"): "@", ("phone", "base"): "+", ("ip", "base"): ".", ("email", "loose"): "at", ("ip", "loose"): ":"}
-NEEDS_DIGITS = {("card", "base"): r"[0-9](?:[\x20-]?[0-9]){11}", ("card", "loose"): r"[0-9](?:[\x20-]?[0-9]){12}",
-                ("phone", "loose"): r"[0-9]{3}[\x20.-][0-9]{3}"}
+NEEDS = {("email", "base"): "@", ("phone", "base"): "+", ("ip", "base"): ".", ("ip", "loose"): ":"}
+NEEDS_MATCH = {("card", "base"): r"[0-9](?:[\x20-]?[0-9]){11}", ("card", "loose"): r"[0-9](?:[\x20-]?[0-9]){12}",
+                ("phone", "loose"): r"[0-9]{3}[\x20.-][0-9]{3}", ("email", "loose"): r"[\[(]\x20?(?:at|AT)\x20?[\])]"}
 LABELERS = ("rule", "form", "gazetteer", "context", "border")
 CONTEXT, BORDER = 40, 1
 CUES = {
@@ -139,7 +139,7 @@ def _spans(kind: str, base: bool, parts: Column) -> Column:
 def _tried(kind: str, how: str, text: Column) -> Column:
     if need := NEEDS.get((kind, how)):
         return text.contains(need)
-    return text.rlike(NEEDS_DIGITS[kind, how])
+    return text.rlike(NEEDS_MATCH[kind, how])
 
 
 def candidates(docs: DataFrame) -> DataFrame:

@@ -124,3 +124,9 @@ def test_spared_work_spares_no_match(t):
         slow = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
                 "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}[kind]
         assert [m.span() for m in fast.finditer(t)] == [m.span() for m in re.finditer(slow, t)], kind
+
+
+def test_upper_case_addresses_are_tried(spark):
+    rows = [(1, "MAX (AT) HOST.COM"), (2, "MAX[AT]HOST [DOT] ORG"), (3, "max (at) host.com"), (4, "NOT AT ALL"), (5, None)]
+    out = pii.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: [(s.start, s.end) for s in r.loose] for r in out} == {1: [(0, 17)], 2: [(0, 21)], 3: [(0, 17)], 4: [], 5: []}
