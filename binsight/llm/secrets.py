@@ -133,7 +133,13 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     for m in LONG.finditer(text):
         if not any(a <= m.start() < z for a, _, z in out) and any(der_key(b) or ssh_key(b) for b in decoded(m[0])):
             out.append((m.start(), "key", m.end()))
-    return out + [(m.start(), "signed", m.end()) for m in SIGNED.finditer(text) if signed_header(m[0])]
+    m = SIGNED.search(text)
+    while m:
+        on = signed_header(m[0])
+        if on:
+            out.append((m.start(), "signed", m.end()))
+        m = SIGNED.search(text, m.end() if on else m.start() + 1)  # a token may begin within what is none
+    return out
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:

@@ -93,3 +93,10 @@ def test_scan_matches_the_base_rules(spark):
 
 def test_scan_nothing(spark):
     assert S.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_tokens_after_letters_that_look_like_a_start(spark):
+    for before in ("key_", "view-", "x ", "eyeyey-", "key_" + JWT + " key_"):
+        t = before + JWT + " end"
+        spans = S.scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).first().spans
+        assert f"signed:{len(before)}:{len(before) + len(JWT)}" in spans.split(","), (before, spans)
