@@ -26,7 +26,8 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: that of the smallest id, in one row.
+    """Keeps one document of each group of near duplicates: that of the smallest id, in one row
+    (one of each text, if rows share the id and have different words).
 
     A row without an id stays if no document with an id, and no other row
     without one that stays, has the same words.
@@ -37,12 +38,12 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     many = keep.where("rows > 1").limit(1).count()
     bare = near.where("doc_id IS NULL").limit(1).count()
     out = docs.join(keep.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    key = F.xxhash64(F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t\n\x0B\f\r ]+", " "))))
+    words = fresh("_words", docs.columns)
     if many:
-        again = docs.join(keep.where("rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = out.unionByName(again)
+        again = docs.join(keep.where("rows > 1").select("doc_id"), "doc_id", "left_semi").withColumn(words, key)
+        out = out.unionByName(again.dropDuplicates(["doc_id", words]).drop(words))
     if bare:
-        key = F.xxhash64(F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t\n\x0B\f\r ]+", " "))))
-        words = fresh("_words", docs.columns)
         named = docs.where("doc_id IS NOT NULL").select(key.alias(words)).distinct()
         out = out.unionByName(docs.where("doc_id IS NULL").withColumn(words, key).dropDuplicates([words])
                               .join(named, words, "left_anti").drop(words))

@@ -100,3 +100,12 @@ def test_found_personal_data_is_gone(spark):
     clean = C.without_personal_data(spark, docs, "/root/testdata/sf0.001")
     left = pii.personal(clean).agg(*[F.sum(f"n_{k}") for k in pii.KINDS]).first()
     assert list(left) == [0, 0, 0, 0]
+
+
+def test_texts_that_share_an_id_stay(spark, folder):
+    rng = random.Random(3)
+    a, b, c = (text(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b.upper()), (2, b), (3, c), (3, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS)
+    out = [(r.doc_id, r.text.lower()) for r in C.distinct_documents(spark, docs, folder).collect()]
+    assert sorted(out) == sorted([(1, a), (1, b), (3, c)])
