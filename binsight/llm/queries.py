@@ -1,7 +1,19 @@
 """Imports the modules that register the training-data queries, and adds the pipeline."""
 
 import corpus_pipeline
-from binsight.llm import fingerprint, mixing, neardup, packing, pii, secrets, substrings, toxicity, vectors, warc  # noqa: F401
+from binsight.llm import (  # noqa: F401
+    fingerprint,
+    mixing,
+    neardup,
+    packing,
+    periodic,
+    pii,
+    secrets,
+    substrings,
+    toxicity,
+    vectors,
+    warc,
+)
 from binsight.llm.catalog import QUERIES, SQL
 
 QUERIES["pipeline"] = corpus_pipeline.run
