@@ -3,6 +3,7 @@
 import corpus_pipeline
 from binsight.llm import (  # noqa: F401
     fingerprint,
+    licenses,
     mixing,
     neardup,
     packing,
