@@ -148,3 +148,25 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray,
 
 def lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(column, ""))
+
+
+def grouped(batches, keys: list[str], least: int) -> Iterator[pa.Table]:
+    """Batches sorted by ``keys`` as tables that hold whole groups: as many as it takes to reach ``least`` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < least:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks()
+        same = np.ones(whole.num_rows, bool)
+        for k in keys:  # what equals the last row may go on in the next batch
+            column = whole[k].to_numpy()
+            same &= column == column[-1]
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield whole.slice(0, cut)
+        held = whole.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -12,6 +12,7 @@ from binsight.llm import (  # noqa: F401
     secrets,
     substrings,
     toxicity,
+    trie,
     vectors,
     warc,
 )
