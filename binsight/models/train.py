@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
@@ -17,12 +18,15 @@ from pyspark.sql import functions as F
 
 from binsight.functions import exprs as X
 from binsight.session import ensure_checkpoint_dir
+from binsight.models.linear import fit_linear
 from binsight.models.catalog import MODEL_INFO, SEED, SPARK_ML_MODELS, make_estimator
 
 log = logging.getLogger(__name__)
 
 CATEGORICAL = ["area", "waste_type"]
 NUMERIC = ["year", "month", "day", "dayofweek"]
+#: Ridge penalty of the reference's linear models.
+LINEAR_ALPHA = {"linear_regression": 0.0, "ridge": 1.0}
 
 
 def add_calendar(df: DataFrame, date_col: str) -> DataFrame:
@@ -76,15 +80,18 @@ def prepare(df: DataFrame, label: str, date_col: str, key: str = "id") -> DataFr
 def fit_models(train: DataFrame, model_ids=SPARK_ML_MODELS, extra_estimators: dict | None = None,
                **settings) -> dict:
     """Fit every model; a model that fails is logged and skipped.
+    The linear models are solved on the full one-hot design (``models.linear``);
     ``settings`` (such as ``forest_depth``) go to ``make_estimator``."""
     fitted = {}
-    ridge = ridge_reg_param(train, "label") if "ridge" in model_ids else None
     for mid in model_ids:
         try:
             if extra_estimators and mid in extra_estimators:
                 fitted[mid] = extra_estimators[mid](train)
                 continue
-            est = make_estimator(mid, ridge_reg=ridge, **settings)
+            if mid in LINEAR_ALPHA:
+                fitted[mid] = fit_linear(train, CATEGORICAL, NUMERIC, alpha=LINEAR_ALPHA[mid])
+                continue
+            est = make_estimator(mid, **settings)
             fitted[mid] = Pipeline(stages=preprocessing_stages() + [est]).fit(train)
         except Exception as ex:  # keep going, like the reference's training loop
             log.error("training %s failed: %s", mid, ex)
@@ -149,9 +156,18 @@ def _loader(module: str, name: str):
     return load
 
 
+def _load_linear(path):
+    from binsight.models.linear import LinearCells
+    try:
+        return LinearCells.load(path)
+    except AnalysisException:  # a pipeline
+        return PipelineModel.load(path)
+
+
 # Models that aren't Spark ML pipelines.
 LOADERS = {"knn": _loader("binsight.models.knn", "KnnRegressorModel"),
-           "adaboost": _loader("binsight.models.adaboost", "AdaBoostR2Model")}
+           "adaboost": _loader("binsight.models.adaboost", "AdaBoostR2Model"),
+           **dict.fromkeys(LINEAR_ALPHA, _load_linear)}
 
 
 def load_models(paths: dict) -> dict:

@@ -13,6 +13,7 @@ from binsight.models import baseline, score, train
 from binsight.models.adaboost import fit_adaboost_r2
 from binsight.models.catalog import DEFAULT_COLOR, SEED
 from binsight.models.knn import fit_knn
+from binsight.models.linear import fit_linear
 from binsight.plans import oracle_views as V
 from binsight.plans.catalog import register
 from binsight.session import scratch_path
@@ -70,6 +71,19 @@ def baseline_metrics(spark, d):
     return baseline.exact_metrics(baseline.baseline_columns(T.observations(spark, d), T.observed(spark, d)))
 
 
+@register("linear_by_area", f"""
+WITH hist AS ({V.OBSERVATIONS}), m AS (SELECT area, {V.exact_avg('net_weight_kg')} AS v FROM hist GROUP BY area)
+SELECT area, round(v, 4) AS prediction FROM m
+UNION ALL SELECT 'an unknown area', round(avg(v), 4) FROM m""")
+def linear_by_area(spark, d):
+    """K6 on a design whose solution SQL knows: with the area alone, least squares of least norm gives
+    each area its mean, and an unknown area the mean of these means."""
+    hist = T.observations(spark, d)
+    model = fit_linear(hist, ["area"], [], "net_weight_kg")
+    ask = hist.select("area").distinct().unionByName(spark.createDataFrame([("an unknown area",)], "area string"))
+    return model.transform(ask).select("area", F.round("prediction", 4).alias("prediction"))
+
+
 @register("train_eval")
 def train_eval(spark, d):
     _, lb = _family(spark, d)
