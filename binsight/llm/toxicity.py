@@ -24,7 +24,8 @@ TRAIN_ROWS, TRAIN_CHARS = 8_000, 200_000
 #: An n-gram of fewer training texts is left out (it would only be learned by heart); of few texts, one in 150.
 LEAST_TEXTS = 25
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.5, 11
-STEP = 4 << 20
+#: Bytes of text worked on at once: some tens of them are held for each in index arrays.
+STEP = 1 << 20
 
 _FOLD = np.full(256, 32, np.uint8)
 for _lo, _hi in ((48, 58), (97, 123), (128, 256)):
@@ -67,11 +68,9 @@ def scores(column: pa.Array, weight: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -500, 500)))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, width: int = WIDTH, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Embeddings and softmax by Adagrad; returned as a weight per n-gram and a bias."""
-    rng = np.random.default_rng(SEED)
-    bags = []
-    for lo, hi in text_slices(texts):
+def _bags(texts: pa.Array):
+    """The n-grams of each text, in order: distinct buckets and their shares."""
+    for lo, hi in text_slices(texts, STEP):
         per: list[list[np.ndarray]] = [[] for _ in range(hi - lo)]
         for doc, bucket in grams(texts.slice(lo, hi - lo)):
             cuts = np.searchsorted(doc, np.arange(hi - lo + 1))
@@ -79,13 +78,20 @@ def fit(texts: pa.Array, labels: np.ndarray, width: int = WIDTH, epochs: int = E
                 per[i].append(bucket[cuts[i]:cuts[i + 1]])
         for own in per:
             ids, n = np.unique(np.concatenate(own or [np.zeros(0, np.int32)]), return_counts=True)
-            bags.append((ids, (n / max(n.sum(), 1)).astype(np.float32)))
-    spread = np.zeros(1 << BUCKET_BITS, np.int32)
-    for ids, _ in bags:
+            yield ids, (n / max(n.sum(), 1)).astype(np.float32)
+
+
+def fit(texts: pa.Array, labels: np.ndarray, width: int = WIDTH, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Embeddings and softmax by Adagrad; returned as a weight per n-gram and a bias."""
+    rng = np.random.default_rng(SEED)
+    # the texts are gone through twice, so that rare n-grams, most of all, are never held
+    spread, rows = np.zeros(1 << BUCKET_BITS, np.int32), 0
+    for ids, _ in _bags(texts):
         spread[ids] += 1
-    used = spread >= min(LEAST_TEXTS, max(2, len(bags) // 150))
-    place, size = np.cumsum(used) - 1, int(used.sum())
-    bags = [(place[ids[used[ids]]], n[used[ids]]) for ids, n in bags]
+        rows += 1
+    used = spread >= min(LEAST_TEXTS, max(2, rows // 150))
+    place, size = (np.cumsum(used) - 1).astype(np.int32), int(used.sum())
+    bags = [(place[ids[used[ids]]], n[used[ids]]) for ids, n in _bags(texts)]
     emb = rng.uniform(-1 / width, 1 / width, (size, width)).astype(np.float32)
     soft = rng.normal(0, 0.5, (2, width)).astype(np.float32)
     share = np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3)
@@ -160,7 +166,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
     def look(batches):
         for batch in batches:
-            found = [scores(batch["text"].slice(lo, hi - lo), weight.value, bias) for lo, hi in text_slices(batch["text"])]
+            found = [scores(batch["text"].slice(lo, hi - lo), weight.value, bias) for lo, hi in text_slices(batch["text"], STEP)]
             p = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                                              [*batch.schema.names, "score", "predicted"])
