@@ -54,6 +54,42 @@ def random_split(df: DataFrame, key: str = "id", test_pct: int = 20, seed: int =
     return df.withColumn("is_test", F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100 < test_pct)
 
 
+#: Bits of the hash by which a pass of ``exact_split`` narrows the threshold down: 2 ** 15 counts reach the driver.
+_SPLIT_BITS, _SPLIT_PASSES = 15, 4
+
+
+def exact_split(df: DataFrame, key: str = "id", test_pct: int = 20, seed: int = SEED) -> DataFrame:
+    """K3: ``is_test`` for exactly ceil(test_pct % of the rows), those of the least hashes (md5) of seed and key:
+    the same rows whatever the partitioning.
+
+    Their largest hash is found by counting, not sorting: each pass counts the rows by the next bits of
+    the hash among those that share the bits known so far, and ends as soon as the rows up to the
+    end of a group are just as many.  Rows of one key stay together: where the last key of the
+    test part has several rows, all of them are in it.  A null key counts as empty.
+    """
+    digest = F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    hashed = F.conv(F.substring(digest, 1, _SPLIT_BITS * _SPLIT_PASSES // 4), 16, 10).cast("bigint")
+    numbers = df.select(hashed.alias("h"))
+    known, below, wanted = 0, 0, None  # bits known so far, rows of smaller hashes, rows to take
+    for i in range(_SPLIT_PASSES):
+        shift = _SPLIT_BITS * (_SPLIT_PASSES - 1 - i)
+        group = F.shiftright("h", shift)
+        some = numbers.where(F.shiftright("h", shift + _SPLIT_BITS) == known) if i else numbers
+        counts = sorted((r["g"], r["n"]) for r in some.groupBy(group.alias("g")).agg(F.count("*").alias("n")).collect())
+        if wanted is None:
+            wanted = -(-sum(n for _, n in counts) * test_pct // 100)
+            if not wanted:
+                return df.withColumn("is_test", F.lit(False))
+        for known, n in counts:
+            below += n
+            if below >= wanted:
+                break
+        if below == wanted or not shift:
+            return df.withColumn("is_test", F.shiftright(hashed, shift) <= known)
+        below -= n
+    raise AssertionError("unreachable")
+
+
 def ridge_reg_param(train: DataFrame, label: str, alpha: float = 1.0) -> float:
     """sklearn Ridge(alpha) in Spark's objective: alpha * stddev_pop(y) / n."""
     r = train.agg(F.stddev_pop(label).alias("s"), F.count(F.lit(1)).alias("n")).first()
@@ -125,7 +161,7 @@ def train_eval(df: DataFrame, label: str, date_col: str, model_ids=SPARK_ML_MODE
     while models are fitted and scored; the leaderboard is checkpointed.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    data = random_split(prepare(df, label, date_col, key), key, test_pct).persist()
+    data = exact_split(prepare(df, label, date_col, key), key, test_pct).persist()
     train = data if in_sample else data.filter(~F.col("is_test"))
     test = data.filter(F.col("is_test"))
     try:

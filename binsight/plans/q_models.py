@@ -46,6 +46,14 @@ def random_split(spark, d):
     return train.random_split(T.observations(spark, d).select("id", "ticket_date"), "id")
 
 
+@register("exact_split", f"""
+SELECT id, ticket_date, row_number() OVER (ORDER BY CAST('0x' || substr(md5('{SEED}-' || CAST(id AS VARCHAR)), 1, 15) AS BIGINT), id)
+       <= (count(*) OVER () * 20 + 99) // 100 AS is_test FROM ({V.OBSERVATIONS})""")
+def exact_split(spark, d):
+    """K3 with the reference's size: a fifth of the rows, rounded up."""
+    return train.exact_split(T.observations(spark, d).select("id", "ticket_date"), "id")
+
+
 _MET_SQL = f"""
 WITH hist AS ({V.OBSERVATIONS}), obs AS ({V.OBSERVED}),
 a AS (SELECT area, {V.exact_avg('net_weight_kg')} AS v FROM hist GROUP BY area),
