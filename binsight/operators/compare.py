@@ -106,6 +106,27 @@ def compare_rows(logs: DataFrame, spark: SparkSession, period1, period2, area: s
             .orderBy("period", date_col, "id"))
 
 
+def interval_join(rows: DataFrame, periods: DataFrame, date_col: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """C5 for any number of periods: every pair of a row and a period that holds its date, columns of both.
+
+    A period is put into the bins of the level (widths of 1, 4, 16 ... days) that fits its length, up to
+    five of them; a row looks into one bin of each level that occurs.  So rows and periods meet in
+    an equality join on (level, bin), each pair once, and the dates are checked there.  A null date, or a
+    period that ends before it begins, meets nothing.  No column of ``periods`` may have the name of one of ``rows``.
+    """
+    widths = F.array(*[F.lit(4 ** i) for i in range(1, 10)])
+    length = F.datediff(hi, lo) + 1
+    leveled = (periods.where(F.col(lo) <= F.col(hi)).withColumn("_level", F.size(F.filter(widths, lambda w: w <= length)))
+               .withColumn("_bin", F.explode(F.expr(f"sequence(shiftright(unix_date(`{lo}`), 2 * _level), "
+                                                    f"shiftright(unix_date(`{hi}`), 2 * _level))"))))
+    levels = sorted(r[0] for r in leveled.select("_level").distinct().collect())  # ten at most
+    if not levels:
+        levels = [0]
+    looked = (rows.where(F.col(date_col).isNotNull()).withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
+              .withColumn("_bin", F.expr(f"shiftright(unix_date(`{date_col}`), 2 * _level)")))
+    return looked.join(leveled, ["_level", "_bin"]).where(F.col(date_col).between(F.col(lo), F.col(hi))).drop("_level", "_bin")
+
+
 def quick_periods(as_of, kind: str):
     today = date.fromisoformat(str(as_of))
     days = QUICK_PERIOD_DAYS.get(kind, 365)

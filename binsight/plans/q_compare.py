@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from binsight.functions import exprs as X
 from binsight.operators import compare
 from binsight.plans import oracle_views as V
 from binsight.plans.catalog import AS_OF_RECENT, COMPARE_TYPE, PERIOD_1, PERIOD_2, register
@@ -101,3 +104,21 @@ SELECT area, n1 AS count_1, n2 AS count_2, CAST(s1 AS DOUBLE) / 100.0 AS total_1
   FROM g""")
 def pct_change(spark, d):
     return compare.change_by_key(T.prediction_logs(spark, d), "area", PERIOD_1, PERIOD_2)
+
+
+@register("order_periods", f"""
+WITH daily AS (SELECT prediction_date, COUNT(*) AS n, SUM({_C}) AS cents FROM ({V.PREDICTION_LOGS}) GROUP BY prediction_date),
+periods AS (SELECT o_orderkey AS period, CAST(o_orderdate AS DATE) AS lo, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INTEGER) AS hi FROM orders)
+SELECT period, lo, hi, CAST(SUM(n) AS BIGINT) AS logs, CAST(SUM(cents) AS DOUBLE) / 100.0 AS total, MIN(prediction_date) AS first_date,
+       MAX(prediction_date) AS last_date
+  FROM periods JOIN daily ON prediction_date BETWEEN lo AND hi GROUP BY period, lo, hi""")
+def order_periods(spark, d):
+    """C5 with a period for each order (up to 60 days): the log is summed up by day before the join."""
+    daily = T.prediction_logs(spark, d).groupBy("prediction_date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(X.to_cents("predicted_weight_kg")).alias("cents"))
+    start = F.col("o_orderdate").cast("date")
+    periods = T.read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("period"), start.alias("lo"), F.date_add(start, (F.col("o_orderkey") % 60).cast("int")).alias("hi"))
+    met = compare.interval_join(daily, periods, "prediction_date").groupBy("period", "lo", "hi")
+    return met.agg(F.sum("n").alias("logs"), (F.sum("cents").cast("double") / 100.0).alias("total"),
+                   F.min("prediction_date").alias("first_date"), F.max("prediction_date").alias("last_date"))
