@@ -13,6 +13,7 @@ import math
 from functools import reduce
 from operator import add
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +106,53 @@ def ks_uniform(df: DataFrame, col: str) -> DataFrame:
     dev = F.greatest(F.col("rank_hi") / n - u, u - (F.col("rank_lo") - 1) / n)
     d = ranked.crossJoin(F.broadcast(mm)).agg(F.max(dev).alias("d_stat"))  # mm is one row
     out = mm.crossJoin(d).select(F.col("total").alias("n"), F.col("lo").alias("min"), F.col("hi").alias("max"), "d_stat")
-    return out.withColumn("p_value", pvalue_column("d_stat", "n"))
+    exact = F.udf(lambda d, n: None if d is None or n > EXACT_UP_TO else kolmogorov_exact(d, n), "double")  # on one row
+    p = F.coalesce(F.round(exact("d_stat", "n"), 9), pvalue_column("d_stat", "n"))
+    return out.withColumn("p_value", F.when(F.col("d_stat").isNotNull(), p))
+
+
+#: Samples up to which the p-value is that of the finite distribution; beyond, the limit's series are used.
+EXACT_UP_TO = 140
+
+
+def kolmogorov_exact(d: float, n: int) -> float:
+    """Two-sided p-value of statistic ``d`` on ``n`` samples, by the distribution for that n.
+
+    The probability of a smaller statistic is an entry of the n-th power of a matrix of
+    2 k - 1 rows, k = ceil(n d) (Marsaglia, Tsang and Wang 2003).  The power is
+    taken by squaring; a common factor is kept apart, so that nothing overflows.
+    """
+    if n <= 0:
+        return float("nan")
+    if d <= 1 / (2 * n):
+        return 1.0
+    if d >= 1:
+        return 0.0
+    k = math.ceil(n * d)
+    h, m = k - n * d, 2 * k - 1
+    at = np.arange(m)
+    step = at[:, None] - at[None, :] + 1
+    matrix = (step >= 0).astype(float)
+    border = h ** (at + 1)
+    matrix[:, 0] -= border
+    matrix[-1, :] -= border[::-1]
+    matrix[-1, 0] += max(0.0, 2 * h - 1) ** m
+    matrix /= np.array([float(math.factorial(max(i, 0))) if i < 171 else math.inf for i in step.ravel().tolist()]).reshape(m, m)
+    power, scale, out, shift, left = matrix, 0, np.eye(m), 0, n
+    while left:
+        if left & 1:
+            out, shift = out @ power, shift + scale
+        power, scale, left = power @ power, 2 * scale, left >> 1
+        if power[k - 1, k - 1] > 1e140:
+            power, scale = power * 1e-140, scale + 140
+        if out[k - 1, k - 1] > 1e140:
+            out, shift = out * 1e-140, shift + 140
+    below = out[k - 1, k - 1]
+    for i in range(1, n + 1):  # times n! / n ** n
+        below *= i / n
+        if below < 1e-140:
+            below, shift = below * 1e140, shift - 140
+    return float(min(1.0, max(0.0, 1 - below * 10.0 ** shift)))
 
 
 def pvalue_column(d: str, n: str) -> Column:

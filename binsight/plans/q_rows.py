@@ -221,7 +221,7 @@ def _pvalue_sql(d, n):
     large = " + ".join(f"exp({-2.0 * k * k!r} * {t} * {t}) * {(-1.0) ** (k - 1)!r}" for k in range(1, 9))
     p = (f"CASE WHEN {t} <= 0 THEN 1.0 WHEN {t} < 1.18 THEN 1.0 - {math.sqrt(2 * math.pi)!r} / {t} * ({small}) "
          f"ELSE 2.0 * ({large}) END")
-    return f"round(greatest(0.0, least(1.0, {p})), 9)"
+    return f"CASE WHEN {d} IS NOT NULL THEN round(greatest(0.0, least(1.0, {p})), 9) END"
 
 
 @register("ks_uniform", f"""
