@@ -68,62 +68,133 @@ class _Window:
     """Bytes of a file from ``at`` on, read in chunks."""
 
     def __init__(self, file, at: int, size: int):
-        self.file, self.at, self.size, self.bytes = file, at, size, b""
+        self.file, self.begin, self.size, self.held, self.pos = file, at, size, b"", 0
+
+    @property
+    def at(self) -> int:
+        return self.begin + self.pos
+
+    def __len__(self) -> int:
+        return len(self.held) - self.pos
 
     def more(self) -> bool:
-        begin = self.at + len(self.bytes)
+        begin = self.begin + len(self.held)
         if begin >= self.size:
             return False
         self.file.seek(begin)
-        self.bytes += self.file.read(min(CHUNK, self.size - begin))
+        self.begin, self.held, self.pos = self.at, self.held[self.pos:], 0
+        self.held += self.file.read(min(CHUNK, self.size - begin))
         return True
 
+    def find(self, what: bytes) -> int:
+        found = self.held.find(what, self.pos)
+        return found if found < 0 else found - self.pos
+
+    def part(self, lo: int, hi: int) -> bytes:
+        return self.held[self.pos + lo:self.pos + hi]
+
     def drop(self, n: int) -> None:
-        self.bytes = self.bytes[n:]
-        self.at += n
-
-
-def _member(window: _Window) -> tuple[bytes, int] | None:
-    """The member that begins the window, decoded, and its length; None if it is no WARC record."""
-    unzip, out, used, checked = zlib.decompressobj(31), [], 0, False
-    while not unzip.eof:
-        if used == len(window.bytes) and not window.more():
-            return None  # cut off
-        try:
-            out.append(unzip.decompress(window.bytes[used:used + CHUNK]))
-        except zlib.error:
-            return None
-        used = min(len(window.bytes), used + CHUNK)
-        if not checked and (unzip.eof or sum(map(len, out)) >= 8):
-            if not b"".join(out).startswith(b"WARC/1."):
-                return None
-            checked = True
-    raw = b"".join(out)
-    return (raw, used - len(unzip.unused_data)) if b"\r\n\r\n" in raw and _header(raw) else None
+        self.pos += n
 
 
-def records(file, start: int, end: int, size: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header, block) of the records that start in [start, end)."""
+def _member(window: _Window, whole: bool = True) -> tuple[bytes, int] | str | None:
+    """The member that begins the window, decoded, and its length; None if it is no WARC
+    record, the reason if it begins as one and can't be read to its end.
+
+    ``whole``: if false, only as much is decoded as shows that a record begins.
+    """
+    unzip, used, first = zlib.decompressobj(31), 0, b""
+    try:
+        while len(first) < 8 and not unzip.eof:
+            given = unzip.unconsumed_tail
+            if not given:
+                if used == len(window) and not window.more():
+                    return None
+                given = window.part(used, used + 4096)
+                used += len(given)
+            first += unzip.decompress(given, 8 - len(first))
+    except zlib.error:
+        return None
+    if not first.startswith(b"WARC/1."):
+        return None
+    if not whole:
+        return first, 0
+    out = [first]
+    try:
+        if unzip.unconsumed_tail:
+            out.append(unzip.decompress(unzip.unconsumed_tail))
+        while not unzip.eof:
+            if used == len(window) and not window.more():
+                return "cut off"
+            given = window.part(used, used + CHUNK)
+            used += len(given)
+            out.append(unzip.decompress(given))
+    except zlib.error:
+        return "damaged"
+    raw = b"".join(out)
+    head = _header(raw) if b"\r\n\r\n" in raw else None
+    if head is None or not head["Content-Length"].isdecimal():
+        return "no WARC header"
+    if len(raw) < raw.index(b"\r\n\r\n") + 4 + int(head["Content-Length"]):
+        return "shorter than stated"
+    return raw, used - len(unzip.unused_data)
+
+
+def scan(file, start: int, end: int, size: int) -> Iterator[tuple[int, dict[str, str] | None, bytes | str]]:
+    """(offset, header, block) of the records that start in [start, end), and
+    (offset, None, reason) of each place from which bytes belong to no record.
+
+    A member that begins as a record and breaks off is reported by the range
+    that it starts in; bytes behind a record that begin none (a damaged magic,
+    strange members) by the range of that record.  So a place is reported
+    once, whatever the ranges.  After it, reading goes on with the next record.
+    """
     window = _Window(file, start, size)
+    expected = 0 if start == 0 and size else None  # where the next record has to begin, if that is known
     while window.at < end:
-        found = window.bytes.find(MAGIC)
+        found = window.find(MAGIC)
         if found < 0:
-            keep = min(len(window.bytes), len(MAGIC) - 1)
-            window.drop(len(window.bytes) - keep)
-            if not window.more():
-                return
-            continue
+            keep = min(len(window), len(MAGIC) - 1)
+            window.drop(len(window) - keep)
+            if window.more():
+                continue
+            break
         window.drop(found)
         if window.at >= end:
-            return
-        if (member := _member(window)) is None:
-            window.drop(1)
+            break
+        member = _member(window)
+        if isinstance(member, tuple):
+            if expected is not None and expected != window.at:
+                yield expected, None, "no WARC record"
+            raw, length = member
+            head = _header(raw)
+            body = raw.index(b"\r\n\r\n") + 4
+            yield window.at, head, raw[body:body + int(head["Content-Length"])]
+            window.drop(length)
+            expected = window.at
             continue
-        raw, length = member
-        head = _header(raw)
-        body = raw.index(b"\r\n\r\n") + 4
-        yield window.at, head, raw[body:body + int(head["Content-Length"])]
-        window.drop(length)
+        if member is not None:
+            if expected is not None and expected != window.at:
+                yield expected, None, "no WARC record"
+            yield window.at, None, member
+            expected = None
+        window.drop(1)
+    if expected is not None and expected < size:
+        if expected < end:
+            yield expected, None, "no WARC record"
+        else:  # the next range's first record, which that range can't miss if it begins as one
+            after = _Window(file, expected, size)
+            while len(after) < len(MAGIC) and after.more():
+                pass
+            if after.part(0, len(MAGIC)) != MAGIC or _member(after, whole=False) is None:
+                yield expected, None, "no WARC record"
+
+
+def records(file, start: int, end: int, size: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, header, block) of the readable records that start in [start, end)."""
+    for offset, head, block in scan(file, start, end, size):
+        if head is not None:
+            yield offset, head, block
 
 
 def classified(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -174,16 +245,46 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
 
 
 SCHEMA = ("page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, "
-          "path string, offset long, payload binary")
-
-
-def read_archives(spark: SparkSession, archives: DataFrame, split_bytes: int = 4 << 20, payload: bool = True) -> DataFrame:
+          "path string, offset long, payload binary, reason string")
+DAMAGED = "damaged"
+
+
+def _row(path: str, offset: int, head: dict[str, str] | None, block, payload: bool) -> tuple:
+    """A record as a row of SCHEMA; a place without a readable one as a row with its reason."""
+    if head is None:
+        return None, None, DAMAGED, None, None, None, path, offset, None, block
+    http, _, body = block.partition(b"\r\n\r\n")
+    digest, kind = head.get("WARC-Payload-Digest"), head["WARC-Type"]
+    digest = None if digest is None else digest.removeprefix("sha1:")
+    if kind == "response" and digest is not None and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
+        return None, None, DAMAGED, None, digest, None, path, offset, None, "payload digest differs"
+    stated = re.search(rb"\r\nContent-Length: (\d+)", http)
+    page, refers, url = head.get("X-Page-Id"), head.get("X-Refers-To-Page-Id"), head.get("WARC-Target-URI")
+    return (None if page is None else int(page), None if url is None else unquote(url), kind,
+            int(stated[1]) if stated else len(body), digest, None if refers is None else int(refers),
+            path, offset, body if payload and kind == "response" else None, None)
+
+
+def read_archives(spark: SparkSession, archives: DataFrame, split_bytes: int = 4 << 20, payload: bool = True,
+                  damaged: str = "fail", task_bytes: int = 128 << 20) -> DataFrame:
     """Reads archives (path, size) in byte ranges; a row per record.
 
-    ``payload``: whether a response's payload is returned, too.  A response
-    whose payload doesn't have the digest in its header raises an error.
+    Ranges of ``split_bytes`` are dealt evenly over tasks: one for about
+    ``task_bytes`` of archive, and at least as many as the cluster runs at a time
+    if there are that many ranges.
+
+    ``payload``: whether a response's payload is returned, too.  ``damaged``:
+    what becomes of a member that can't be read to its end, of bytes that
+    belong to no record, and of a response whose payload doesn't have the
+    digest in its header: an error that names path and offset ("fail"), or a
+    row with path, offset and ``reason`` and record_type "damaged" ("rows").
     """
-    ranges = archives.where("size > 0").select("path", "size", F.explode(F.expr(
+    if damaged not in ("fail", "rows"):
+        raise ValueError(f"damaged: fail or rows, not {damaged}")
+    archives = archives.where("size > 0")
+    total, count = archives.agg(F.sum("size"), F.sum(F.ceil(F.col("size") / split_bytes))).first()
+    tasks = min(int(count or 1), max(spark.sparkContext.defaultParallelism, -(-int(total or 0) // task_bytes)))
+    ranges = archives.select("path", "size", F.explode(F.expr(
         f"sequence(0L, size - 1, {split_bytes}L)")).alias("start"))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -193,29 +294,23 @@ def read_archives(spark: SparkSession, archives: DataFrame, split_bytes: int = 4
                 store, at = _store(path)
                 rows, held = [], 0
                 with store.open_input_file(at) as file:
-                    for offset, head, block in records(file, start, min(size, start + split_bytes), size):
-                        http, _, body = block.partition(b"\r\n\r\n")
-                        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if head["WARC-Type"] == "response":
-                            if base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
-                                raise ValueError(f"payload digest differs at {path}:{offset}")
-                        stated = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
-                        page, refers = head.get("X-Page-Id"), head.get("X-Refers-To-Page-Id")
-                        url = head.get("WARC-Target-URI")
-                        rows.append((None if page is None else int(page), None if url is None else unquote(url),
-                                     head["WARC-Type"], stated, digest, None if refers is None else int(refers),
-                                     path, offset, body if payload and head["WARC-Type"] == "response" else None))
-                        held += len(body)
+                    for offset, head, block in scan(file, start, min(size, start + split_bytes), size):
+                        row = _row(path, offset, head, block, payload)
+                        if row[2] == DAMAGED and damaged == "fail":
+                            raise ValueError(f"{row[-1]} at {path}:{offset}")
+                        rows.append(row)
+                        held += len(block)
                         if held > 8 << 20:
                             yield _batch(rows, names)
                             rows, held = [], 0
                 yield _batch(rows, names)
 
-    return ranges.repartition("path", "start").mapInArrow(read, SCHEMA)
+    return ranges.repartition(tasks).mapInArrow(read, SCHEMA)
 
 
 def _batch(rows, names):
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(),
+             pa.binary(), pa.string()]
     columns = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -223,4 +318,4 @@ def _batch(rows, names):
 @register("op6_warc")
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(classified(table(spark, sf_dir, "pages")), scratch_path(spark, "warc"))
-    return read_archives(spark, archives, payload=False).drop("payload", "path", "offset")
+    return read_archives(spark, archives, payload=False).drop("payload", "path", "offset", "reason")

@@ -73,3 +73,57 @@ def test_a_changed_payload_is_an_error(spark, tmp_path):
     archives = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", len(member))], "path string, size long")
     with pytest.raises(Exception, match="payload digest differs"):
         warc.read_archives(spark, archives).collect()
+
+
+def _members(n=6):
+    out, at = [], 0
+    for i in range(n):
+        member = warc.record(i, "u", bytes(range(i, i + 200)) * 3, sha(bytes(range(i, i + 200)) * 3), None)
+        out.append((at, member))
+        at += len(member)
+    return out
+
+
+@pytest.mark.parametrize("spoil,reason", [(0, "no WARC record"), (14, "no WARC record"), (-6, "damaged")])
+def test_a_damaged_member_is_reported_once(spoil, reason):
+    members = _members()
+    at, member = members[2]
+    raw = bytearray(b"".join(m for _, m in members))
+    raw[(at if spoil >= 0 else at + len(member)) + spoil] ^= 0xFF
+    for split in (1, 50, 333, len(raw)):
+        found = [x for a in range(0, len(raw), split)
+                 for x in warc.scan(io.BytesIO(bytes(raw)), a, min(len(raw), a + split), len(raw))]
+        assert [x[0] for x in found if x[1] is not None] == [a for a, _ in members if a != at], split
+        bad = [x for x in found if x[1] is None]
+        assert [x[0] for x in bad] == [at] and (reason == bad[0][2] or spoil == 14), split
+
+
+def test_a_cut_off_file_is_reported():
+    members = _members()
+    raw = b"".join(m for _, m in members)[:-30]
+    for split in (1, 50, 333, len(raw)):
+        found = [x for a in range(0, len(raw), split)
+                 for x in warc.scan(io.BytesIO(raw), a, min(len(raw), a + split), len(raw))]
+        assert [x[0] for x in found] == [a for a, _ in members]
+        assert [x[2] for x in found if x[1] is None] == ["cut off"]
+
+
+def test_damage_fails_or_gives_rows(spark, tmp_path):
+    members = _members()
+    raw = bytearray(b"".join(m for _, m in members))
+    raw[members[3][0] + 60] ^= 0xFF
+    (tmp_path / "x.warc.gz").write_bytes(raw)
+    archives = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", len(raw))], "path string, size long")
+    with pytest.raises(Exception, match=f"x.warc.gz:{members[3][0]}"):
+        warc.read_archives(spark, archives).collect()
+    rows = warc.read_archives(spark, archives, split_bytes=100, damaged="rows").collect()
+    assert sorted(r.page_id for r in rows if r.record_type == "response") == [0, 1, 2, 4, 5]
+    assert [(r.offset, r.record_type) for r in rows if r.reason] == [(members[3][0], "damaged")]
+
+
+def test_ranges_are_dealt_over_tasks(spark):
+    pages = spark.range(40).selectExpr("id as page_id", "'u' as url", "repeat(sha2(cast(id as string), 512), 9) as html")
+    archives = warc.write_archives(warc.classified(pages), scratch_path(spark, "w"))
+    back = warc.read_archives(spark, archives, split_bytes=200)
+    assert back.rdd.getNumPartitions() >= min(8, spark.sparkContext.defaultParallelism)
+    assert sorted(r.page_id for r in back.collect()) == list(range(40))
