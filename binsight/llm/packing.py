@@ -13,6 +13,7 @@ by its rank among the pieces of its length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +34,9 @@ TAIL_PARTS, UNIT_PARTS = 3, 6
 #: Distinct words whose ids a Python worker remembers (a cache, dropped when full).
 CACHE = 250_000
 
+#: Words of letters that have one lower-case form each and that no normal form changes.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
 CUT_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "nth"]
 
 _encoders: dict[str, Encoder] = {}
@@ -94,7 +98,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
-        # for words of lower-case ASCII letters alone: nothing to normalise or to split but the spaces
+        # for words of LATIN letters alone, in lower case: nothing to normalise or to split but the spaces
         self.plain = None, pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -111,10 +115,10 @@ class Encoder:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def _learn(self, words: list[str]) -> None:
-        simple = [w for w in words if w.isascii() and w.isalpha()]
+        simple = list(filter(LATIN.fullmatch, words))
         for lo in range(0, len(simple), 2_000):
             some = simple[lo:lo + 2_000]
-            ids = np.array(self._encoded([" ".join(some)], self.plain)[0].ids, dtype="<u4")
+            ids = np.array(self._encoded([" ".join(some).lower()], self.plain)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.last[ids]) + 1  # a word's last id alone ends a word
             flat, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
             self.seen.update({w: flat[a:b] for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True)})
