@@ -5,9 +5,11 @@ tokens, and a tail of fewer than ``UNIT``.  Tails are packed into units, and
 units and pieces into windows, both the same way: enumerate the combinations of
 few lengths that fill a window exactly, solve for how often to repeat each one
 against the histogram of lengths (non-negative least squares), round, and pack
-what rounding leaves greedily, longest first.  Only the histogram (fewer than
-``UNIT + window / UNIT`` numbers) reaches the driver.  A piece finds its place
-by its rank among the pieces of its length.
+what rounding leaves greedily, longest first.  Pieces that fill no window so are
+laid in a line, longest first, and the line is cut at the windows' borders, so
+that only the last window isn't full, whatever the lengths.  Only the histogram
+(fewer than ``UNIT + window / UNIT`` numbers) reaches the driver.  A piece finds
+its place by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ CACHE = 250_000
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 CUT_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "nth"]
+PLACED_NAMES = [*CUT_NAMES[:5], "sequence_id", "offset"]
 
 _encoders: dict[str, Encoder] = {}
 
@@ -251,10 +254,14 @@ class Plan:
     """Where the r-th piece of each length goes.
 
     ``tails``: counts of lengths below ``unit``; ``mains``: counts of multiples
-    of ``unit`` (in tokens), whole windows among them.
+    of ``unit`` (in tokens), whole windows among them.  ``cut``: pieces that fill
+    no window stand in a line and may go on in the next window; mains come
+    first, so they are cut at multiples of ``unit``.  Without it they stay whole
+    and leave windows unfilled.
     """
 
-    def __init__(self, tails: dict[int, int], mains: dict[int, int], window: int = WINDOW, unit: int = UNIT):
+    def __init__(self, tails: dict[int, int], mains: dict[int, int], window: int = WINDOW, unit: int = UNIT,
+                 cut: bool = False):
         self.window, self.unit = window, unit
         filled, rest = solve(tails, unit, TAIL_PARTS)
         more, rest = greedy(rest, unit, exact=True)
@@ -264,11 +271,22 @@ class Plan:
         self.own_units = units.get(1, 0)  # units made of tails rank behind these
         units[1] = self.own_units + made
         packed, left = solve(units, window // unit, UNIT_PARTS)
+        if cut:
+            more, left = greedy(left, window // unit, exact=True)
+            packed += more
         self.tail_slots = self._slots(filled)
         patterns = [(tuple(k * unit for k in c), times) for c, times in packed]
-        last, _ = greedy({k * unit: v for k, v in left.items()} | rest, window, exact=False)
+        left = {k * unit: v for k, v in left.items()} | rest
         # tails in units come first in rank; those packed alone follow
-        self.slots = self._slots(patterns + last, {k: sum(c.count(k) * t for c, t in filled) for k in tails})
+        self.in_units = used = {k: sum(c.count(k) * t for c, t in filled) for k in tails}
+        if not cut:
+            patterns += greedy(left, window, exact=False)[0]
+        self.slots = self._slots(patterns, used)
+        self.line: dict[int, tuple[int, int]] = {}  # of each length: first rank, place in the line of tokens
+        self.line_window, place = sum(times for _, times in patterns), 0
+        for k in sorted(left, reverse=True) if cut else ():
+            self.line[k] = used.get(k, 0) + sum(c.count(k) * t for c, t in patterns), place
+            place += k * left[k]
 
     @staticmethod
     def _slots(patterns, begin: dict[int, int] | None = None) -> dict[int, np.ndarray]:
@@ -292,25 +310,43 @@ class Plan:
         within = rank - row[:, 0]
         return row[:, 2] + within // row[:, 1], row[:, 3] + within % row[:, 1] * length
 
+    def _outer(self, rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of pieces (or units of tails) that are laid in windows themselves."""
+        window, at = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        lined = np.zeros(len(rank), bool)
+        if length in self.line:
+            first, place = self.line[length]
+            lined = rank >= first
+            spot = place + (rank[lined] - first) * length
+            window[lined], at[lined] = self.line_window + spot // self.window, spot % self.window
+        if not lined.all():
+            window[~lined], at[~lined] = self._find(self.slots[length], rank[~lined], length)
+        return window, at
+
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence and offset of the pieces of these lengths and ranks."""
+        """Sequence and offset of the pieces of these lengths and ranks.  A piece
+        that is too long for the rest of its window goes on at the next one's start."""
         window, at = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-        for k in np.unique(length):
+        for k in map(int, np.unique(length)):
             here = np.flatnonzero(length == k)
             r = rank[here]
             inner = np.zeros(len(r), bool)
             if k in self.tail_slots:
-                inner = r < self.slots[k][0, 0] if k in self.slots else np.ones(len(r), bool)
-                unit, within = self._find(self.tail_slots[k], r[inner], int(k))
-                w, o = self._find(self.slots[self.unit], self.own_units + unit, self.unit)
+                inner = r < self.in_units[k]
+                unit, within = self._find(self.tail_slots[k], r[inner], k)
+                w, o = self._outer(self.own_units + unit, self.unit)
                 window[here[inner]], at[here[inner]] = w, o + within
             if not inner.all():
-                window[here[~inner]], at[here[~inner]] = self._find(self.slots[k], r[~inner], int(k))
+                window[here[~inner]], at[here[~inner]] = self._outer(r[~inner], k)
         return window, at
 
 
-def pieces(ids: bytes, window: int = WINDOW, unit: int = UNIT) -> Iterator[tuple[int, int, int]]:
-    """(start, length, crc32) of the pieces of a document of these ids."""
+def pieces(ids: bytes, window: int = WINDOW, unit: int = UNIT) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, length, crc32, parts) of the pieces of a document of these ids.
+
+    ``parts`` holds what it takes to cut the piece again: the crc32 of each unit
+    of a main piece, the ids of a tail, nothing of a whole window.
+    """
     n = len(ids) // 4
     cuts = [*range(0, n, window), n]
     main = (n - cuts[-2]) // unit * unit
@@ -319,7 +355,35 @@ def pieces(ids: bytes, window: int = WINDOW, unit: int = UNIT) -> Iterator[tuple
     view = memoryview(ids)
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         if hi > lo:
-            yield lo, hi - lo, zlib.crc32(view[4 * lo:4 * hi])
+            own = view[4 * lo:4 * hi]
+            if hi - lo < unit:
+                parts = bytes(own)
+            elif hi - lo < window:
+                parts = b"".join(zlib.crc32(own[i:i + 4 * unit]).to_bytes(4, "little") for i in range(0, len(own), 4 * unit))
+            else:
+                parts = b""
+            yield lo, hi - lo, zlib.crc32(own), parts
+
+
+def joined_crc(crcs: list[int], size: int) -> int:
+    """The crc32 of strings of ``size`` bytes one after the other, from each one's.
+
+    Appending a string to another adds (xor) to its own crc32 what the other's
+    turns into over ``size`` bytes, the same for any bytes, so zeros tell it.
+    """
+    zeros, crc = bytes(size), 0
+    nothing = zlib.crc32(zeros)
+    for one in crcs:
+        crc = zlib.crc32(zeros, crc) ^ nothing ^ one
+    return crc
+
+
+def cut_crcs(parts: bytes, length: int, at: int, unit: int = UNIT) -> tuple[int, int]:
+    """crc32 of the first ``at`` ids of a piece and of its others; ``at`` is a multiple of ``unit`` in a main piece."""
+    if length < unit:
+        return zlib.crc32(parts[:4 * at]), zlib.crc32(parts[4 * at:])
+    crcs = np.frombuffer(parts, "<u4").tolist()
+    return joined_crc(crcs[:at // unit], 4 * unit), joined_crc(crcs[at // unit:], 4 * unit)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, unit: int = UNIT, end: int | None = END) -> DataFrame:
@@ -340,35 +404,45 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, unit: int =
             for lo, hi in text_slices(batch["text"], 2 << 20):
                 part = batch.slice(lo, hi - lo)
                 ids, first = encoder.encode(part["text"])
-                rows = []
+                rows, kept = [], []
                 for i, (a, b) in enumerate(zip(first, first[1:], strict=False)):
                     own = ids[a:b].tobytes() + tail
-                    for start, length, crc in pieces(own, window, unit):
+                    for start, length, crc, parts in pieces(own, window, unit):
                         k = seen[length] = seen.get(length, -1) + 1
                         rows.append((i, start, length, crc, len(own) // 4, task, k))
+                        kept.append(parts)
                 at, *numbers = np.array(rows, dtype=np.int64).reshape(-1, 7).T
-                yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(at)), *map(pa.array, numbers)], CUT_NAMES)
+                yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(at)), *map(pa.array, numbers),
+                                                  pa.array(kept, pa.binary())], [*CUT_NAMES, "parts"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     numbers = "start long, length long, ids_crc32 long, doc_tokens long"
     cuts = written(docs.select("doc_id", "text").mapInArrow(
-        cut, f"doc_id {id_type}, {numbers}, task long, nth long"), "pieces")
+        cut, f"doc_id {id_type}, {numbers}, task long, nth long, parts binary"), "pieces")
     counts = cuts.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(
         W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     # fewer than unit + window / unit lengths, whatever the corpus
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     plan = Plan({k: v for k, v in histogram.items() if k < unit},
-                {k: v for k, v in histogram.items() if k >= unit}, window, unit)
+                {k: v for k, v in histogram.items() if k >= unit}, window, unit, cut=True)
 
     def place(batches):
         for batch in batches:
-            window_, at = plan.place(batch["length"].to_numpy(), batch["rank"].to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(window_), pa.array(at)],
-                                             [*CUT_NAMES[:5], "sequence_id", "offset"])
+            start, length, crc, tokens, rank = (batch[c].to_numpy() for c in ("start", "length", "ids_crc32", "doc_tokens", "rank"))
+            sequence, at = plan.place(length, rank)
+            over = np.flatnonzero(at + length > window)
+            own, crc, others = length.copy(), crc.copy(), np.zeros(len(over), np.int64)
+            own[over] = window - at[over]
+            for j, i in enumerate(over.tolist()):
+                crc[i], others[j] = cut_crcs(batch["parts"][i].as_py(), int(length[i]), int(own[i]), unit)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, (start, own, crc, tokens, sequence, at))], PLACED_NAMES)
+            if len(over):
+                rest = start[over] + own[over], length[over] - own[over], others, tokens[over], sequence[over] + 1, 0 * over
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(over)), *map(pa.array, rest)], PLACED_NAMES)
 
     ranked = (cuts.join(before, ["length", "task"])
-              .select(*CUT_NAMES[:5], (F.col("before") + F.col("nth")).alias("rank")))
+              .select(*CUT_NAMES[:5], (F.col("before") + F.col("nth")).alias("rank"), "parts"))
     return ranked.mapInArrow(place, f"doc_id {id_type}, {numbers}, sequence_id long, offset long")
 
 

@@ -109,3 +109,65 @@ def test_pack_every_id_once(spark, encoder):
 
 def test_pack_nothing(spark):
     assert K.pack(_docs(spark, []), K.default_tokenizer()).collect() == []
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 127), st.integers(1, 300), max_size=30),
+       st.dictionaries(st.integers(1, 32).map(lambda k: 128 * k), st.integers(1, 300), max_size=12))
+def test_cut_plan_fills_all_windows_but_the_last(tails, mains):
+    plan = K.Plan(tails, mains, cut=True)
+    held = {}
+    for k, n in (tails | mains).items():
+        window, at = plan.place(np.full(n, k), np.arange(n))
+        for w, o in zip(window.tolist(), at.tolist()):
+            own = min(k, 4096 - o)
+            held.setdefault(w, []).append((o, own))
+            if own < k:
+                assert k < 128 or own % 128 == 0
+                held.setdefault(w + 1, []).append((0, k - own))
+    for spots in held.values():
+        end = 0
+        for o, k in sorted(spots):
+            assert o == end
+            end += k
+    assert sorted(held) == list(range(len(held)))
+    total = sum(k * n for k, n in (tails | mains).items())
+    assert len(held) == -(-total // 4096)
+
+
+def test_crc_of_joined_strings():
+    parts = [bytes([i]) * 512 for i in range(5)]
+    assert K.joined_crc([zlib.crc32(p) for p in parts], 512) == zlib.crc32(b"".join(parts))
+    assert K.joined_crc([], 512) == 0
+
+
+@pytest.mark.parametrize("tokens", [2176, 1408, 100, 127, 3000])
+def test_awkward_lengths_fill_windows(spark, encoder, tokens):
+    words = ["the", "of", "and", "to", "was"]
+    rng = np.random.default_rng(tokens)
+    texts = [" ".join(rng.choice(words, tokens - 1)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    out = K.pack(_docs(spark, rows).repartition(3), K.default_tokenizer()).collect()
+    assert len({r.sequence_id for r in out}) == -(-60 * tokens // 4096)
+    for i, t in rows:
+        ids = encoder.ids([t])[0] + np.array([2], "<u4").tobytes()
+        mine = sorted((r.start, r.length, r.ids_crc32) for r in out if r.doc_id == i)
+        assert b"".join(ids[4 * s:4 * (s + n)] for s, n, _ in mine) == ids and len(ids) == 4 * tokens
+        assert all(zlib.crc32(ids[4 * s:4 * (s + n)]) == c for s, n, c in mine)
+    seqs = {}
+    for r in out:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spots in seqs.values():
+        spots.sort()
+        assert spots[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spots, spots[1:]))
+        assert sum(n for _, n in spots) <= 4096
+
+
+def test_very_long_text_and_word(spark, encoder):
+    texts = ["the heat " * 60_000, "x" * 300_000]
+    out = K.pack(_docs(spark, list(enumerate(texts))), K.default_tokenizer()).collect()
+    for i, t in enumerate(texts):
+        ids = encoder.ids([t])[0] + np.array([2], "<u4").tobytes()
+        mine = sorted((r.start, r.length, r.ids_crc32) for r in out if r.doc_id == i)
+        assert b"".join(ids[4 * s:4 * (s + n)] for s, n, _ in mine) == ids
+        assert all(zlib.crc32(ids[4 * s:4 * (s + n)]) == c for s, n, c in mine)
