@@ -6,10 +6,12 @@ have one minimizer, and segments go to shards by it, so that equal windows
 meet in one shard; equal segments are counted before they are sent.  Each
 shard builds a suffix array by Larsson-Sadakane refinement, gets common
 prefixes as Kasai does (a prefix that goes on from the position before is one
-byte shorter), and marks windows that occur twice.  The segments of a very
-frequent minimizer are spread over several shards; their distinct windows are
-then merged in sorted order, where binary search finds those that another
-shard has, too.
+byte shorter), and marks windows that occur twice.  Segments of a very frequent
+minimizer are cut again by the least of another hash, up to LEVELS times: equal
+windows still have equal minimizers, and windows that share no more than a
+common phrase part.  What is very frequent after that is spread over several
+shards; their distinct windows are then merged in sorted order, where binary
+search finds those that another shard has, too.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ LENGTH, K = 400, 16
 STEP, SHARD_BYTES = 2 << 20, 2 << 20
 #: Distinct segments (of under 800 bytes) of a minimizer in one shard.
 SHARD_SEGMENTS = 8192
+#: How often segments of more than that are cut again; tasks that one minimizer's rows are dealt to.
+LEVELS, SPREAD = 6, 64
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _BASES = (0x5851F42D4C957F2D, 0xDA942042E4DD58B5)
@@ -83,15 +87,17 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n - width + 1], ahead[width - 1:n])
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
+def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level: int = 0):
     """Cuts texts of at most STEP + length bytes together (or one longer text, a part at a time).
+    Each ``level`` has a hash of its own.
 
     Yields (text index, start in the text, window starts, minimizer, digest of the bytes).
     """
     for lo in range(0, max(len(data) - length + 1, 0), STEP):
         part = data[lo:lo + STEP + length - 1]
         eight = eights(part)
-        h = mix(eight[:len(part) - K + 1] * _A + np.append(eight[8:], np.zeros(8, np.uint64))[:len(part) - K + 1] * _B)
+        h = eight[:len(part) - K + 1] * _A + np.append(eight[8:], np.zeros(8, np.uint64))[:len(part) - K + 1] * _B
+        h = mix(h if not level else mix(h) + np.uint64(level) * _B)
         place = np.arange(len(h), dtype=np.uint64)
         least = sliding_least((h & ~np.uint64(0xFFFFFF)) | place, length - K + 1)
         at = (least & np.uint64(0xFFFFFF)).astype(np.int64)
@@ -239,6 +245,39 @@ def _cut(batches):
                     ["kid", "kh", "at", "n", "minimizer", "digest"])
 
 
+CUTS = "kid long, kh long, at long, n long, minimizer long, digest long"
+
+
+def _recut(level: int):
+    """Cuts the wanted segments of packed() rows by the hash of ``level``."""
+    def cut(batches):
+        for batch in batches:
+            for lo, hi in _slices(batch, 1 << 20):
+                data, offsets = unpacked(batch, lo, hi)
+                part, wanted = batch.slice(lo, hi - lo), batch["wanted"].slice(lo, hi - lo)
+                doc = np.repeat(np.arange(hi - lo), np.diff(wanted.offsets.to_numpy()))
+                at, n, minimizer = (wanted.flatten().field(c).to_numpy() for c in ("at", "n", "minimizer"))
+                size = n + LENGTH - 1
+                ends = np.cumsum(size)
+                a = 0
+                while a < len(size):
+                    before = ends[a - 1] if a else 0
+                    b = max(a + 1, int(np.searchsorted(ends, before + STEP, side="right")))
+                    first = np.append(0, ends[a:b] - before)
+                    take = np.arange(first[-1]) + np.repeat(offsets[doc[a:b]] + at[a:b] - first[:-1], size[a:b])
+                    for row, start, count, least, digest in segments(data[take], first, level=level):
+                        row = row + a
+                        finer = mix(least + minimizer[row].view(np.uint64) * _A)
+                        of = pa.array(doc[row])
+                        yield pa.RecordBatch.from_arrays(
+                            [part["kid"].take(of), part["kh"].take(of), pa.array(at[row] + start), pa.array(count),
+                             pa.array(finer.view(np.int64)), pa.array(digest.view(np.int64))],
+                            ["kid", "kh", "at", "n", "minimizer", "digest"])
+                    a = b
+
+    return cut
+
+
 def _fetch(batches):
     for batch in batches:
         for lo, hi in _slices(batch, 1 << 20):
@@ -325,13 +364,10 @@ def _merged(batches):
     names = MARK_NAMES[:5]
 
     def out(rows):
-        f1 = rows["f1"].to_numpy()
-        same = np.searchsorted(f1, f1, side="right") - np.searchsorted(f1, f1, side="left") > 1
-        f2 = rows["f2"].to_numpy()
-        twin = np.zeros(len(f1), bool)
-        twin[1:] |= (f1[1:] == f1[:-1]) & (f2[1:] == f2[:-1])
-        twin[:-1] |= twin[1:]
-        on = same & twin & ~rows["done"].to_numpy(zero_copy_only=False)
+        key = np.stack([rows["f1"].to_numpy(), rows["f2"].to_numpy()], axis=1).view(np.uint64) ^ np.uint64(1 << 63)
+        key = key.astype(">u8").view("S16").ravel()  # in the order of (f1, f2)
+        twin = np.searchsorted(key, key, side="right") - np.searchsorted(key, key, side="left") > 1
+        on = twin & ~rows["done"].to_numpy(zero_copy_only=False)
         return rows.select(names).filter(pa.array(on))
 
     for batch in batches:
@@ -366,6 +402,46 @@ def _kept(batches):
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _spread():
+    return F.pmod(F.hash("kid", "kh", "at"), F.lit(SPREAD))
+
+
+def shared(cut: DataFrame) -> DataFrame:
+    """Segments whose minimizer occurs more than once; a frequent one's rows are dealt over SPREAD tasks."""
+    dealt = cut.withColumn("part", _spread())
+    counts = dealt.groupBy("minimizer", "part").agg(F.count("*").alias("seen"))
+    total = counts.groupBy("minimizer").agg(F.sum("seen").alias("seen"), F.collect_list("part").alias("parts"))
+    often = total.where("seen > 1").select("minimizer", F.explode("parts").alias("part"))
+    return dealt.join(often, ["minimizer", "part"], "left_semi").drop("part")
+
+
+def distinct_segments(some: DataFrame) -> DataFrame:
+    return some.groupBy(*SEGMENT).agg(F.count("*").alias("times"), F.min(F.struct("kid", "kh", "at")).alias("one"))
+
+
+def candidates(plain: DataFrame) -> DataFrame:
+    """Segments of keyed() rows whose windows may occur elsewhere, cut so that no minimizer has
+    more than SHARD_SEGMENTS distinct ones, as far as LEVELS hashes can part them."""
+    cut = written(plain.select("kid", "kh", "text").mapInArrow(_cut, CUTS), "segments")
+    some = written(shared(cut), "candidates")
+    for level in range(1, LEVELS + 1):
+        hot = written(distinct_segments(some).groupBy("minimizer").count().where(F.col("count") > SHARD_SEGMENTS)
+                      .select("minimizer"), "hot")
+        if hot.isEmpty():
+            break
+        # under 1 / SHARD_SEGMENTS of the rows, once for each of the tasks that their segments are dealt to
+        hot = hot.select("minimizer", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+        dealt = some.withColumn("part", _spread())
+        # a set: a row that is repeated takes it once for each copy
+        wanted = (dealt.join(hot, ["minimizer", "part"], "left_semi").groupBy("kid", "kh")
+                  .agg(F.collect_set(F.struct("at", "n", "minimizer")).alias("wanted")))
+        finer = written(packed(plain).join(wanted, ["kid", "kh"]).select("kid", "kh", "size", "packed", "wanted")
+                        .mapInArrow(_recut(level), CUTS), "segments")
+        some = written(dealt.join(hot, ["minimizer", "part"], "left_anti").select(*cut.columns)
+                       .unionByName(shared(finer)), "candidates")
+    return some
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, any more) -> a row per row: doc_id, n_bytes,
     n_removed, n_spans, kept_sha256.
@@ -377,11 +453,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     plain = keyed(docs)
-    cut = written(plain.select("kid", "kh", "text").mapInArrow(
-        _cut, "kid long, kh long, at long, n long, minimizer long, digest long"), "segments")
-    often = cut.groupBy("minimizer").agg(F.count("*").alias("seen")).where("seen > 1").select("minimizer")
-    some = written(cut.join(often, "minimizer"), "candidates")
-    distinct = some.groupBy(*SEGMENT).agg(F.count("*").alias("times"), F.min(F.struct("kid", "kh", "at")).alias("one"))
+    some = candidates(plain)
+    distinct = distinct_segments(some)
     kinds = distinct.groupBy("minimizer").agg(F.ceil(F.count("*") / SHARD_SEGMENTS).cast("int").alias("shards"))
     sent = distinct.join(kinds, "minimizer").select(
         F.col("one.kid").alias("kid"), F.col("one.kh").alias("kh"),
