@@ -33,6 +33,8 @@ STEP, SHARD_BYTES = 2 << 20, 2 << 20
 SHARD_SEGMENTS = 8192
 #: How often segments of more than that are cut again; tasks that one minimizer's rows are dealt to.
 LEVELS, SPREAD = 6, 64
+#: Frequent minimizers (of 8 bytes) that are sent to all tasks; more are joined.
+HOT_ROWS = 100_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _BASES = (0x5851F42D4C957F2D, 0xDA942042E4DD58B5)
@@ -248,6 +250,32 @@ def _cut(batches):
 CUTS = "kid long, kh long, at long, n long, minimizer long, digest long"
 
 
+CUT_NAMES = ["kid", "kh", "at", "n", "minimizer", "digest"]
+
+
+def _finer(data, offsets, doc, at, n, minimizer, level: int):
+    """Cuts segments (index of the text, start, windows, minimizer as int64) by the hash of ``level``;
+    yields the same of the finer ones, and their digests."""
+    size = n + LENGTH - 1
+    ends = np.cumsum(size)
+    a = 0
+    while a < len(size):
+        before = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + STEP, side="right")))
+        first = np.append(0, ends[a:b] - before)
+        take = np.arange(first[-1]) + np.repeat(offsets[doc[a:b]] + at[a:b] - first[:-1], size[a:b])
+        for row, start, count, least, digest in segments(data[take], first, level=level):
+            row = row + a
+            yield (doc[row], at[row] + start, count, mix(least + minimizer[row].view(np.uint64) * _A).view(np.int64),
+                   digest.view(np.int64))
+        a = b
+
+
+def _cut_batch(part: pa.RecordBatch, doc, *numbers) -> pa.RecordBatch:
+    of = pa.array(doc)
+    return pa.RecordBatch.from_arrays([part["kid"].take(of), part["kh"].take(of), *map(pa.array, numbers)], CUT_NAMES)
+
+
 def _recut(level: int):
     """Cuts the wanted segments of packed() rows by the hash of ``level``."""
     def cut(batches):
@@ -256,24 +284,30 @@ def _recut(level: int):
                 data, offsets = unpacked(batch, lo, hi)
                 part, wanted = batch.slice(lo, hi - lo), batch["wanted"].slice(lo, hi - lo)
                 doc = np.repeat(np.arange(hi - lo), np.diff(wanted.offsets.to_numpy()))
-                at, n, minimizer = (wanted.flatten().field(c).to_numpy() for c in ("at", "n", "minimizer"))
-                size = n + LENGTH - 1
-                ends = np.cumsum(size)
-                a = 0
-                while a < len(size):
-                    before = ends[a - 1] if a else 0
-                    b = max(a + 1, int(np.searchsorted(ends, before + STEP, side="right")))
-                    first = np.append(0, ends[a:b] - before)
-                    take = np.arange(first[-1]) + np.repeat(offsets[doc[a:b]] + at[a:b] - first[:-1], size[a:b])
-                    for row, start, count, least, digest in segments(data[take], first, level=level):
-                        row = row + a
-                        finer = mix(least + minimizer[row].view(np.uint64) * _A)
-                        of = pa.array(doc[row])
-                        yield pa.RecordBatch.from_arrays(
-                            [part["kid"].take(of), part["kh"].take(of), pa.array(at[row] + start), pa.array(count),
-                             pa.array(finer.view(np.int64)), pa.array(digest.view(np.int64))],
-                            ["kid", "kh", "at", "n", "minimizer", "digest"])
-                    a = b
+                own = (wanted.flatten().field(c).to_numpy() for c in ("at", "n", "minimizer"))
+                for found in _finer(data, offsets, doc, *own, level):
+                    yield _cut_batch(part, *found)
+
+    return cut
+
+
+def _cut_through(frequent: list[np.ndarray]):
+    """Cuts whole texts, and of each level the segments with these minimizers by the next one's hash."""
+    def cut(batches):
+        for batch in batches:
+            for lo, hi in text_slices(batch["text"], STEP):
+                part = batch.slice(lo, hi - lo)
+                data, offsets = flat(part["text"])
+                found = [(doc, at, n, least.view(np.int64)) for doc, at, n, least, _ in segments(data, offsets)]
+                for level, hot in enumerate(frequent, 1):
+                    finer = []
+                    for doc, at, n, minimizer, *_ in found:
+                        on = np.isin(minimizer, hot)
+                        if on.any():
+                            finer += _finer(data, offsets, doc[on], at[on], n[on], minimizer[on], level)
+                    found = finer
+                for one in found:
+                    yield _cut_batch(part, *one)
 
     return cut
 
@@ -424,21 +458,30 @@ def candidates(plain: DataFrame) -> DataFrame:
     more than SHARD_SEGMENTS distinct ones, as far as LEVELS hashes can part them."""
     cut = written(plain.select("kid", "kh", "text").mapInArrow(_cut, CUTS), "segments")
     some = written(shared(cut), "candidates")
+    frequent: list[np.ndarray] | None = []  # minimizers by level, while they are few
     for level in range(1, LEVELS + 1):
         hot = written(distinct_segments(some).groupBy("minimizer").count().where(F.col("count") > SHARD_SEGMENTS)
                       .select("minimizer"), "hot")
-        if hot.isEmpty():
+        rows = hot.count()
+        if not rows:
             break
-        # under 1 / SHARD_SEGMENTS of the rows, once for each of the tasks that their segments are dealt to
-        hot = hot.select("minimizer", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
-        dealt = some.withColumn("part", _spread())
-        # a set: a row that is repeated takes it once for each copy
-        wanted = (dealt.join(hot, ["minimizer", "part"], "left_semi").groupBy("kid", "kh")
-                  .agg(F.collect_set(F.struct("at", "n", "minimizer")).alias("wanted")))
-        finer = written(packed(plain).join(wanted, ["kid", "kh"]).select("kid", "kh", "size", "packed", "wanted")
-                        .mapInArrow(_recut(level), CUTS), "segments")
-        some = written(dealt.join(hot, ["minimizer", "part"], "left_anti").select(*cut.columns)
-                       .unionByName(shared(finer)), "candidates")
+        if frequent is not None and rows <= HOT_ROWS:
+            # texts are cut where they are read
+            frequent = [*frequent, np.array([r[0] for r in hot.collect()], np.int64)]
+            finer = plain.select("kid", "kh", "text").mapInArrow(_cut_through(frequent), CUTS)
+            rest = some.join(F.broadcast(hot), "minimizer", "left_anti")
+        else:
+            frequent = None
+            # under 1 / SHARD_SEGMENTS of the rows, once for each of the tasks that their segments are dealt to
+            hot = hot.select("minimizer", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+            dealt = some.withColumn("part", _spread())
+            # a set: a row that is repeated takes it once for each copy
+            wanted = (dealt.join(hot, ["minimizer", "part"], "left_semi").groupBy("kid", "kh")
+                      .agg(F.collect_set(F.struct("at", "n", "minimizer")).alias("wanted")))
+            finer = (packed(plain).join(wanted, ["kid", "kh"]).select("kid", "kh", "size", "packed", "wanted")
+                     .mapInArrow(_recut(level), CUTS))
+            rest = dealt.join(hot, ["minimizer", "part"], "left_anti")
+        some = written(rest.select(*CUT_NAMES).unionByName(shared(written(finer, "segments"))), "candidates")
     return some
 
 

@@ -50,6 +50,27 @@ def test_bytes_removed_are_those_of_brute_force(spark, monkeypatch, seed, segmen
     assert sorted(out, key=repr) == expected(rows)
 
 
+def test_many_frequent_minimizers_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_SEGMENTS", 2)
+    monkeypatch.setattr(S, "LEVELS", 2)
+    monkeypatch.setattr(S, "HOT_ROWS", 0)
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.without_repeats(docs).collect()]
+    assert sorted(out, key=repr) == expected(rows)
+
+
+def test_a_common_phrase_sends_no_windows(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_SEGMENTS", 20)
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcdef ") for _ in range(500)) + "a phrase that all of them have" * 3
+             + "".join(rng.choice("abcdef ") for _ in range(500))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    segments = S.candidates(S.keyed(docs))
+    most = segments.groupBy("minimizer").count().agg({"count": "max"}).first()[0]
+    assert (most or 0) <= 20
+
+
 def test_nothing(spark):
     assert S.without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
