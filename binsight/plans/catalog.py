@@ -39,3 +39,4 @@ SNAPSHOT_CUTOFF = "2024-01-15 00:00:00"
 
 # import side-effect modules that register their queries
 from binsight.plans import q_core, q_compare, q_rows, q_ingest, q_models  # noqa: E402,F401
+from binsight.plans import q_state  # noqa: E402,F401  (uses the SQL of those before)
