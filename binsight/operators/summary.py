@@ -21,6 +21,17 @@ def _basic(value: str):
     return [F.count(F.lit(1)).alias("n"), X.exact_avg(value).alias("avg_weight")]
 
 
+def _cells(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Exact partial figures per combination of keys, which grouping sets and distinct counts multiply cheaply."""
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(value).alias("_values"), F.sum(F.col(value).cast(X.EXACT)).alias("_sum"),
+        F.min(value).alias("_low"), F.max(value).alias("_high"))
+
+
+def _cells_avg():
+    return (F.sum("_sum").cast("double") / F.sum("_values")).alias("avg_weight")
+
+
 def stats_by_area(logs: DataFrame, k: int = 10, value: str = V) -> DataFrame:
     """Per area count and mean, top-k by count (ties by area)."""
     return (logs.groupBy("area").agg(*_basic(value))
@@ -90,12 +101,16 @@ def area_analysis(logs: DataFrame, value: str = V) -> DataFrame:
 def summary(logs: DataFrame, value: str = V, approx_distinct: bool = False) -> DataFrame:
     """One-row summary; NULL (and 0) statistics reported as 0 like the
     reference.  ``approx_distinct`` swaps the exact distinct counts for HLL
-    sketches on very large logs."""
-    cd = (lambda c: F.approx_count_distinct(c)) if approx_distinct else (lambda c: F.count_distinct(c))
-    s = logs.agg(F.count(F.lit(1)).alias("total_predictions"),
-                 X.exact_avg(value).alias("avg_weight"), F.min(value).alias("min_weight"),
-                 F.max(value).alias("max_weight"), X.exact_sum(value).alias("total_weight"),
-                 cd("area").alias("unique_areas"), cd("waste_type").alias("unique_waste_types"))
+    sketches on very large logs.
+
+    The log is aggregated to (area, type) cells first, so that the distinct counts
+    multiply the cells and not the rows."""
+    cd = F.approx_count_distinct if approx_distinct else F.count_distinct
+    s = _cells(logs, ["area", "waste_type"], value).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_predictions"), _cells_avg(),
+        F.min("_low").alias("min_weight"), F.max("_high").alias("max_weight"),
+        F.sum("_sum").cast("double").alias("total_weight"),
+        cd("area").alias("unique_areas"), cd("waste_type").alias("unique_waste_types"))
     return s.select(
         "total_predictions",
         *[F.coalesce(F.nullif(F.col(c), F.lit(0.0)), F.lit(0.0)).alias(c)
@@ -136,14 +151,14 @@ def domains(df: DataFrame, columns=("area", "waste_type")) -> DataFrame:
 def upload_stats(rows: DataFrame, k: int = 5, value: str = "weight") -> DataFrame:
     """For every user at once, top-k areas and top-k types by row count.
 
-    One pass with grouping sets; the per-user top-k runs on aggregated rows
+    The rows are aggregated to (user, area, type) cells, these with grouping sets; the per-user top-k runs on aggregated rows
     (at most #areas + #types per user) and Spark inserts a partial
     WindowGroupLimit before the shuffle.
     """
     from pyspark.sql import Window as W
-    g = (rows.groupingSets([["user_id", "area"], ["user_id", "waste_type"]], "user_id", "area", "waste_type")
-         .agg(F.count(F.lit(1)).alias("n"), X.exact_avg(value).alias("avg_weight"),
-              F.grouping("area").alias("_ga")))
+    cells = _cells(rows, ["user_id", "area", "waste_type"], value)
+    g = (cells.groupingSets([["user_id", "area"], ["user_id", "waste_type"]], "user_id", "area", "waste_type")
+         .agg(F.sum("_n").alias("n"), _cells_avg(), F.grouping("area").alias("_ga")))
     g = g.select("user_id",
                  F.when(F.col("_ga") == 0, F.lit("area")).otherwise(F.lit("waste_type")).alias("dimension"),
                  F.when(F.col("_ga") == 0, F.col("area")).otherwise(F.col("waste_type")).alias("key"),
@@ -158,12 +173,13 @@ def user_profile(logs: DataFrame, value: str = V) -> DataFrame:
 
 
 def historical_averages(history: DataFrame, value: str = "net_weight_kg") -> DataFrame:
-    """Mean by area, by waste type and overall in one pass (grouping sets).
+    """Mean by area, by waste type and overall in one pass (grouping sets over (area, type) cells).
 
     Output: level ('area' | 'waste_type' | 'overall'), key, n, avg_weight.
     """
-    g = (history.groupingSets([["area"], ["waste_type"], []], "area", "waste_type")
-         .agg(F.count(F.col(value)).alias("n"), X.exact_avg(value).alias("avg_weight"),
+    cells = _cells(history, ["area", "waste_type"], value)
+    g = (cells.groupingSets([["area"], ["waste_type"], []], "area", "waste_type")
+         .agg(F.coalesce(F.sum("_values"), F.lit(0)).alias("n"), _cells_avg(),
               F.grouping("area").alias("_ga"), F.grouping("waste_type").alias("_gt")))
     level = (F.when(F.col("_ga") == 0, F.lit("area"))
              .when(F.col("_gt") == 0, F.lit("waste_type")).otherwise(F.lit("overall")))
