@@ -28,7 +28,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
-SIGNED = re.compile(r"e[wy][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+#: Two parts of a signed token and a third, possibly empty; each run of token characters is matched once.
+THREE = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,}+)(?=(\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*))", re.ASCII)
+HEAD = re.compile(r"e[wy](?=[A-Za-z0-9_-]{8})")
+#: How a JSON object with a first key begins; tried before the parser, whose errors count the lines before them.
+OBJECT = re.compile(r"""\{[\x20\t\n\r]*+"(?:[^"\\\x00-\x1F]++|\\.)*+"[\x20\t\n\r]*+:""")
+JSON = json.JSONDecoder()
 #: What any text with a span has, for RE2: whole texts without it need no closer look.
 HINT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA|[0-9a-f]{24}|[A-Za-z0-9+/_-]{40}|-----BEGIN |e[wy][A-Za-z0-9_-]{8,}\."""
 
@@ -117,6 +122,48 @@ def signed_header(run: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+def _heads(run: str) -> Iterator[int]:
+    """Places in a run of token characters from which the rest decodes to what may be a JSON object.
+
+    The run is decoded once for each of the four ways its quadruples may lie,
+    and parsed in place, so a long run of beginnings takes no quadratic time.
+    """
+    tails = {}
+    for m in HEAD.finditer(run):
+        at, way = m.start(), m.start() % 4
+        if way not in tails:
+            try:
+                rest = run[way:]
+                tail = base64.urlsafe_b64decode(rest + "=" * (-len(rest) % 4)).decode("latin-1").rstrip(" \t\n\r")
+            except binascii.Error:  # a length that no base64 has
+                tail = ""
+            tails[way] = tail if tail.endswith("}") else ""
+        start = (at - way) // 4 * 3
+        if not OBJECT.match(tails[way], start):
+            continue
+        try:
+            _, end = JSON.raw_decode(tails[way], start)
+        except (ValueError, RecursionError):
+            continue
+        if end == len(tails[way]):
+            yield at
+
+
+def signed_spans(text: str) -> list[tuple[int, str, int]]:
+    """Signed tokens, leftmost first; one may begin within a run whose beginning is none."""
+    out, done = [], 0
+    for m in THREE.finditer(text):
+        if m.end() <= done:
+            continue
+        for at in _heads(m[1]):
+            a, z = m.start() + at, m.end() + len(m[2])
+            if a >= done and signed_header(text[a:z]):
+                out.append((a, "signed", z))
+                done = z
+                break
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     out = [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
     out += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
@@ -133,12 +180,7 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     for m in LONG.finditer(text):
         if not any(a <= m.start() < z for a, _, z in out) and any(der_key(b) or ssh_key(b) for b in decoded(m[0])):
             out.append((m.start(), "key", m.end()))
-    m = SIGNED.search(text)
-    while m:
-        on = signed_header(m[0])
-        if on:
-            out.append((m.start(), "signed", m.end()))
-        m = SIGNED.search(text, m.end() if on else m.start() + 1)  # a token may begin within what is none
+    out += signed_spans(text)
     return out
 
 

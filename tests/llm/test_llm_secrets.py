@@ -100,3 +100,27 @@ def test_tokens_after_letters_that_look_like_a_start(spark):
         t = before + JWT + " end"
         spans = S.scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).first().spans
         assert f"signed:{len(before)}:{len(before) + len(JWT)}" in spans.split(","), (before, spans)
+
+
+def test_long_runs_take_linear_time():
+    """A million characters each, of which any place might begin a token or a key."""
+    import time
+
+    n = 1_000_000
+    head = url64({"alg": "HS256"})
+    for run in ("ey" * (n // 2), "eyJ" * (n // 3), "ew" * (n // 2) + ".aa.bb", "eyJhIjoxfQ" * (n // 10) + ".aa.bb",
+                "eyJ" * (n // 3) + "fQ.aa.bb", (head + ".") * (n // len(head)), "a." * (n // 2), "eyJh." * (n // 5)):
+        t = time.process_time()
+        spans = S.confirmed_spans("x " + run + " " + JWT)
+        assert time.process_time() - t < 4, run[:20]
+        assert (len(run) + 3, "signed", len(run) + 3 + len(JWT)) in spans
+
+
+def test_signed_spans_of_mixed_runs():
+    other = JWT.replace("c2ln", "")
+    t = f"a.{JWT}.{JWT} {JWT}é{other} x.{JWT[:-4]}- eyJ.{JWT}"
+    want = []
+    for m in re.finditer(r"eyJhbGci", t):
+        z = re.compile(r"[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*").match(t, m.start()).end()
+        want.append((m.start(), "signed", z))
+    assert S.signed_spans(t) == want and len(want) == 6
