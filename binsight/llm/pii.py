@@ -29,7 +29,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]++\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]\x20?(?:dot|DOT)\x20?[\])])\x20?[A-Za-z0-9-]++)++",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]\x20?(?:dot|DOT)\x20?[\])])\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}+(?![0-9])",
     "phone": r"(?<![0-9+])(?:\([0-9]{2,4}\)\x20?|[0-9]{3}[.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
@@ -93,7 +93,7 @@ def _vote(against: Column, for_: Column) -> Column:
 def votes(kind: str, hit: Column, before: Column, after: Column, base: bool) -> list[Column]:
     yes, no = F.lit(True), F.lit(False)
     if kind == "email":
-        form = _vote(yes, hit.rlike(r"[A-Za-z]{2,}$"))
+        form = _vote(yes, hit.rlike(r"[A-Za-z]{2}$"))
         gazetteer = _vote(no, hit.rlike(DOMAINS))
     elif kind == "ip":
         form = _vote(yes, ~hit.rlike(r"(?:^|\.)0[0-9]"))

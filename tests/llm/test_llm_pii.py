@@ -130,3 +130,16 @@ def test_upper_case_addresses_are_tried(spark):
     rows = [(1, "MAX (AT) HOST.COM"), (2, "MAX[AT]HOST [DOT] ORG"), (3, "max (at) host.com"), (4, "NOT AT ALL"), (5, None)]
     out = pii.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: [(s.start, s.end) for s in r.loose] for r in out} == {1: [(0, 17)], 2: [(0, 21)], 3: [(0, 17)], 4: [], 5: []}
+
+
+def test_a_very_long_word_takes_linear_time(spark):
+    import time
+
+    rows = [(1, "a" * 1_000_000 + " (at) x.com"), (2, "a" * 1_000_000 + " x (at) y.org"),
+            (3, "p" * 500_000 + "(at)example.com.q%r(at)example.org")]
+    t = time.time()
+    out = {r.doc_id: [(s.start, s.end) for s in r.loose if s.no == 0]
+           for r in pii.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - t < 20
+    n = 1_000_000
+    assert out == {1: [(0, n + 11)], 2: [(n + 1, n + 13)], 3: [(0, 500_017), (500_017, 500_034)]}
