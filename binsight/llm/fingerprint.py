@@ -12,7 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binsight.llm.catalog import register
@@ -66,6 +66,27 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
 
 
+def _above(bounds: list[int], value: Column) -> Column:
+    """How many of the descending bounds are above the value (null for null), by binary search.
+
+    The bounds are one literal of the plan, and a row takes log2 of their number of steps.
+    """
+    if not bounds:
+        return F.when(value.isNotNull(), F.lit(0))
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
+
+    def step(span, _):
+        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        higher = F.get(table, middle) > value
+        open_ = span["lo"] < span["hi"]
+        return F.struct(F.when(open_ & higher, middle + 1).otherwise(span["lo"]).alias("lo"),
+                        F.when(open_ & ~higher, middle).otherwise(span["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return F.when(value.isNotNull(), F.aggregate(steps, start, step, lambda span: span["lo"]))
+
+
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     """docs (doc_id, text), ranged: ``bucket``, and ``ghost`` rows that repeat the first
     row of the following bucket.
@@ -77,10 +98,7 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     bounds = sorted(set(docs.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))),
                     reverse=True) if buckets > 1 else []
     bounds = [int(b) for b in bounds]
-    ids = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<long>")
-    # how many bounds lie above the id
-    bucket = F.coalesce(F.aggregate(ids, F.lit(0), lambda n, b: n + (b > F.col("doc_id")).cast("int")),
-                        F.lit(len(bounds) + 1))
+    bucket = F.coalesce(_above(bounds, F.col("doc_id")), F.lit(len(bounds) + 1))
     rows = docs.withColumn("bucket", bucket)
     heads = [(r[0], r[1]) for r in rows.groupBy("bucket").agg(F.max("doc_id")).orderBy("bucket").collect()]
     before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}  # the last bucket ends with the first row

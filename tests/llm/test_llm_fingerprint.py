@@ -58,3 +58,14 @@ def test_long_text_is_hashed_as_short_ones_are(monkeypatch):
     from binsight.llm import common
     monkeypatch.setattr(common, "SLICE_BYTES", 700)
     assert all(np.array_equal(a, b) for a, b in zip(whole, P.sketches([t, "", t])))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 64, 60_000])
+def test_bounds_above_a_value(spark, n):
+    from pyspark.sql import functions as F
+
+    bounds = [3 * (n - i) for i in range(n)]
+    values = [None, -1, 0, 2, 3, 4, 3 * n - 1, 3 * n, 3 * n + 1, 3 * (n // 2)]
+    got = (spark.createDataFrame(list(enumerate(values)), "i int, v long")
+           .select("i", P._above(bounds, F.col("v")).alias("above")).orderBy("i").collect())
+    assert [r.above for r in got] == [None if v is None else sum(b > v for b in bounds) for v in values]
