@@ -89,6 +89,13 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n - width + 1], ahead[width - 1:n])
 
 
+def piece_hashes(part: np.ndarray) -> np.ndarray:
+    """Hash of the K bytes from each position on, of the first level."""
+    eight = eights(part)
+    m = max(len(part) - K + 1, 0)
+    return mix(eight[:m] * _A + np.append(eight[8:], np.zeros(8, np.uint64))[:m] * _B)
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level: int = 0):
     """Cuts texts of at most STEP + length bytes together (or one longer text, a part at a time).
     Each ``level`` has a hash of its own.
@@ -97,9 +104,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level:
     """
     for lo in range(0, max(len(data) - length + 1, 0), STEP):
         part = data[lo:lo + STEP + length - 1]
-        eight = eights(part)
-        h = eight[:len(part) - K + 1] * _A + np.append(eight[8:], np.zeros(8, np.uint64))[:len(part) - K + 1] * _B
-        h = mix(h if not level else mix(h) + np.uint64(level) * _B)
+        h = piece_hashes(part)
+        if level:
+            h = mix(h + np.uint64(level) * _B)
         place = np.arange(len(h), dtype=np.uint64)
         least = sliding_least((h & ~np.uint64(0xFFFFFF)) | place, length - K + 1)
         at = (least & np.uint64(0xFFFFFF)).astype(np.int64)
@@ -333,9 +340,49 @@ def _fetch(batches):
                     ["minimizer", "salt", "split", "digest", "n", "times", "bytes"])
 
 
+def may_repeat(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Segments (once each) that may have a window in common with another one of those given.
+
+    All windows of a segment hold its minimizer of the first level, which is the least piece of
+    the bytes that they share.  Equal windows have it in the same place, so they agree in the bytes up to
+    half a window before it, or in those after it.  Segments of which neither side occurs in
+    another share at most a phrase, and need no place in the suffix array.
+    """
+    before = (length - K + 1) // 2
+    after = length - before + 1
+    sides = [(np.zeros(len(starts), np.uint64), np.zeros(len(starts), bool)) for _ in range(2)]
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + (STEP >> 1), side="right")) - 1)
+        part, own = data[bounds[lo]:bounds[hi]], bounds[lo:hi] - bounds[lo]
+        sizes = np.diff(bounds[lo:hi + 1])
+        place = np.arange(len(part)) - np.repeat(own, sizes)
+        core = (place >= np.repeat(starts[lo:hi], sizes) - 1) & (place <= length - K)
+        h = np.append(piece_hashes(part), np.zeros(K - 1, np.uint64))[:len(part)]
+        least = np.where(core, (h & ~np.uint64(0xFFFFFF)) | place.astype(np.uint64), np.iinfo(np.uint64).max)
+        anchor = (np.minimum.reduceat(least, own) & np.uint64(0xFFFFFF)).astype(np.int64)
+        for (hashes, has), a, z in zip(sides, (anchor - before, anchor), (anchor + K, anchor + after), strict=True):
+            on = np.flatnonzero((a >= 0) & (z <= sizes))
+            has[lo + on] = True
+            hashes[lo + on] = digests(part, own[on] + a[on], own[on] + z[on])[0]
+        lo = hi
+    out = np.zeros(len(starts), bool)
+    for hashes, has in sides:
+        on = np.flatnonzero(has)
+        _, which, count = np.unique(hashes[on], return_inverse=True, return_counts=True)
+        out[on] |= count[which] > 1
+    return out
+
+
 def _marked(rows: pa.Table):
     """Runs of repeated windows in a shard's segments, and its distinct windows that other shards may have."""
     data, bounds = raw(rows["bytes"].cast(pa.large_binary()).combine_chunks())
+    wanted = (may_repeat(data, bounds, rows["n"].to_numpy()) | (rows["times"].to_numpy() > 1)
+              | rows["split"].to_numpy(zero_copy_only=False))
+    if not wanted.any():
+        return
+    rows = rows.filter(pa.array(wanted))
+    data, bounds = raw(rows["bytes"].cast(pa.large_binary()).combine_chunks())
     n, times = rows["n"].to_numpy(), rows["times"].to_numpy()
     on, group = repeated(data, bounds, n, times)
     key = [rows[c].to_numpy() for c in SEGMENT]

@@ -110,3 +110,30 @@ def test_segments_cover_each_window_once_and_equal_windows_share_a_minimizer(mon
                 by.setdefault(texts[d][p:p + 400].tobytes(), set()).add(int(key))
     assert sorted(seen) == [(d, p) for d, t in enumerate(texts) for p in range(len(t) - 399)]
     assert all(len(v) == 1 for v in by.values())
+
+
+def test_segments_that_may_repeat_keep_every_common_window():
+    """Segments with a common window stay, whatever side of the minimizer they share; those with a phrase alone go."""
+    rng = np.random.default_rng(2)
+    kept = dropped = 0
+    for trial in range(60):
+        share = int(rng.integers(100, 700))
+        common = rng.integers(97, 123, share, dtype=np.uint8)
+        texts = [np.concatenate([rng.integers(97, 123, int(rng.integers(300, 900)), dtype=np.uint8), common,
+                                 rng.integers(97, 123, int(rng.integers(300, 900)), dtype=np.uint8)]) for _ in range(3)]
+        data, offsets = np.concatenate(texts), np.append(0, np.cumsum([len(t) for t in texts]))
+        rows = [(int(m), int(d), bytes(data[offsets[i] + at:offsets[i] + at + n + S.LENGTH - 1]), int(n))
+                for doc, a, c, mins, digs in S.segments(data, offsets)
+                for i, at, n, m, d in zip(doc, a, c, mins, digs, strict=True)]
+        rows = sorted({r[1]: r for r in rows}.values())
+        pieces, n = [r[2] for r in rows], np.array([r[3] for r in rows])
+        bounds = np.append(0, np.cumsum([len(p) for p in pieces]))
+        on = S.may_repeat(np.frombuffer(b"".join(pieces), np.uint8), bounds, n)
+        seen = {}
+        for i, (p, k) in enumerate(zip(pieces, n, strict=True)):
+            for w in range(k):
+                seen.setdefault(p[w:w + S.LENGTH], set()).add(i)
+        needed = {i for owners in seen.values() if len(owners) > 1 for i in owners}
+        assert needed <= set(np.flatnonzero(on))
+        kept, dropped = kept + len(needed), dropped + int((~on).sum())
+    assert kept and dropped
