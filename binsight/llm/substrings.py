@@ -110,17 +110,19 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level:
         place = np.arange(len(h), dtype=np.uint64)
         least = sliding_least((h & ~np.uint64(0xFFFFFF)) | place, length - K + 1)
         at = (least & np.uint64(0xFFFFFF)).astype(np.int64)
-        start = np.arange(len(at))
-        doc = np.searchsorted(offsets, start + lo, side="right") - 1
-        whole = start + lo + length <= offsets[doc + 1]
+        # texts are told apart by their borders in this part, as a search for each byte's text would take long
+        borders = np.clip(offsets - lo, 0, len(at))
+        whole = np.arange(len(at)) <= np.repeat(offsets[1:] - (lo + length), np.diff(borders))
         new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
+        new[1:] = at[1:] != at[:-1]
+        new[borders[borders < len(at)]] = True
         heads = np.flatnonzero(new & whole)
         if not len(heads):
             continue
-        ends = np.searchsorted(np.flatnonzero(new | ~whole), heads, side="right")
-        ends = np.append(np.flatnonzero(new | ~whole), len(at))[ends]
-        yield doc[heads], heads + lo - offsets[doc[heads]], ends - heads, h[at[heads]], *digests(part, heads, ends + length - 1)
+        stops = np.append(np.flatnonzero(new | ~whole), len(at))
+        ends = stops[np.searchsorted(stops, heads, side="right")]
+        doc = np.searchsorted(offsets, heads + lo, side="right") - 1
+        yield doc, heads + lo - offsets[doc], ends - heads, h[at[heads]], *digests(part, heads, ends + length - 1)
 
 
 def suffix_order(data: np.ndarray, end: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
