@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binsight.functions import exprs as X
-from binsight.session import ensure_checkpoint_dir
+from binsight.session import ensure_checkpoint_dir, scratch_path
 from binsight.models.linear import fit_linear
 from binsight.models.catalog import MODEL_INFO, SEED, SPARK_ML_MODELS, make_estimator
 
@@ -69,7 +69,9 @@ def exact_split(df: DataFrame, key: str = "id", test_pct: int = 20, seed: int =
     """
     digest = F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     hashed = F.conv(F.substring(digest, 1, _SPLIT_BITS * _SPLIT_PASSES // 4), 16, 10).cast("bigint")
-    numbers = df.select(hashed.alias("h"))
+    path = scratch_path(df.sparkSession, "split")
+    df.select(hashed.alias("h")).write.parquet(path)  # the passes read eight bytes a row instead of making the rows again
+    numbers = df.sparkSession.read.schema("h long").parquet(path)
     known, below, wanted = 0, 0, None  # bits known so far, rows of smaller hashes, rows to take
     for i in range(_SPLIT_PASSES):
         shift = _SPLIT_BITS * (_SPLIT_PASSES - 1 - i)
@@ -151,6 +153,12 @@ def leaderboard_frame(spark, metrics: DataFrame) -> DataFrame:
     return metrics.join(F.broadcast(info), "model_id", "left")  # fixed 7-row table
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores: a few MB a million rows would be left in one task, but fitting costs far
+    more than reading, and each tree's pass goes over all rows."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 2), *df.columns)
+
+
 def train_eval(df: DataFrame, label: str, date_col: str, model_ids=SPARK_ML_MODELS, key: str = "id",
                in_sample: bool = False, test_pct: int = 20, extra_estimators: dict | None = None, **settings):
     """Split, fit all models, evaluate all of them in one aggregate.
@@ -161,7 +169,7 @@ def train_eval(df: DataFrame, label: str, date_col: str, model_ids=SPARK_ML_MODE
     while models are fitted and scored; the leaderboard is checkpointed.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    data = exact_split(prepare(df, label, date_col, key), key, test_pct).persist()
+    data = spread(exact_split(prepare(df, label, date_col, key), key, test_pct)).persist()
     train = data if in_sample else data.filter(~F.col("is_test"))
     test = data.filter(F.col("is_test"))
     try:

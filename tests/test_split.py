@@ -27,3 +27,18 @@ def test_rows_of_a_key_stay_together(spark):
     assert all(r["sides"] == 1 for r in sides)
     taken = df.where("is_test").count()
     assert 106 <= taken < 106 + 30
+
+
+def test_rows_are_made_once(spark):
+    """The passes read the stored hashes: the rows' plan runs once however many passes there are."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(0, 1000, 1, 2).mapInArrow(count, "id long")
+    out = train.exact_split(df, "id", 33)
+    assert made.value == 1000
+    assert out.where("is_test").count() == 330
