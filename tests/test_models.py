@@ -5,6 +5,7 @@ import datetime as dt
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
@@ -121,3 +122,19 @@ def test_all_models_score_on_one_row(spark):
     assert "hashpartitioning" not in plan
     one = score.ensemble_summary(models, req, "prediction_date", "id").orderBy("id").first()
     assert one.n_models == 4 and one.max_prediction == 7.0 and one.min_prediction == 0.0
+
+
+def test_training_rows_are_dealt_over_all_cores(spark, monkeypatch):
+    """A few rows are one task's read, but no one task's fit."""
+    class Seen(Exception):
+        pass
+
+    def fit(rows, *args, **settings):
+        raise Seen(rows.rdd.getNumPartitions(), rows.count())
+
+    monkeypatch.setattr(train, "fit_models", fit)
+    rows = spark.range(0, 1000, 1, 1).select("id", F.lit("a").alias("area"), F.lit("t").alias("waste_type"),
+                                             F.lit("2020-01-01").cast("date").alias("ticket"), F.lit(1.5).alias("w"))
+    with pytest.raises(Seen) as seen:
+        train.train_eval(rows, "w", "ticket")
+    assert seen.value.args == (spark.sparkContext.defaultParallelism, 800)
