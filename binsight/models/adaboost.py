@@ -9,7 +9,7 @@ Drucker's AdaBoost.R2 with linear loss, as configured in the reference
     w_i  <- w_i * beta ** (1 - e_i)
 
 Each round is one distributed tree fit (sample weights through ``weightCol``
-instead of the reference's weighted resampling) plus two aggregates; the
+instead of the reference's weighted resampling) plus one aggregate; the
 weights are a column, never collected.  Lineage is cut with a reliable
 checkpoint every few rounds.  The prediction is the weighted median of the
 trees' outputs, computed per row with array functions.
@@ -71,19 +71,22 @@ def fit_adaboost_r2(train: DataFrame, prep_stages: list, n_estimators: int = 50,
     ensure_checkpoint_dir(train.sparkSession)
     data = data.checkpoint(eager=True)
     trees, weights = [], []
-    cached = None
+    cached = before = None
     for m in range(n_estimators):
         tree = DecisionTreeRegressor(maxDepth=max_depth, weightCol="w", labelCol="y", seed=SEED + m,
                                      predictionCol="_p").fit(data)
+        if before is not None:
+            before.unpersist()  # the fit has read this round's rows, so they are cached
+            before = None
         scored = tree.transform(data).withColumn("_err", F.abs(F.col("y") - F.col("_p")))
-        max_err = scored.agg(F.max("_err")).first()[0] or 0.0
+        r = scored.agg(F.max("_err").alias("most"), F.sum(F.col("w") * F.col("_err")).alias("err"), F.sum("w").alias("w")).first()
+        max_err = r["most"] or 0.0
         if max_err <= 0.0:  # perfect fit: keep it and stop
             trees.append(tree)
             weights.append(1.0)
             break
         e = F.col("_err") / F.lit(max_err)
-        r = scored.agg((F.sum(F.col("w") * e) / F.sum("w")).alias("L")).first()
-        loss = float(r["L"])
+        loss = float(r["err"]) / (max_err * float(r["w"]))
         if loss >= 0.5:
             if not trees:  # the first tree is kept, as in the reference
                 trees.append(tree)
@@ -94,16 +97,14 @@ def fit_adaboost_r2(train: DataFrame, prep_stages: list, n_estimators: int = 50,
         weights.append(math.log(1.0 / beta) if beta > 0 else 1.0)
         new_w = F.col("w") * F.pow(F.lit(beta), F.lit(1.0) - e) if beta > 0 else F.col("w")
         data = scored.select("features", "y", new_w.alias("w"))
+        before = cached
         if (m + 1) % checkpoint_every == 0:
-            data = data.checkpoint(eager=True)
+            data, cached = data.checkpoint(eager=True), None
         else:
-            data = data.persist()
-            data.count()  # materialise before the previous round's cache is released
-        if cached is not None:
-            cached.unpersist()
-        cached = data if (m + 1) % checkpoint_every else None
-    if cached is not None:
-        cached.unpersist()
+            data = cached = data.persist()
+    for kept in (before, cached):
+        if kept is not None:
+            kept.unpersist()
     for t in trees:
         t.setPredictionCol("prediction")
     return AdaBoostR2Model(prep, trees, weights)

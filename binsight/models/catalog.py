@@ -23,6 +23,8 @@ DEFAULT_MODEL = "random_forest"
 SEED = 42
 # Spark's own limit.
 MAX_FOREST_DEPTH = 30
+#: MB of node statistics that a task of the forest holds; more make fewer passes, but fill the executor's memory.
+FOREST_MEMORY = 256
 
 
 def make_estimator(model_id: str, features: str = "features", label: str = "label",
@@ -41,7 +43,7 @@ def make_estimator(model_id: str, features: str = "features", label: str = "labe
     common = dict(featuresCol=features, labelCol=label)
     if model_id == "random_forest":
         return RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", maxDepth=forest_depth,
-                                     maxBins=64, maxMemoryInMB=1024, seed=SEED, **common)
+                                     maxBins=64, maxMemoryInMB=FOREST_MEMORY, seed=SEED, **common)
     if model_id == "gradient_boosting":
         return GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED, maxBins=64, **common)
     if model_id == "linear_regression":

@@ -9,7 +9,9 @@ driver.
 from __future__ import annotations
 
 import logging
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -118,22 +120,25 @@ def prepare(df: DataFrame, label: str, date_col: str, key: str = "id") -> DataFr
 def fit_models(train: DataFrame, model_ids=SPARK_ML_MODELS, extra_estimators: dict | None = None,
                **settings) -> dict:
     """Fit every model; a model that fails is logged and skipped.
+    The models are fitted at the same time: boosting is many short jobs one after
+    the other, which leave cores to the forest's.
     The linear models are solved on the full one-hot design (``models.linear``);
     ``settings`` (such as ``forest_depth``) go to ``make_estimator``."""
-    fitted = {}
-    for mid in model_ids:
+    def fit(mid):
         try:
             if extra_estimators and mid in extra_estimators:
-                fitted[mid] = extra_estimators[mid](train)
-                continue
+                return extra_estimators[mid](train)
             if mid in LINEAR_ALPHA:
-                fitted[mid] = fit_linear(train, CATEGORICAL, NUMERIC, alpha=LINEAR_ALPHA[mid])
-                continue
+                return fit_linear(train, CATEGORICAL, NUMERIC, alpha=LINEAR_ALPHA[mid])
             est = make_estimator(mid, **settings)
-            fitted[mid] = Pipeline(stages=preprocessing_stages() + [est]).fit(train)
+            return Pipeline(stages=preprocessing_stages() + [est]).fit(train)
         except Exception as ex:  # keep going, like the reference's training loop
             log.error("training %s failed: %s", mid, ex)
-    return fitted
+
+    ids = list(model_ids)
+    with ThreadPool(max(len(ids), 1)) as pool:
+        models = pool.map(inheritable_thread_target(train.sparkSession)(fit), ids)
+    return {mid: m for mid, m in zip(ids, models, strict=True) if m is not None}
 
 
 def predict_long(models: dict, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -173,6 +178,7 @@ def train_eval(df: DataFrame, label: str, date_col: str, model_ids=SPARK_ML_MODE
     train = data if in_sample else data.filter(~F.col("is_test"))
     test = data.filter(F.col("is_test"))
     try:
+        data.count()  # cached before the models, which are fitted at the same time, read it
         models = fit_models(train, model_ids, extra_estimators, **settings)
         metrics = regression_metrics(predict_long(models, test, ["label"]))
         return models, leaderboard_frame(df.sparkSession, metrics).checkpoint(eager=True)

@@ -138,3 +138,23 @@ def test_training_rows_are_dealt_over_all_cores(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         train.train_eval(rows, "w", "ticket")
     assert seen.value.args == (spark.sparkContext.defaultParallelism, 800)
+
+
+def test_models_are_fitted_at_the_same_time(spark):
+    """Each of the two waits for the other; fitted one after the other, both fail and are left out."""
+    import threading
+    both = threading.Barrier(2, timeout=20)
+
+    def fit(rows):
+        both.wait()
+        return rows.count()
+
+    df = train.prepare(_synthetic(spark, 20), "y", "ticket_date")
+    assert train.fit_models(df, ("one", "other"), {"one": fit, "other": fit}) == {"one": 20, "other": 20}
+
+
+def test_adaboost_leaves_nothing_cached(spark):
+    df = train.prepare(_synthetic(spark, 60), "y", "ticket_date")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    fit_adaboost_r2(df, train.preprocessing_stages(), n_estimators=4, checkpoint_every=3)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
