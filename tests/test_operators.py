@@ -225,3 +225,28 @@ def test_table_changes_have_a_defined_winner(spark):
     up = spark.createDataFrame([(1, "p", 7), (1, "q", None)], "id int, s string, n int")
     got = sorted(tuple(r) for r in changes.update_by_key(rows, up, "id", ["s", "n"]).collect())
     assert got == [(1, "q", None), (2, "y", 6)]
+
+
+def test_shuffles_begin_with_more_partitions_for_a_larger_table(spark, tmp_path, monkeypatch):
+    """Before, their number was the session's whatever the table, and a task's memory grew with the rows."""
+    from binsight import session
+    from binsight.sources import tables
+    spark.range(50_000).repartition(1).write.parquet(str(tmp_path / "orders.parquet"))
+    names = [session._INITIAL, *session.TASK_BYTES]
+    was = {n: spark.conf.get(n, None) for n in names}
+    small, large = 1 << 40, 4 << 10
+    try:
+        monkeypatch.setattr(session, "TABLE_BYTES", small)
+        assert tables.read(spark, str(tmp_path), "orders").count() == 50_000
+        assert {n: spark.conf.get(n, None) for n in names} == was
+        monkeypatch.setattr(session, "TABLE_BYTES", large)
+        df = tables.read(spark, str(tmp_path), "orders")
+        assert int(spark.conf.get(session._INITIAL)) > session.default_partitions(spark)
+        assert df.groupBy("id").count().count() == 50_000
+        wanted = spark.conf.get(session._INITIAL)
+        monkeypatch.setattr(session, "TABLE_BYTES", small)
+        tables.read(spark, str(tmp_path), "orders")
+        assert spark.conf.get(session._INITIAL) == wanted  # a small table read later takes nothing back
+    finally:
+        for n, v in was.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
