@@ -32,7 +32,8 @@ def make_estimator(model_id: str, features: str = "features", label: str = "labe
     """Spark ML estimator equivalent to the reference's model of that id.
 
     * random forest: 100 trees, all features per split, depth ``forest_depth``
-      (the reference grows trees without a limit; Spark allows 30, the default)
+      (the reference grows trees without a limit; Spark allows 30, the default); each row's
+      nodes are kept, or every pass would send the forest so far to all tasks and search it again
     * gradient boosting: 100 stages, depth 3, step 0.1 (squared loss)
     * linear regression: ordinary least squares
     * ridge (alpha=1): L2 with ``regParam = alpha * stddev(y) / n`` and no
@@ -43,7 +44,7 @@ def make_estimator(model_id: str, features: str = "features", label: str = "labe
     common = dict(featuresCol=features, labelCol=label)
     if model_id == "random_forest":
         return RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", maxDepth=forest_depth,
-                                     maxBins=64, maxMemoryInMB=FOREST_MEMORY, seed=SEED, **common)
+                                     maxBins=64, maxMemoryInMB=FOREST_MEMORY, cacheNodeIds=True, seed=SEED, **common)
     if model_id == "gradient_boosting":
         return GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED, maxBins=64, **common)
     if model_id == "linear_regression":

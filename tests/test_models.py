@@ -158,3 +158,14 @@ def test_adaboost_leaves_nothing_cached(spark):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     fit_adaboost_r2(df, train.preprocessing_stages(), n_estimators=4, checkpoint_every=3)
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_forest_keeps_each_rows_nodes(spark):
+    """Kept nodes give the trees that searching the forest in every pass gives."""
+    df = train.prepare(_synthetic(spark), "y", "ticket_date")
+    feats = Pipeline(stages=train.preprocessing_stages()).fit(df).transform(df).persist()
+    forest = make_estimator("random_forest", forest_depth=4).setNumTrees(5)
+    assert forest.getCacheNodeIds()
+    trees = [f.fit(feats).toDebugString.split("\n", 1)[1] for f in (forest, forest.copy().setCacheNodeIds(False))]
+    feats.unpersist()
+    assert trees[0] == trees[1]
