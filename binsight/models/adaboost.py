@@ -28,6 +28,12 @@ from binsight.models.catalog import SEED
 from binsight.session import ensure_checkpoint_dir
 
 
+def numeric_columns(prep_stages: list) -> list[str]:
+    """The columns that the preparation's last stage takes as they are."""
+    made = {c for s in prep_stages[:-1] for c in s.getOutputCols()}
+    return [c for c in prep_stages[-1].getInputCols() if c not in made]
+
+
 class AdaBoostR2Model:
     def __init__(self, prep, trees, weights):
         self.prep, self.trees, self.weights = prep, trees, weights
@@ -45,6 +51,8 @@ class AdaBoostR2Model:
             (acc["cum"] + x["w"]).alias("cum"),
             F.when(acc["res"].isNull() & (acc["cum"] + x["w"] >= F.lit(0.5 * total)), x["p"])
             .otherwise(acc["res"]).alias("res")))
+        for c in numeric_columns(self.prep.stages):  # a row without a date has no prediction
+            med = F.when(F.col(c).isNotNull(), med)
         return out.withColumn("prediction", med["res"]).drop(*[f"_p{m}" for m in range(len(self.trees))])
 
 
@@ -65,6 +73,7 @@ class AdaBoostR2Model:
 
 def fit_adaboost_r2(train: DataFrame, prep_stages: list, n_estimators: int = 50, max_depth: int = 3,
                     label: str = "label", checkpoint_every: int = 10) -> AdaBoostR2Model:
+    train = train.dropna(subset=[label, *numeric_columns(prep_stages)])  # as the linear models do
     prep = Pipeline(stages=prep_stages).fit(train)
     n = train.count()
     data = prep.transform(train).select("features", F.col(label).alias("y"), F.lit(1.0 / n).alias("w"))

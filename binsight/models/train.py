@@ -14,7 +14,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +46,13 @@ def preprocessing_stages(categorical=CATEGORICAL, numeric=NUMERIC, out: str = "f
     return [StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep",
                           stringOrderType="alphabetAsc"),
             OneHotEncoder(inputCols=idx, outputCols=oh, dropLast=True),
-            VectorAssembler(inputCols=oh + list(numeric), outputCol=out)]
+            VectorAssembler(inputCols=oh + list(numeric), outputCol=out, handleInvalid="keep")]
+
+
+def null_where_unknown(numeric=NUMERIC, raw: str = "_raw", out: str = "prediction") -> SQLTransformer:
+    """The last stage of a tree model: a row without a date has no prediction, as in the linear models."""
+    known = " AND ".join(f"{c} IS NOT NULL" for c in numeric)
+    return SQLTransformer(statement=f"SELECT * EXCEPT ({raw}), IF({known}, {raw}, NULL) AS {out} FROM __THIS__")
 
 
 def random_split(df: DataFrame, key: str = "id", test_pct: int = 20, seed: int = SEED) -> DataFrame:
@@ -119,26 +125,34 @@ def prepare(df: DataFrame, label: str, date_col: str, key: str = "id") -> DataFr
 
 def fit_models(train: DataFrame, model_ids=SPARK_ML_MODELS, extra_estimators: dict | None = None,
                **settings) -> dict:
-    """Fit every model; a model that fails is logged and skipped.
+    """Fit every model.  A model that fails doesn't stop the others, but it is an error once they
+    are done: what is scored or ranked without it would look like the whole family.
     The models are fitted at the same time: boosting is many short jobs one after
     the other, which leave cores to the forest's.
     The linear models are solved on the full one-hot design (``models.linear``);
-    ``settings`` (such as ``forest_depth``) go to ``make_estimator``."""
+    ``settings`` (such as ``forest_depth``) go to ``make_estimator``.  As the linear models do,
+    trees leave rows without a label or a date out."""
+    failed = {}
+
     def fit(mid):
         try:
             if extra_estimators and mid in extra_estimators:
                 return extra_estimators[mid](train)
             if mid in LINEAR_ALPHA:
                 return fit_linear(train, CATEGORICAL, NUMERIC, alpha=LINEAR_ALPHA[mid])
-            est = make_estimator(mid, **settings)
-            return Pipeline(stages=preprocessing_stages() + [est]).fit(train)
-        except Exception as ex:  # keep going, like the reference's training loop
+            est = make_estimator(mid, **settings).setPredictionCol("_raw")
+            stages = preprocessing_stages() + [est, null_where_unknown()]
+            return Pipeline(stages=stages).fit(train.dropna(subset=["label", *NUMERIC]))
+        except Exception as ex:  # the others go on, like the reference's training loop
             log.error("training %s failed: %s", mid, ex)
+            failed[mid] = ex
 
     ids = list(model_ids)
     with ThreadPool(max(len(ids), 1)) as pool:
         models = pool.map(inheritable_thread_target(train.sparkSession)(fit), ids)
-    return {mid: m for mid, m in zip(ids, models, strict=True) if m is not None}
+    if failed:
+        raise RuntimeError(f"training failed: {'; '.join(f'{m}: {ex}' for m, ex in failed.items())}") from next(iter(failed.values()))
+    return dict(zip(ids, models, strict=True))
 
 
 def predict_long(models: dict, df: DataFrame, keep: list[str]) -> DataFrame:

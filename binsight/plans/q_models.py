@@ -130,8 +130,7 @@ def score_all_models(spark, d):
 def score_one(spark, d):
     from binsight.models.catalog import DEFAULT_MODEL
     models, _ = _family(spark, d)
-    model = models.get(DEFAULT_MODEL) or next(iter(models.values()))
-    return score.score(model, _requests(spark, d), "prediction_date")
+    return score.score(models[DEFAULT_MODEL], _requests(spark, d), "prediction_date")
 
 
 @register("ensemble_summary")

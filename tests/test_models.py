@@ -169,3 +169,37 @@ def test_forest_keeps_each_rows_nodes(spark):
     trees = [f.fit(feats).toDebugString.split("\n", 1)[1] for f in (forest, forest.copy().setCacheNodeIds(False))]
     feats.unpersist()
     assert trees[0] == trees[1]
+
+
+def test_a_model_that_fails_is_an_error(spark):
+    """The others are fitted to the end, but their result is not passed off as the family."""
+    def broken(rows):
+        raise ValueError("no fit")
+
+    done = []
+    df = train.prepare(_synthetic(spark, 20), "y", "ticket_date")
+    with pytest.raises(RuntimeError, match="broken: no fit"):
+        train.fit_models(df, ("broken", "other"), {"broken": broken, "other": lambda rows: done.append(rows.count())})
+    assert done == [20]
+
+
+def test_trees_fit_rows_without_label_or_date(spark):
+    """Such rows are left out of the fit, and a row without a date is left without a prediction."""
+    df = train.prepare(_synthetic(spark, 60), "y", "ticket_date")
+    odd = spark.createDataFrame([(1001, "A", "t", None, 5.0), (1002, "A", "t", dt.date(2024, 5, 5), None)],
+                                "id long, area string, waste_type string, ticket_date date, y double")
+    odd = df.unionByName(train.prepare(odd, "y", "ticket_date"))
+    extra = {"adaboost": lambda rows: fit_adaboost_r2(rows, train.preprocessing_stages(), n_estimators=2)}
+    whole, clean = (train.fit_models(rows, ("decision_tree", "adaboost"), extra) for rows in (odd, df))
+    for mid, m in whole.items():
+        got = {r.id: r.prediction for r in m.transform(odd).select("id", "prediction").collect()}
+        assert got.pop(1001) is None and got.pop(1002) is not None, mid
+        assert got == {r.id: r.prediction for r in clean[mid].transform(df).select("id", "prediction").collect()}, mid
+
+
+def test_score_takes_the_default_model_only(spark, monkeypatch):
+    from binsight.plans import q_models
+    monkeypatch.setattr(q_models, "_family", lambda *a: ({"ridge": None}, None))
+    monkeypatch.setattr(q_models, "_requests", lambda *a: None)
+    with pytest.raises(KeyError, match="random_forest"):
+        q_models.score_one(spark, "")
