@@ -8,9 +8,9 @@ Drucker's AdaBoost.R2 with linear loss, as configured in the reference
     beta  = L / (1 - L)                      model weight ln(1 / beta)
     w_i  <- w_i * beta ** (1 - e_i)
 
-Each round is one distributed tree fit (sample weights through ``weightCol``
-instead of the reference's weighted resampling) plus one aggregate; the
-weights are a column, never collected.  Lineage is cut with a reliable
+Sample weights take the place of the reference's weighted resampling.  Where there are
+too many cells (``models.cells``), each round is one distributed tree fit
+(``weightCol``) plus one aggregate; the weights are a column, never collected.  Lineage is cut with a reliable
 checkpoint every few rounds.  The prediction is the weighted median of the
 trees' outputs, computed per row with array functions.
 """
@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binsight.models.catalog import SEED
+from binsight.models.cells import CellTrees, packed
 from binsight.session import ensure_checkpoint_dir
 
 
@@ -66,13 +68,26 @@ class AdaBoostR2Model:
          .write.mode("overwrite").parquet(f"{path}/weights"))
 
     @classmethod
-    def load(cls, path: str) -> AdaBoostR2Model:
+    def load(cls, path: str) -> AdaBoostR2Model | CellTrees:
+        try:
+            return CellTrees.load(path)
+        except AnalysisException:  # Spark ML trees
+            pass
         rows = SparkSession.getActiveSession().read.parquet(f"{path}/weights").orderBy("m").collect()  # one per tree
         return cls(PipelineModel.load(f"{path}/prep"), PipelineModel.load(f"{path}/trees").stages, [r["weight"] for r in rows])
 
 
 def fit_adaboost_r2(train: DataFrame, prep_stages: list, n_estimators: int = 50, max_depth: int = 3,
-                    label: str = "label", checkpoint_every: int = 10) -> AdaBoostR2Model:
+                    label: str = "label", checkpoint_every: int = 10) -> AdaBoostR2Model | CellTrees:
+    """The trees are grown from sums per cell (``models.cells``), or by Spark ML where there are too many cells."""
+    with packed(train, prep_stages[0].getInputCols(), numeric_columns(prep_stages), label) as cells:
+        if cells is not None:
+            return cells.adaboost(n_estimators, max_depth, checkpoint_every)
+    return fit_by_rows(train, prep_stages, n_estimators, max_depth, label, checkpoint_every)
+
+
+def fit_by_rows(train: DataFrame, prep_stages: list, n_estimators: int = 50, max_depth: int = 3,
+                label: str = "label", checkpoint_every: int = 10) -> AdaBoostR2Model:
     train = train.dropna(subset=[label, *numeric_columns(prep_stages)])  # as the linear models do
     prep = Pipeline(stages=prep_stages).fit(train)
     n = train.count()

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from binsight.functions import exprs as X
 from binsight.session import ensure_checkpoint_dir, scratch_path
+from binsight.models.cells import packed, shared
 from binsight.models.linear import fit_linear
 from binsight.models.catalog import MODEL_INFO, SEED, SPARK_ML_MODELS, make_estimator
 
@@ -123,11 +124,27 @@ def prepare(df: DataFrame, label: str, date_col: str, key: str = "id") -> DataFr
     return add_calendar(df, date_col).select(key, *CATEGORICAL, *NUMERIC, F.col(label).cast("double").alias("label"))
 
 
+def fit_tree(model_id: str, train: DataFrame, **settings):
+    """K4, K5, K7: the estimator's trees, grown from sums per cell (``models.cells``) with its own numbers of
+    trees, rounds and levels, or by Spark ML where there are too many cells."""
+    est = make_estimator(model_id, **settings)
+    with packed(train, CATEGORICAL, NUMERIC) as cells:
+        if cells is not None:
+            if model_id == "random_forest":
+                return cells.forest(est.getNumTrees(), est.getMaxDepth(), est.getSeed())
+            if model_id == "gradient_boosting":
+                return cells.boosting(est.getMaxIter(), est.getMaxDepth(), est.getStepSize())
+            if model_id == "decision_tree":
+                return cells.tree(est.getMaxDepth())
+    stages = preprocessing_stages() + [est.setPredictionCol("_raw"), null_where_unknown()]
+    return Pipeline(stages=stages).fit(train.dropna(subset=["label", *NUMERIC]))
+
+
 def fit_models(train: DataFrame, model_ids=SPARK_ML_MODELS, extra_estimators: dict | None = None,
                **settings) -> dict:
     """Fit every model.  A model that fails doesn't stop the others, but it is an error once they
     are done: what is scored or ranked without it would look like the whole family.
-    The models are fitted at the same time: boosting is many short jobs one after
+    The models are fitted at the same time: AdaBoost is many short jobs one after
     the other, which leave cores to the forest's.
     The linear models are solved on the full one-hot design (``models.linear``);
     ``settings`` (such as ``forest_depth``) go to ``make_estimator``.  As the linear models do,
@@ -140,15 +157,13 @@ def fit_models(train: DataFrame, model_ids=SPARK_ML_MODELS, extra_estimators: di
                 return extra_estimators[mid](train)
             if mid in LINEAR_ALPHA:
                 return fit_linear(train, CATEGORICAL, NUMERIC, alpha=LINEAR_ALPHA[mid])
-            est = make_estimator(mid, **settings).setPredictionCol("_raw")
-            stages = preprocessing_stages() + [est, null_where_unknown()]
-            return Pipeline(stages=stages).fit(train.dropna(subset=["label", *NUMERIC]))
+            return fit_tree(mid, train, **settings)
         except Exception as ex:  # the others go on, like the reference's training loop
             log.error("training %s failed: %s", mid, ex)
             failed[mid] = ex
 
     ids = list(model_ids)
-    with ThreadPool(max(len(ids), 1)) as pool:
+    with shared(train), ThreadPool(max(len(ids), 1)) as pool:
         models = pool.map(inheritable_thread_target(train.sparkSession)(fit), ids)
     if failed:
         raise RuntimeError(f"training failed: {'; '.join(f'{m}: {ex}' for m, ex in failed.items())}") from next(iter(failed.values()))
@@ -228,10 +243,19 @@ def _load_linear(path):
         return PipelineModel.load(path)
 
 
-# Models that aren't Spark ML pipelines.
+def _load_trees(path):
+    from binsight.models.cells import CellTrees
+    try:
+        return CellTrees.load(path)
+    except AnalysisException:  # a pipeline
+        return PipelineModel.load(path)
+
+
+# Models that aren't Spark ML pipelines, or needn't be.
 LOADERS = {"knn": _loader("binsight.models.knn", "KnnRegressorModel"),
            "adaboost": _loader("binsight.models.adaboost", "AdaBoostR2Model"),
-           **dict.fromkeys(LINEAR_ALPHA, _load_linear)}
+           **dict.fromkeys(LINEAR_ALPHA, _load_linear),
+           **dict.fromkeys(("random_forest", "gradient_boosting", "decision_tree"), _load_trees)}
 
 
 def load_models(paths: dict) -> dict:
